@@ -604,3 +604,63 @@ def trade_page(spark, d):
 SELECT symbol, {T()}, {R('close', 'close')} FROM k WHERE mod(i - 1, CAST(ceil(c / 100.0) AS BIGINT)) = 0 OR i = c""")
 def chart_downsample(spark, d):
     return out(exits.downsample(views.bars(spark, d), ["symbol"], 100), "symbol", "ts", "close")
+
+
+# simulation and search: sequential, so no SQL; the tests hold them against plain versions
+
+
+def _run(spark: SparkSession, d: str, strategy: str, **params) -> DataFrame:
+    from ..simulation import runs
+
+    s = RunSettings(timeframe="1h", use_trading_hours=False, eod_close=None, spread_mode="static", params=params)
+    return runs.simulate(views.bars(spark, d), strategy, s)
+
+
+def _simulated(strategy: str, **params) -> Query:
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        from ..simulation import runs
+
+        return out(runs.trades(_run(spark, d, strategy, **params)), "symbol", "direction", "entry_time", "exit_time", "entry_price", "exit_price", "quantity", "pnl", "commission", "exit_reason")
+
+    f.__name__ = f"simulate_{strategy}"
+    return f
+
+
+query()(_simulated("sma_pullback", smapull_fast_sma_window=10, smapull_slow_sma_window=30))
+query()(_simulated("channel_breakout", chbrk_length=10, chbrk_ema_period=20))
+query()(_simulated("three_bar_mr", tbar_regime_window=5))
+query()(_simulated("bollinger_squeeze_breakout", bbsq_squeeze_lookback=40, bbsq_trade_direction="both", bbsq_breakout_volume_ratio=1.0))
+query()(_simulated("keltner_tightening_breakout", kctg_tightening_lookback=40, kctg_trade_direction="both", kctg_breakout_volume_ratio=1.0))
+query()(_simulated("rfp_fractal", rfp_enable_time_filter=False))
+query()(_simulated("ict_ob", ict_trend_sma_window=50, ict_use_vol_filter=False))
+
+
+@query()
+def simulate_portfolio(spark, d):
+    from ..simulation import portfolio, runs
+
+    slots = [
+        portfolio.Slot("0", "sma_pullback", ("click", "view"), 0.5, params={"smapull_fast_sma_window": 10, "smapull_slow_sma_window": 30}),
+        portfolio.Slot("1", "channel_breakout", ("purchase", "error"), 0.5, params={"chbrk_length": 10, "chbrk_ema_period": 20}),
+    ]
+    run = RunSettings(use_trading_hours=False, eod_close=None, spread_mode="static")
+    got = runs.simulate_portfolio(views.bars(spark, d), slots, portfolio.PortfolioSettings(run, target_vol=0.5, vol_lookback=20))
+    return out(runs.history(got), "ts", "cash", "holdings", "total_value", digits=4)
+
+
+@query()
+def parameter_sweep(spark, d):
+    from ..operators import search
+    from ..simulation import runs
+
+    s = RunSettings(use_trading_hours=False, eod_close=None, spread_mode="static")
+    grid = [{"smapull_fast_sma_window": f, "smapull_slow_sma_window": w} for f in (5, 10) for w in (20, 40)]
+    got = runs.sweep(views.bars(spark, d, "4 hours"), "sma_pullback", s, grid)
+    return out(search.scored(got.withColumn("run_id", F.concat_ws("|", "run_id", "symbol")), 0.02, 1, 10, 0.4), "run_id", "total_return", "sharpe", "max_drawdown", "trades", "score")
+
+
+@query("SELECT CAST(k AS INTEGER) AS fold, CAST(k * 300 AS BIGINT) AS train_from, 1500 + CAST(k AS BIGINT) * 300 - 10 AS train_to, 1500 + CAST(k AS BIGINT) * 300 AS test_from, 1800 + CAST(k AS BIGINT) * 300 AS test_to FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k)")
+def fold_ranges(spark, d):
+    from ..operators import search
+
+    return search.fold_table(spark, search.folds(3000, 5, 0.1, 6, 4))
