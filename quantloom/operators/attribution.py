@@ -58,14 +58,14 @@ def decomposition(trades: DataFrame, bars: DataFrame, tail: float = 0.95) -> Dat
     cut = total.agg(F.percentile("total", 1 - tail).alias("q"), F.count("*").alias("n"))
     worst = total.join(F.broadcast(cut)).where("n >= 20 and total <= q").select("day")
     tails = days.join(worst, "day", "leftsemi").groupBy("strategy").agg(F.avg("pnl").alias("tail_pnl"))
-    like = days.groupBy("strategy").agg(F.when(F.stddev_samp("pnl") > 0, F.avg("pnl") / F.stddev_samp("pnl") * ANNUAL**0.5).otherwise(0.0).alias("sharpe_like"))
+    like = days.groupBy("strategy").agg(F.when(F.stddev_samp("pnl") > 0, F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")) * ANNUAL**0.5).otherwise(0.0).alias("sharpe_like"))
     out = risk
     for part in (closed, dd, tails, like):
         out = out.join(part, "strategy", "left")
     out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("closed_pnl", "exec_cost", "max_dd_pnl", "tail_pnl", "sharpe_like", "risk_share")})
     every = Window.partitionBy(F.lit(0))  # one row a strategy
     all_closed, all_mtm = F.sum(F.abs("closed_pnl")).over(every), F.sum(F.abs("mtm")).over(every)
-    share = F.when(all_closed > 0, F.col("closed_pnl") / all_closed).when(all_mtm > 0, F.col("mtm") / all_mtm).otherwise(0.0) * 100
+    share = F.when(all_closed > 0, F.try_divide(F.col("closed_pnl"), all_closed)).when(all_mtm > 0, F.try_divide(F.col("mtm"), all_mtm)).otherwise(0.0) * 100
     return out.select(
         "strategy", "closed_pnl", "exec_cost", (F.col("closed_pnl") - F.col("exec_cost")).alias("signal_pnl"), share.alias("pnl_share"), (F.col("risk_share") * 100).alias("risk_share"),
         "max_dd_pnl", "tail_pnl", "sharpe_like",
@@ -76,7 +76,7 @@ def duty_cycle(exposure: DataFrame, keys: list[str], ts: str = "ts") -> DataFram
     """Mean square of absolute notional relative to its largest value."""
     total = exposure.groupBy(*keys, ts).agg(F.sum(F.abs("notional")).alias("x"))
     most = F.max("x").over(Window.partitionBy(*keys))
-    rel = total.withColumn("r", F.when(most > 1e-9, F.col("x") / most))
+    rel = total.withColumn("r", F.when(most > 1e-9, F.try_divide(F.col("x"), most)))
     return rel.groupBy(*keys).agg(F.avg(F.col("r") * F.col("r")).alias("duty_cycle"))
 
 
@@ -97,13 +97,13 @@ def alpha_beta(strategy_returns: DataFrame, instrument_returns: DataFrame, symbo
         F.regr_slope("y", "x").alias("beta"), F.regr_intercept("y", "x").alias("_i"), F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"),
         F.regr_sxy("y", "x").alias("_sxy"), F.count("*").alias("n"), F.avg("x").alias("_mx"),
     )
-    left = F.greatest(F.col("_syy") - F.col("beta") * F.col("_sxy"), F.lit(0.0)) / (F.col("n") - 2)
-    se_i = F.sqrt(left * (1 / F.col("n") + F.col("_mx") * F.col("_mx") / F.col("_sxx")))
-    se_b = F.sqrt(left / F.col("_sxx"))
+    left = F.greatest(F.col("_syy") - F.col("beta") * F.col("_sxy"), F.lit(0.0)) / F.nullif(F.col("n") - 2, F.lit(0))
+    se_i = F.sqrt(left * (1 / F.col("n") + F.col("_mx") * F.col("_mx") / F.nullif(F.col("_sxx"), F.lit(0.0))))
+    se_b = F.sqrt(left / F.nullif(F.col("_sxx"), F.lit(0.0)))
     ok = (F.col("n") > 2) & (F.col("_sxx") > 0)
     return a.select(
         "strategy", "symbol", "n", F.when(ok, F.col("beta")).otherwise(0.0).alias("beta"), F.when(ok, F.col("_i") * ANNUAL * 100).otherwise(0.0).alias("alpha"),
-        F.when(ok & (se_b > 0), F.col("beta") / se_b).alias("beta_t"), F.when(ok & (se_i > 0), F.col("_i") / se_i).alias("alpha_t"),
+        F.when(ok & (se_b > 0), F.try_divide(F.col("beta"), se_b)).alias("beta_t"), F.when(ok & (se_i > 0), F.try_divide(F.col("_i"), se_i)).alias("alpha_t"),
     )
 
 

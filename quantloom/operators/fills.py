@@ -49,12 +49,12 @@ def spread_ticks(bars: DataFrame, s: RunSettings, keys: tuple[str, ...] = ("symb
     if s.spread_mode == "static":
         return bars.withColumn("spread_ticks", F.lit(max(0, s.spread_ticks)))
     w = series(*keys)
-    ret = F.log(F.col(close) / F.lag(close).over(w))
+    ret = F.log(F.try_divide(F.col(close), F.lag(close).over(w)))
     rows = bars.withColumn("_r", ret)
     short = rolling(F.stddev_samp, F.col("_r"), w, s.spread_lookback, shift=1)
     base = rolling(F.stddev_samp, F.col("_r"), w, s.spread_baseline, 2, shift=1)
     rows = rows.withColumns({"_s": short, "_b": base})
-    steps = trunc((F.col("_s") - F.col("_b")) / F.col("_b") / s.spread_step)
+    steps = trunc(F.try_divide(F.col("_s") - F.col("_b"), F.col("_b")) / max(s.spread_step, 1e-12))
     ticks = F.greatest(F.lit(0.0), F.bround(s.spread_ticks * F.pow(F.lit(s.spread_step_multiplier), steps)))
     ok = (F.col("_s") > 0) & (F.col("_b") > 0) & (F.lit(s.spread_step) > 0)
     return rows.withColumn("spread_ticks", F.when(ok, ticks).otherwise(max(0, s.spread_ticks)).cast("int")).drop("_r", "_s", "_b")
@@ -83,8 +83,8 @@ def vol_target_contracts(equity: Column, weight: Column, n_symbols: Column, sigm
     """Contracts of a slot: its share of the risk budget over the money risk of one contract, within margin and limit."""
     dc = F.greatest(duty_cycle, F.lit(1e-4))
     budget = equity * target_vol * F.sqrt(weight) * F.least(1 / F.sqrt(dc), F.sqrt(F.lit(max_expansion))) / n_symbols
-    raw = budget / (sigma * price * multiplier)
-    margin = F.floor(equity * weight / n_symbols / (price * multiplier * margin_ratio))
+    raw = F.try_divide(budget, sigma * price * multiplier)
+    margin = F.floor(F.try_divide(equity * weight / n_symbols, price * multiplier * margin_ratio))
     out = F.least(F.bround(raw), margin)
     if max_contracts is not None:
         out = F.least(out, F.lit(float(max_contracts)))

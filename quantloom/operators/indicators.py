@@ -81,7 +81,7 @@ def structure(bars: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
 def candles(bars: DataFrame) -> DataFrame:
     """Adds body_share, upper_share and lower_share of the bar's range; 0 where the range is 0."""
     span = F.col("high") - F.col("low")
-    share = lambda x: F.when(span > 0, x / span).otherwise(0.0)
+    share = lambda x: F.when(span > 0, F.try_divide(x, span)).otherwise(0.0)
     top, bottom = F.greatest("open", "close"), F.least("open", "close")
     return bars.withColumns({"body_share": share(F.abs(F.col("close") - F.col("open"))), "upper_share": share(F.col("high") - top), "lower_share": share(bottom - F.col("low"))})
 
@@ -101,7 +101,7 @@ def shocks(bars: DataFrame, atr_n: int = 14, gap: float = 1.0, spread: float = 2
     rows = atr(bars, atr_n, "_atr", keys)
     ref, before = F.lag("_atr").over(w), F.lag("close").over(w)
     rows = rows.withColumns(
-        {"gap_atr": F.abs(F.col("open") - before) / ref, "range_atr": F.abs(F.col("high") - F.col("low")) / ref, "change_atr": F.abs(F.col("close") - before) / ref}
+        {"gap_atr": F.try_divide(F.abs(F.col("open") - before), ref), "range_atr": F.try_divide(F.abs(F.col("high") - F.col("low")), ref), "change_atr": F.try_divide(F.abs(F.col("close") - before), ref)}
     )
     ok = (F.col("gap_atr") <= gap) & (F.col("range_atr") <= spread) & (F.col("change_atr") <= change)
     return rows.withColumn("shock_ok", F.coalesce(ok, F.lit(True))).drop("_atr")
@@ -110,7 +110,7 @@ def shocks(bars: DataFrame, atr_n: int = 14, gap: float = 1.0, spread: float = 2
 def stretch(bars: DataFrame, n: int = 20, atr_n: int = 14, long_max: float = 1.75, short_max: float = 1.75, keys: list[str] = KEYS) -> DataFrame:
     """Adds stretch_atr ((close - exponential mean) / ATR before), long_ok and short_ok."""
     rows = atr(ema(bars, keys, F.col("close"), n, "_mid"), atr_n, "_atr", keys)
-    rows = rows.withColumn("stretch_atr", (F.col("close") - F.col("_mid")) / F.lag("_atr").over(series(*keys)))
+    rows = rows.withColumn("stretch_atr", F.try_divide(F.col("close") - F.col("_mid"), F.lag("_atr").over(series(*keys))))
     return rows.withColumns(
         {"long_ok": F.coalesce(F.col("stretch_atr") <= long_max, F.lit(True)), "short_ok": F.coalesce(F.col("stretch_atr") >= -short_max, F.lit(True))}
     ).drop("_mid", "_atr")
@@ -121,10 +121,10 @@ def trend_t(bars: DataFrame, n: int, max_t: float = 2.0, keys: list[str] = KEYS)
     w, m = series(*keys), n // 2
     rows = bars.withColumn("_i", (F.row_number().over(w) - 1).cast("double"))
     var = rolling(F.var_samp, F.col("_i"), w, n, m)
-    slope = rolling2(F.covar_samp, F.col("close"), F.col("_i"), w, n, m) / var
+    slope = rolling2(F.covar_samp, F.col("close"), F.col("_i"), w, n, m) / F.nullif(var, F.lit(0.0))
     rows = rows.withColumns({"_v": var, "_s": slope, "_a": rolling(F.avg, F.col("close"), w, n, m) - slope * rolling(F.avg, F.col("_i"), w, n, m)})
     rows = rows.withColumn("_e", F.col("close") - (F.col("_a") + F.col("_s") * F.col("_i")))
-    error = F.sqrt(F.greatest(rolling(F.var_samp, F.col("_e"), w, n, m) / ((n - 1) * F.col("_v")), F.lit(0.0)))
+    error = F.sqrt(F.greatest(rolling(F.var_samp, F.col("_e"), w, n, m) / F.nullif((n - 1) * F.col("_v"), F.lit(0.0)), F.lit(0.0)))
     rows = rows.withColumn("_t", F.col("_s") / F.nullif(error, F.lit(0.0)))
     rows = rows.withColumn("trend_t", F.lag("_t").over(w))
     return rows.withColumn("trend_ok", F.coalesce(F.abs("trend_t") <= max_t, F.lit(True))).drop("_i", "_v", "_s", "_a", "_e", "_t")

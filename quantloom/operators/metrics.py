@@ -22,7 +22,7 @@ def curve_metrics(history: DataFrame, keys: list[str], risk_free: float = 0.02,
     w = series(*keys, ts=ts)
     rows = returns(history, keys, value, ts)
     top = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_dd", (F.col(value) - top) / top)
+    rows = rows.withColumn("_dd", F.try_divide(F.col(value) - top, top))
     a = rows.groupBy(*keys).agg(
         F.min_by(value, ts).alias("_first"), F.max_by(value, ts).alias("_last"), F.count("*").alias("n_bars"), F.min(ts).alias("_a"), F.max(ts).alias("_b"),
         F.stddev_samp("ret").alias("_sd"), F.avg("ret").alias("_mean"), F.count("ret").alias("_n"), F.stddev_samp(F.when(F.col("ret") < 0, F.col("ret"))).alias("_down"),
@@ -30,18 +30,18 @@ def curve_metrics(history: DataFrame, keys: list[str], risk_free: float = 0.02,
     )
     seconds = F.unix_timestamp(F.col("_b").cast("timestamp")) - F.unix_timestamp(F.col("_a").cast("timestamp"))
     days = F.floor(seconds / 86400)
-    a = a.withColumn("total_return", F.when(F.col("_first") != 0, F.col("_last") / F.col("_first") - 1).otherwise(0.0))
+    a = a.withColumn("total_return", F.when(F.col("_first") != 0, F.try_divide(F.col("_last"), F.col("_first")) - 1).otherwise(0.0))
     a = a.withColumn("years", F.when(days > 0, days / 365.25).otherwise(1.0))
     a = a.withColumn("cagr", F.when(1 + F.col("total_return") > 0, F.pow(1 + F.col("total_return"), 1 / F.col("years")) - 1).otherwise(0.0))
     a = a.withColumn("bars_per_year", F.col("n_bars") / F.col("years"))
     a = a.withColumn("volatility", F.coalesce(F.col("_sd") * F.sqrt("bars_per_year"), F.lit(0.0)))
     over = F.col("cagr") - risk_free
-    a = a.withColumn("sharpe", F.when(F.col("volatility") > 0, over / F.col("volatility")).otherwise(0.0))
+    a = a.withColumn("sharpe", F.when(F.col("volatility") > 0, F.try_divide(over, F.col("volatility"))).otherwise(0.0))
     down = F.col("_down") * F.sqrt("bars_per_year")
-    a = a.withColumn("sortino", F.when(down > 0, over / down).otherwise(0.0))
-    a = a.withColumn("calmar", F.when(F.col("max_drawdown") != 0, F.col("cagr") / F.abs("max_drawdown")).otherwise(0.0))
-    t = F.when(F.col("_sd") > 0, F.col("_mean") / (F.col("_sd") / F.sqrt("_n")))
-    a = a.withColumn("t_stat", F.coalesce(t, F.lit(0.0))).withColumn("ret_sharpe", F.when(F.col("_sd") > 0, F.col("_mean") / F.col("_sd")))
+    a = a.withColumn("sortino", F.when(down > 0, F.try_divide(over, down)).otherwise(0.0))
+    a = a.withColumn("calmar", F.when(F.col("max_drawdown") != 0, F.try_divide(F.col("cagr"), F.abs("max_drawdown"))).otherwise(0.0))
+    t = F.when(F.col("_sd") > 0, F.try_divide(F.col("_mean"), F.col("_sd") / F.sqrt("_n")))
+    a = a.withColumn("t_stat", F.coalesce(t, F.lit(0.0))).withColumn("ret_sharpe", F.when(F.col("_sd") > 0, F.try_divide(F.col("_mean"), F.col("_sd"))))
     names = ["total_return", "years", "cagr", "n_bars", "bars_per_year", "volatility", "sharpe", "sortino", "max_drawdown", "calmar", "t_stat"]
     return a.select(*keys, *names, F.col("ret_sharpe"), F.col("_n").alias("n_returns"), F.col("_skew").alias("skew"), F.col("_kurt").alias("excess_kurtosis"))
 
@@ -66,7 +66,7 @@ def deflated_sharpe(metrics: DataFrame, trials: DataFrame | None = None, n_trial
     if n > 1 and sd > 0:
         bar = mean + sd * ((1 - EULER) * q(1 - 1 / n) + EULER * q(1 - 1 / (n * 2.718281828459045)))
     sr = F.col("ret_sharpe")
-    spread = F.sqrt(F.greatest((1 - F.col("skew") * sr + (F.col("excess_kurtosis") + 2) / 4 * sr * sr) / (F.col("n_returns") - 1), F.lit(1e-300)))
+    spread = F.sqrt(F.greatest((1 - F.col("skew") * sr + (F.col("excess_kurtosis") + 2) / 4 * sr * sr) / F.nullif(F.col("n_returns") - 1, F.lit(0)), F.lit(1e-300)))
     return metrics.withColumn("dsr", F.when((F.col("n_returns") >= 30) & sr.isNotNull(), norm_cdf((sr - bar) / spread)).otherwise(0.0))
 
 
@@ -74,13 +74,13 @@ def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:
     """Counts, win rate (pnl above 0), profit factor (infinite without losses), averages, t of the mean."""
     win, loss = F.col("pnl") > 0, F.col("pnl") <= 0
     out = trades.groupBy(*keys).agg(
-        F.count("pnl").alias("trades"), (F.count_if(win) / F.count("pnl")).alias("win_rate"), F.sum("pnl").alias("total_pnl"),
+        F.count("pnl").alias("trades"), F.try_divide(F.count_if(win), F.count("pnl")).alias("win_rate"), F.sum("pnl").alias("total_pnl"),
         F.sum(F.when(win, F.col("pnl"))).alias("_won"), F.abs(F.sum(F.when(loss, F.col("pnl")))).alias("_lost"),
         F.avg("pnl").alias("avg_trade"), F.coalesce(F.avg(F.when(win, F.col("pnl"))), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(loss, F.col("pnl"))), F.lit(0.0)).alias("avg_loss"),
         F.min("pnl").alias("max_loss"), F.stddev_samp("pnl").alias("_sd"),
     )
-    factor = F.when(F.col("_lost") > 0, F.coalesce("_won", F.lit(0.0)) / F.col("_lost")).when(F.col("_won") > 0, float("inf")).otherwise(0.0)
-    t = F.when(F.col("_sd") > 0, F.col("avg_trade") / (F.col("_sd") / F.sqrt("trades"))).otherwise(0.0)
+    factor = F.when(F.col("_lost") > 0, F.try_divide(F.coalesce("_won", F.lit(0.0)), F.col("_lost"))).when(F.col("_won") > 0, float("inf")).otherwise(0.0)
+    t = F.when(F.col("_sd") > 0, F.try_divide(F.col("avg_trade"), F.col("_sd") / F.sqrt("trades"))).otherwise(0.0)
     return out.withColumn("profit_factor", factor).withColumn("t_stat", t).drop("_won", "_lost", "_sd")
 
 
@@ -96,7 +96,7 @@ def strategy_stats(trades: DataFrame, slots: DataFrame, p_values: bool = True) -
 def objective(stats: DataFrame, min_trades: int = 10, target_trades: int = 50, max_dd: float = 0.4) -> DataFrame:
     """Adds score: 0.7 Sharpe + 0.3 Sortino, damped by few trades and by drawdown (a fraction); -1 below min_trades, else at least 0."""
     base = 0.7 * F.col("sharpe") + 0.3 * F.col("sortino")
-    enough = F.least(F.lit(1.0), F.col("trades") / target_trades)
+    enough = F.least(F.lit(1.0), F.col("trades") / max(1, target_trades))
     depth = F.least(F.lit(1.0), F.abs("max_drawdown") / max_dd)
     return stats.withColumn("score", F.when(F.col("trades") < min_trades, -1.0).otherwise(F.greatest(F.lit(0.0), base * enough * (1 - depth * depth))))
 

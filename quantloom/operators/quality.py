@@ -33,13 +33,13 @@ def flags(bars: DataFrame) -> DataFrame:
         + ((F.col("low") > F.col("open")) | (F.col("low") > F.col("close"))).cast("int")
     )
     mean, sd = F.avg("volume").over(group), F.stddev_samp("volume").over(group)
-    odd_volume = F.when(sd > 0, F.abs((F.col("volume") - mean) / sd) > 5).otherwise(False)
+    odd_volume = F.when(sd > 0, F.abs(F.try_divide(F.col("volume") - mean, sd)) > 5).otherwise(False)
     price = F.lit(0)
     if "average" in bars.columns:
         price = price + F.coalesce(((F.col("average") < F.col("low")) | (F.col("average") > F.col("high"))).cast("int"), F.lit(0))
     if "contract" in bars.columns:
         rolled = F.lag("contract").over(w).isNotNull() & ~F.lag("contract").over(w).eqNullSafe(F.col("contract"))
-        jump = F.abs(F.col("close") / F.lag("close").over(w) - 1) > pick(MAX_JUMP)
+        jump = F.abs(F.try_divide(F.col("close"), F.lag("close").over(w)) - 1) > pick(MAX_JUMP)
         price = price + F.coalesce((rolled & jump).cast("int"), F.lit(0))
     return bars.withColumns(
         {"gap": F.coalesce(gap, F.lit(False)), "gap_minutes": minutes, "ohlc_faults": ohlc, "odd_volume": F.coalesce(odd_volume, F.lit(False)), "price_faults": price}

@@ -23,7 +23,7 @@ def daily_equity(history: DataFrame, keys: list[str], value: str = "total_value"
 
 def with_drawdown(daily: DataFrame, keys: list[str], value: str = "equity", order: str = "day") -> DataFrame:
     top = F.max(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return daily.withColumn("drawdown_pct", (F.col(value) - top) / top * 100)
+    return daily.withColumn("drawdown_pct", F.try_divide(F.col(value) - top, top) * 100)
 
 
 def drawdown_episodes(dd: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
@@ -74,7 +74,7 @@ def rolling_var_es(daily: DataFrame, keys: list[str], n: int, primary: float = 0
         q = rolling(quantile(1 - c), F.col("pnl"), w, n, m)
         out = out.withColumn(f"_q_{name}", q)
         low = F.filter("_all", _at_most(f"_q_{name}"))
-        mean = F.aggregate(low, F.lit(0.0), lambda a, v: a + v) / F.size(low)
+        mean = F.aggregate(low, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(low), F.lit(0))
         out = out.withColumns({f"var_{name}": F.greatest(F.lit(0.0), -F.col(f"_q_{name}")), f"es_{name}": F.when(F.col(f"_q_{name}").isNotNull(), F.greatest(F.lit(0.0), -mean))})
         out = out.withColumn(f"var_{name}", F.when(F.col(f"_q_{name}").isNotNull(), F.col(f"var_{name}")))
         out = out.withColumn(f"breach_{name}", F.coalesce((F.col("pnl") <= -F.col(f"var_{name}")), F.lit(False)))
@@ -92,13 +92,13 @@ def rolling_sharpe(daily: DataFrame, keys: list[str], n: int = 90, risk_free: fl
     w = Window.partitionBy(*keys).orderBy("day")
     rows = daily.withColumn("_x", F.col("ret") - risk_free / ANNUAL)
     sd = rolling(F.stddev_samp, F.col("_x"), w, n)
-    return rows.withColumn("sharpe", F.when(sd > FLAT, rolling(F.avg, F.col("_x"), w, n) / sd * ANNUAL**0.5)).drop("_x")
+    return rows.withColumn("sharpe", F.when(sd > FLAT, F.try_divide(rolling(F.avg, F.col("_x"), w, n), sd) * ANNUAL**0.5)).drop("_x")
 
 
 def sharpe_of(ret: Column, risk_free: float = 0.0) -> Column:
     """Annual Sharpe ratio of daily returns as an aggregate; null where they hardly vary."""
     x = ret - risk_free / ANNUAL
-    return F.when(F.stddev_samp(x) > FLAT, F.avg(x) / F.stddev_samp(x) * ANNUAL**0.5)
+    return F.when(F.stddev_samp(x) > FLAT, F.try_divide(F.avg(x), F.stddev_samp(x)) * ANNUAL**0.5)
 
 
 def period_sharpe(daily: DataFrame, keys: list[str], horizon: str, risk_free: float = 0.0) -> DataFrame:
@@ -106,7 +106,7 @@ def period_sharpe(daily: DataFrame, keys: list[str], horizon: str, risk_free: fl
     per, unit = {"1w": (52.0, "week"), "1m": (12.0, "month")}[horizon]
     bins = daily.where("ret is not null").groupBy(*keys, F.date_trunc(unit, "day").alias("bin")).agg((F.product(1 + F.col("ret")) - 1).alias("ret"))
     x = F.col("ret") - risk_free / per
-    return bins.groupBy(*keys).agg(F.when(F.stddev_samp(x) > FLAT, F.avg(x) / F.stddev_samp(x) * per**0.5).alias("sharpe"))
+    return bins.groupBy(*keys).agg(F.when(F.stddev_samp(x) > FLAT, F.try_divide(F.avg(x), F.stddev_samp(x)) * per**0.5).alias("sharpe"))
 
 
 def daily_costs(trades: DataFrame, keys: list[str]) -> DataFrame:
@@ -186,9 +186,9 @@ def histogram(daily: DataFrame, pnl: str = "pnl", base_cap: int = 40, base_floor
     s = rows.agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.percentile(x, 0.25).alias("q1"), F.percentile(x, 0.75).alias("q3"))
     base = F.least(F.lit(base_cap), F.greatest(F.lit(base_floor), F.floor(F.sqrt("n"))))
     detailed = F.least(F.lit(detail_cap), F.greatest(F.lit(detail_floor), base * detail))
-    sturges = F.ceil(F.log2("n") + 1)
-    width = width_factor * (F.col("q3") - F.col("q1")) / F.cbrt("n")
-    fd = F.when((width > 0) & (F.col("hi") > F.col("lo")), F.ceil((F.col("hi") - F.col("lo")) / width)).otherwise(0)
+    sturges = F.ceil(F.log2(F.greatest("n", F.lit(1))) + 1)
+    width = F.try_divide(width_factor * (F.col("q3") - F.col("q1")), F.cbrt("n"))
+    fd = F.when((width > 0) & (F.col("hi") > F.col("lo")), F.ceil(F.try_divide(F.col("hi") - F.col("lo"), width))).otherwise(0)
     most = F.greatest(F.lit(sample_floor), F.least(F.lit(sample_cap), F.col("n")))
     s = s.withColumn("bins", F.least(most, F.greatest(sturges, fd, detailed)).cast("int"))
     # one value only: a bin of width 1 about it

@@ -54,7 +54,7 @@ def quantile(q: float) -> Callable[[Column], Column]:
 
 def drawdown(x: Column, w: WindowSpec) -> Column:
     top = F.max(x).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return (x - top) / top
+    return F.try_divide(x - top, top)
 
 
 def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, chunk: Column, ts: str = "ts") -> DataFrame:

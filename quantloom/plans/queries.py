@@ -320,7 +320,7 @@ def vol_target_size(spark, d):
     from ..operators.windows import rolling
 
     w = series("symbol")
-    b = views.bars(spark, d).withColumn("r", F.log(F.col("close") / F.lag("close").over(w)))
+    b = views.bars(spark, d).withColumn("r", F.log(F.try_divide(F.col("close"), F.lag("close").over(w))))
     b = b.withColumn("sigma", rolling(F.stddev_samp, F.col("r"), w, 20) * (8760.0**0.5))
     lit = F.lit
     n = fills.vol_target_contracts(lit(100000.0), lit(0.5), lit(1), F.col("sigma"), F.col("close"), lit(2.0), lit(0.1), 0.2, lit(1.0))

@@ -141,7 +141,7 @@ def simulate_portfolio(bars: DataFrame, slots: list[portfolio.Slot], c: portfoli
             own = own.where(F.col("timeframe") == slot.timeframe)
         rows = prepared(own, slot.strategy, replace(s, symbol=slot.symbols[0]))
         w = series("symbol")
-        ret = F.log(F.col("close") / F.lag("close").over(w))
+        ret = F.log(F.try_divide(F.col("close"), F.lag("close").over(w)))
         rows = rows.withColumn("_r", ret).withColumn("sigma", rolling(F.stddev_samp, F.col("_r"), w, c.vol_lookback) * bars_per_year**0.5).drop("_r")
         wide |= dict(rows.dtypes)
         parts.append(rows.withColumn("slot", F.lit(slot.id)))

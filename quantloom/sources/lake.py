@@ -92,8 +92,8 @@ class Lake:
         """16 hex digits over the series asked for and when their files changed."""
         if not self._exists():
             return "0" * 16
-        b = self.bars().join(F.broadcast(required), ["symbol", "timeframe"], "leftsemi") if required.limit(10_001).count() <= 10_000 else self.bars().join(required, ["symbol", "timeframe"], "leftsemi")
-        per = b.select("symbol", "timeframe", F.col("_metadata.file_modification_time").alias("m")).groupBy("symbol", "timeframe").agg(F.max("m").alias("m"))
+        per = self.bars().select("symbol", "timeframe", F.col("_metadata.file_modification_time").alias("m")).groupBy("symbol", "timeframe").agg(F.max("m").alias("m"))
+        per = per.join(required, ["symbol", "timeframe"], "leftsemi")
         row = per.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list(F.concat_ws(":", "symbol", "timeframe", F.col("m").cast("string"))))), 256).alias("h")).first()
         return row.h[:16]
 
