@@ -46,12 +46,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: whole rounds, then one row of the words it takes besides."""
     own = docs.select(*COLUMNS)
-    quota = mixing.mix(own).where("taken > 0").select(F.col("doc_id").alias("d"), F.col("size").alias("z"), F.col("h"), "taken", "first", "rest")
+    quota = mixing.mix(own).where("taken > 0").select(F.col("size").alias("z"), F.col("h"), "taken", "first", "rest")
     h = mixing._hash(F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text")))
-    quota = quota.groupBy("h", "d", "z").agg(F.max_by(F.struct("taken", "first", "rest"), F.struct("taken", "first")).alias("q"))
-    rows = own.withColumn("h", h).join(quota.drop("d", "z"), "h")
-    rows = rows.withColumn("size", F.when(F.col("q.taken") > 0, mixing.words(F.col("text"))))
-    rows = rows.withColumn("rounds", ((F.col("q.taken") - F.col("q.rest")) / F.greatest("size", F.lit(1))).cast("int"))
+    # rows equal in id and text share the larger of their quotas
+    quota = quota.groupBy("h", "z").agg(F.max_by(F.struct("taken", "first", "rest"), F.struct("taken", "first")).alias("q"))
+    rows = own.withColumns({"h": h, "z": mixing.words(F.col("text"))}).join(quota, ["h", "z"])
+    rows = rows.withColumn("rounds", ((F.col("q.taken") - F.col("q.rest")) / F.greatest("z", F.lit(1))).cast("int"))
     parts = F.concat(F.array_repeat(F.lit(-1), F.col("rounds")), F.when(F.col("q.rest") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("part", F.explode(parts)).select(*COLUMNS, "part", F.col("q.first").alias("first"), F.col("q.rest").alias("rest"))
 

@@ -123,25 +123,28 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     within a document count. Runs below ``min_words`` words stay, blank lines
     inside a deleted run go with it. Rows equal in doc_id and text are one
     document and are treated alike. Null and empty texts stay as they are; other
-    columns are carried.
+    columns are carried, but for ones named n_lines and n_deleted, which are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    names = docs.columns
-    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("_mark", F.xxhash64("text", "doc_id"))
+    # columns of the caller may have any names, so they travel in one struct
+    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    keyed = docs.select(
+        F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text", "doc_id").alias("_mark"), F.col("text").alias("_text")
+    )
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _prints(batches, min_words)
 
-    found = cut(keyed.select("_id", "_mark", "text").mapInArrow(prints, _PRINT_SQL))
+    found = cut(keyed.select("_id", "_mark", "_text").mapInArrow(prints, _PRINT_SQL))
     place = F.struct("doc_id", "mark", "first", "last")
     heads = found.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").select("key", "head")
     later = found.join(heads, "key").where(place != F.col("head"))
     # a first window may still overlap a repeat in its own document; only the repeat goes
     runs = later.select("doc_id", "mark", "first", "last").distinct()
     runs = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    joined = keyed.join(runs, (keyed["_id"] == runs["doc_id"]) & (keyed["_mark"] == runs["mark"]), "left")
-    joined = joined.select(*[keyed[c] for c in names], "_runs")
+    joined = keyed.drop("_text").join(runs, (keyed["_id"] == runs["doc_id"]) & (keyed["_mark"] == runs["mark"]), "left")
+    joined = joined.select(*[F.col("row")[c].alias(c) for c in names], F.col("_runs").alias("n_deleted"))
     schema = docs.select(*names).schema.add("n_lines", "long").add("n_deleted", "long")
     arrow = to_arrow_schema(schema)
     at, cuts = names.index("text"), len(names)

@@ -23,6 +23,7 @@ bounded size, filtered by a small parity bitmap before the sets are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ _U = np.uint64
 BAND = 4
 WIDESPREAD = 1 << 17  # shingles kept in the order's table: a proven bound on what is broadcast
 BLOCK = 512  # members of a bucket that one task compares with as many others
-SPARE = 8  # sets below this size get sketch blocks enough to keep their elements apart
+SMALL = 1 << 17  # pairs or keys up to this number are sent to all tasks; more are shuffled
 
 
 def _band(n: int) -> int:
@@ -139,27 +140,32 @@ def widespread(docs: DataFrame, k: int) -> Order:
         if parts:
             yield flush(parts)
 
-    rows = (
-        docs.select("id", "text")
-        .mapInArrow(run, "h long, n long")
-        .groupBy("h")
-        .agg(F.sum("n").alias("n"))
-        .where("n >= 4")
-        .orderBy(F.desc("n"), "h")
-        .limit(WIDESPREAD)
-        .toPandas()
-    )
-    h = rows["h"].to_numpy(np.int64).view(_U)
-    w = np.minimum(62, 1 + 2 * np.log2(np.maximum(rows["n"].to_numpy(np.float64), 1))).astype(np.uint8)
+    found = docs.select("id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
+    found = cut(found.select("h", F.least(F.lit(62), (1 + 2 * F.log2("n")).cast("int")).alias("w")))
+    # whole weights from the top, as many as fit; there are 62 at most
+    level, total = 63, 0
+    for r in found.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("w")).collect():
+        total += r.n
+        if total > WIDESPREAD:
+            break
+        level = r.w
+    rows = found.where(F.col("w") >= level).toPandas()
+    h, w = rows["h"].to_numpy(np.int64).view(_U), rows["w"].to_numpy(np.uint8)
     at = np.argsort(h)
     return Order(h[at], w[at])
 
 
-#: kind 0: a bucket's member; 1: a link (rep, doc) in bucket key; 2: a document's set size in key.
+#: kind 0: a bucket's member (rep 1: others of its batch were left out); 1: a link (rep, doc) in bucket key;
+#: 2: a document's set size in key; 3: a link of a bucket of two, with the number of such buckets in key; 4: equal sets.
 _ROW = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("rep", pa.int64()), ("doc", pa.int64())])
 _ROW_SQL = "kind byte, key long, rep long, doc long"
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks if it has few rows. Rows hold two longs at most, so that is 2 MB."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def _gather(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys and documents, and of each row the smallest document with its key."""
     at = np.lexsort((doc, key)) if len(key) < 1 << 16 else np.argsort(key, kind="stable")
@@ -177,54 +183,83 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, percent: int, order: Order)
         twice = np.zeros(len(key), bool)
         twice[1:] = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
         link = (low != doc) & ~twice
-        first = np.concatenate([[True], key[1:] != key[:-1]])
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        crowd = np.add.reduceat(link, edge) > 0
         return table(
             _ROW,
-            kind=np.concatenate([np.zeros(first.sum(), np.int8), np.ones(link.sum(), np.int8)]),
-            key=np.concatenate([key[first], key[link]]),
-            rep=np.concatenate([np.zeros(first.sum(), np.int64), low[link]]),
-            doc=np.concatenate([low[first], doc[link]]),
+            kind=np.concatenate([np.zeros(len(edge), np.int8), np.ones(link.sum(), np.int8)]),
+            key=np.concatenate([key[edge], key[link]]),
+            rep=np.concatenate([crowd.astype(np.int64), low[link]]),
+            doc=np.concatenate([low[edge], doc[link]]),
         )
 
     keys: list[np.ndarray] = []
     docs: list[np.ndarray] = []
     held = 0
+    first: dict[bytes, int] = {}  # sets of this batch, by digest
     for ids, hashes, bounds in _sets(batches, k):
         weights = order.of(hashes)
         sizes = np.diff(bounds)
-        yield table(_ROW, kind=np.full(len(ids), 2, np.int8), key=sizes, rep=np.zeros(len(ids), np.int64), doc=ids)
+        same: list[tuple[int, int]] = []
         for i in np.flatnonzero(sizes):
-            x = as_long(signatures(hashes[bounds[i] : bounds[i + 1]], weights[bounds[i] : bounds[i + 1]], percent))
+            a = hashes[bounds[i] : bounds[i + 1]]
+            one = first.setdefault(blake2b(a.tobytes(), digest_size=16).digest(), int(ids[i]))
+            if one != ids[i]:
+                same.append((one, int(ids[i])))
+                continue
+            x = as_long(signatures(a, weights[bounds[i] : bounds[i + 1]], percent))
             keys.append(x)
             docs.append(np.full(len(x), ids[i]))
             held += len(x)
+        pairs = np.array(same, np.int64).reshape(-1, 2)
+        yield table(
+            _ROW,
+            kind=np.concatenate([np.full(len(ids), 2, np.int8), np.full(len(pairs), 4, np.int8)]),
+            key=np.concatenate([sizes, np.zeros(len(pairs), np.int64)]),
+            rep=np.concatenate([np.zeros(len(ids), np.int64), pairs[:, 0]]),
+            doc=np.concatenate([ids, pairs[:, 1]]),
+        )
         if held > 1_500_000:
             yield flush(keys, docs)
-            keys, docs, held = [], [], 0
+            keys, docs, held, first = [], [], 0, {}
     if keys:
         yield flush(keys, docs)
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shuffle partition: members of equal keys become links to the smallest; other rows pass."""
-    keys, docs = [], []
+    """One shuffle partition: members of equal keys become links to the smallest; other rows pass.
+
+    Buckets of two are done with their one link, so only its count is kept.
+    """
+    parts = []
     for b in batches:
-        kind = b.column(0).to_numpy()
-        pick = kind == 0
-        keys.append(b.column(1).to_numpy()[pick])
-        docs.append(b.column(3).to_numpy()[pick])
+        pick = b.column(0).to_numpy() == 0
+        parts.append([b.column(j).to_numpy()[pick] for j in (1, 2, 3)])
         if not pick.all():
             yield b.filter(pa.array(~pick))
-    if keys:
-        key, doc, low = _gather(np.concatenate(keys), np.concatenate(docs))
-        link = low != doc
-        for a in range(0, len(key), 1 << 20):
-            m = link[a : a + (1 << 20)]
-            yield table(_ROW, kind=np.ones(m.sum(), np.int8), key=key[a : a + (1 << 20)][m], rep=low[a : a + (1 << 20)][m], doc=doc[a : a + (1 << 20)][m])
+    if not parts:
+        return
+    key, crowd, doc = (np.concatenate(c) for c in zip(*parts))
+    at = np.argsort(key, kind="stable")
+    key, crowd, doc = key[at], crowd[at], doc[at]
+    if not len(key):
+        return
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(edge, len(key)))
+    low = np.repeat(np.minimum.reduceat(doc, edge), count)
+    many = np.repeat((count > 2) | (np.add.reduceat(crowd, edge) > 0), count)
+    link = low != doc
+    pairs, met = np.unique(np.stack([low[link & ~many], doc[link & ~many]]), axis=1, return_counts=True)
+    yield table(_ROW, kind=np.full(len(met), 3, np.int8), key=met, rep=pairs[0], doc=pairs[1])
+    link &= many
+    key, low, doc = key[link], low[link], doc[link]
+    for a in range(0, len(key), 1 << 20):
+        part = slice(a, a + (1 << 20))
+        yield table(_ROW, kind=np.ones(len(key[part]), np.int8), key=key[part], rep=low[part], doc=doc[part])
 
 
 def _bitmap_bits(n: int) -> int:
-    return min(1 << 15, max(512, 1 << int(2 * n - 1).bit_length()))
+    return min(1 << 15, max(512, 1 << int(4 * n - 1).bit_length()))
 
 
 def bitmap(a: np.ndarray) -> bytes:
@@ -297,7 +332,10 @@ def _pairs_that(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool) ->
             yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     want = ["a", "b", *[f"{c}_b" for c in cols], *[f"{c}_a" for c in cols]]
-    return pairs.join(left, "b").join(right, "a").select(*want).mapInArrow(run, "a long, b long")
+    # where pairs are few, only the sets they name are shuffled, and not all sets
+    left = left.join(_small(pairs), "b")
+    right = right.join(_small(pairs.select("a").distinct()), "a")
+    return left.join(right, "a").select(*want).mapInArrow(run, "a long, b long")
 
 
 def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -308,24 +346,44 @@ def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs
 
 
-def _apart(rows: DataFrame, tested: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+def _open_members(rows: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, id) of buckets of three or more with a link that failed."""
+    failed = cut(_labelled(tested, comp).where("ca != cb").select(F.col("a").alias("rep"), F.col("b").alias("doc")))
+    keys = cut(rows.join(_small(failed), ["rep", "doc"], "leftsemi").select("key").distinct())
+    links = rows.join(_small(keys), "key", "leftsemi")
+    return cut(links.select("key", F.explode(F.array("doc", "rep")).alias("id")).distinct())
+
+
+def _central(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs of a bucket's members with its most connected one: the one in most such buckets.
+
+    Copies with random changes are closest to what they were copied from, and that
+    one shares the most words with the others. One pair a member, of different
+    components only.
+    """
+    degree = members.groupBy("id").agg(F.count("*").alias("d"))
+    known = members.join(degree, "id")
+    centre = known.groupBy("key").agg(F.max_by("id", F.struct("d", -F.col("id"))).alias("c"))
+    pairs = members.join(centre, "key").where("id != c").select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
+    return _labelled(pairs, comp).where("ca != cb").select("a", "b")
+
+
+def _apart(members: DataFrame, tested: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
     """Pairs of bucket members that no link joins yet, filtered by bitmap.
 
     Buckets in question have three members or more and a link that failed. Their
     members are compared in blocks of ``BLOCK`` times ``BLOCK``, each block pair
     in a group of its own, so the largest bucket is still many small groups.
     """
-    failed = _labelled(tested, comp).where("ca != cb").select("a", "b")
-    keys = rows.join(failed.select(F.col("a").alias("rep"), F.col("b").alias("doc")), ["rep", "doc"], "leftsemi").select("key").distinct()
-    crowded = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").join(keys, "key", "leftsemi").select("key")
-    links = rows.join(crowded, "key", "leftsemi")
-    members = links.select("key", F.col("doc").alias("id")).unionByName(links.select("key", F.col("rep").alias("id"))).distinct()
     # buckets with the same members are one
     alike = members.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.count("*").alias("m"))
     alike = alike.groupBy("x", "m").agg(F.min("key").alias("key"))
     members = members.join(alike.select("key", "m"), "key")
+    # a bucket whose members are of one component is done
     named = comp.select(F.col("node").alias("id"), "component")
-    members = members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = cut(members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    members = members.join(_small(cut(split)), "key", "leftsemi")
     # a bucket larger than a block is dealt into chunks by a hash of the member
     chunks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     members = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
@@ -373,34 +431,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored, whatever their names.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    known = own.where("id is not null")
-    order = widespread(known, k)
-    spread = known.sparkSession.sparkContext.broadcast((order.hashes, order.weights))
+    named = own.where("id is not null")
+    order = widespread(named, k)
+    spread = named.sparkSession.sparkContext.broadcast((order.hashes, order.weights))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _emit(batches, k, percent, Order(*spread.value))
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    dealt = known.mapInArrow(emit, _ROW_SQL)
+    dealt = named.mapInArrow(emit, _ROW_SQL)
     dealt = dealt.repartition(parts, F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("doc", "key")))
     rows = cut(dealt.mapInArrow(_group, _ROW_SQL))
     sizes = rows.where("kind = 2").select(F.col("doc").alias("id"), F.col("key").alias("n_shingles"))
-    rows = rows.where("kind = 1").select("key", "rep", "doc")
+    known = rows.where("kind = 4").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b"))
     # one pair of documents may meet in many buckets
-    pairs = cut(rows.groupBy(F.col("rep").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("met")))
+    met = rows.where("kind in (1, 3)").select(F.col("rep").alias("a"), F.col("doc").alias("b"), F.when(F.col("kind") == 3, F.col("key")).otherwise(1).alias("n"))
+    pairs = cut(met.groupBy("a", "b").agg(F.sum("n").alias("met")))
+    rows = rows.where("kind = 1").select("key", "rep", "doc")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = cut(_candidate_sets(known, ids, k))
+    sets = cut(_candidate_sets(named, ids, k))
     hopeful = cut(pairs.join(_pairs_that(pairs.select("a", "b"), sets, percent, whole=False), ["a", "b"]))
     # first the link of each document met most often, then what that leaves apart
-    best = hopeful.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b")
-    links = cut(_pairs_that(best, sets, percent, whole=True))
+    best = cut(hopeful.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b"))
+    links = cut(_pairs_that(best, sets, percent, whole=True)).unionByName(known)
     comp = cut(components(links))
-    rest = _labelled(hopeful.select("a", "b").join(best, ["a", "b"], "leftanti"), comp).where("ca != cb").select("a", "b")
+    rest = cut(_labelled(hopeful.select("a", "b").join(best, ["a", "b"], "leftanti"), comp).where("ca != cb").select("a", "b"))
     more = cut(_pairs_that(rest, sets, percent, whole=True))
     links = links.unionByName(more)
     comp = cut(components(links))
     tested = pairs.select("a", "b")
-    last = cut(_pairs_that(_apart(rows, tested, sets, comp, percent), sets, percent, whole=True))
+    members = _open_members(rows, tested, comp)
+    central = cut(_central(members, comp).join(tested, ["a", "b"], "leftanti"))
+    likely = cut(_pairs_that(central, sets, percent, whole=False))
+    links = links.unionByName(cut(_pairs_that(likely, sets, percent, whole=True)))
+    comp = cut(components(links))
+    tested = tested.unionByName(central)
+    last = cut(_pairs_that(cut(_apart(members, tested, sets, comp, percent)), sets, percent, whole=True))
     links = links.unionByName(last)
     comp = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))

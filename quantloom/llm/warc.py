@@ -113,8 +113,10 @@ def _typed(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Archives all pages below folder, once; (path, records, bytes) of each file."""
     typed = _typed(pages)
-    few = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.expr(f"cast(substring(coalesce(html, ''), 1, {SAMPLE_CHARS}) AS BINARY)").alias("payload"))
-    few = few.withColumn("digest", F.sha2("payload", 256)).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES)
+    # ids first: tasks then send few bytes, and the texts of the chosen ones alone follow
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.expr(f"cast(substring(coalesce(html, ''), 1, {SAMPLE_CHARS}) AS BINARY)").alias("payload"))
+    ids = own.select("page_id").where("page_id is not null").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLES)
+    few = own.join(F.broadcast(ids), "page_id").withColumn("digest", F.sha2("payload", 256)).orderBy(F.xxhash64("page_id"), "page_id").limit(2 * SAMPLES)
     samples = [record("response", r.page_id, r.url, bytes(r.payload), r.digest, None) for r in few.collect()]
     raw = build_dictionary(samples)
     schema = pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
