@@ -140,3 +140,19 @@ def test_contract_of_the_driver(spark, data):
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(queries.QUERIES) >= 70
     assert entry.entry(spark).count() > 0
+
+
+def test_command_line(spark, tmp_path, data, capsys, monkeypatch):
+    from quantloom import cli
+
+    b = views.bars(spark, data, "4 hours").withColumn("timeframe", F.lit("1h"))
+    Lake(spark, f"file://{tmp_path}/lake").save(b)
+    for k, v in (("USE_TRADING_HOURS", "false"), ("EOD_CLOSE", "")):
+        monkeypatch.setenv(f"QUANTLOOM_{k}", v)
+    lake = ["--lake", f"file://{tmp_path}/lake"]
+    assert cli.main(["backtest", *lake, "--strategy", "channel_breakout", "--symbols", "click,view", "--params", '{"chbrk_length": 5, "chbrk_ema_period": 10}', "--out", f"file://{tmp_path}/b"]) == 0
+    assert bundles.inspect(spark, f"file://{tmp_path}/b")[0] == "valid" and cli.main(["report", "--bundle", f"file://{tmp_path}/b"]) == 0
+    assert cli.main(["validate", *lake, "--symbols", "click"]) in (0, 1)
+    (tmp_path / "p.json").write_text('{"slots": [{"strategy": "channel_breakout", "symbols": ["click"], "weight": 1.0, "params": {"chbrk_length": 5, "chbrk_ema_period": 10}}]}')
+    assert cli.main(["portfolio", *lake, "--config", f"file://{tmp_path}/p.json", "--out", f"file://{tmp_path}/p"]) == 0
+    assert bundles.inspect(spark, f"file://{tmp_path}/p")[0] == "valid" and "====" in capsys.readouterr().out
