@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from quantloom.llm.shared import shared_dir
+from quantloom.llm.shared import cut, shared_dir
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -39,8 +39,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id. Null ids stay."""
     own = docs.select(*COLUMNS)
     groups = ngram_join.near_duplicates(own)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return own.join(gone, "doc_id", "leftanti").select(*COLUMNS)
+    gone = cut(groups.where("component_id < doc_id").select("doc_id").distinct())
+    # sent to all tasks where it is small, so that texts are not shuffled
+    return own.join(ngram_join._small(gone), "doc_id", "leftanti").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
