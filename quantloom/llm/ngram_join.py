@@ -37,7 +37,7 @@ _U = np.uint64
 BAND = 4
 WIDESPREAD = 1 << 17  # shingles kept in the order's table: a proven bound on what is broadcast
 BLOCK = 512  # members of a bucket that one task compares with as many others
-SMALL = 1 << 17  # pairs or keys up to this number are sent to all tasks; more are shuffled
+SMALL = 1 << 19  # pairs or keys up to this number are sent to all tasks; more are shuffled
 
 
 def _band(n: int) -> int:
@@ -162,7 +162,7 @@ _ROW_SQL = "kind byte, key long, rep long, doc long"
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """df, to be sent to all tasks if it has few rows. Rows hold two longs at most, so that is 2 MB."""
+    """df, to be sent to all tasks if it has few rows. Rows hold two longs at most, so that is 8 MB."""
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
@@ -259,7 +259,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmap_bits(n: int) -> int:
-    return min(1 << 15, max(512, 1 << int(4 * n - 1).bit_length()))
+    return min(1 << 15, max(512, 1 << int(2 * n - 1).bit_length()))
 
 
 def bitmap(a: np.ndarray) -> bytes:
@@ -445,19 +445,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = rows.where("kind = 2").select(F.col("doc").alias("id"), F.col("key").alias("n_shingles"))
     known = rows.where("kind = 4").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b"))
     # one pair of documents may meet in many buckets
-    met = rows.where("kind in (1, 3)").select(F.col("rep").alias("a"), F.col("doc").alias("b"), F.when(F.col("kind") == 3, F.col("key")).otherwise(1).alias("n"))
-    pairs = cut(met.groupBy("a", "b").agg(F.sum("n").alias("met")))
+    pairs = cut(rows.where("kind in (1, 3)").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
     rows = rows.where("kind = 1").select("key", "rep", "doc")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = cut(_candidate_sets(named, ids, k))
-    hopeful = cut(pairs.join(_pairs_that(pairs.select("a", "b"), sets, percent, whole=False), ["a", "b"]))
-    # first the link of each document met most often, then what that leaves apart
-    best = cut(hopeful.groupBy("b").agg(F.max_by("a", F.struct("met", -F.col("a"))).alias("a")).select("a", "b"))
-    links = cut(_pairs_that(best, sets, percent, whole=True)).unionByName(known)
-    comp = cut(components(links))
-    rest = cut(_labelled(hopeful.select("a", "b").join(best, ["a", "b"], "leftanti"), comp).where("ca != cb").select("a", "b"))
-    more = cut(_pairs_that(rest, sets, percent, whole=True))
-    links = links.unionByName(more)
+    hopeful = cut(_pairs_that(pairs, sets, percent, whole=False))
+    links = cut(_pairs_that(hopeful, sets, percent, whole=True)).unionByName(known)
     comp = cut(components(links))
     tested = pairs.select("a", "b")
     members = _open_members(rows, tested, comp)

@@ -26,6 +26,9 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+FEW = 1 << 18
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links between longs to (node, component): the smallest id each node can reach.
 
@@ -34,25 +37,24 @@ def components(edges: DataFrame) -> DataFrame:
     are a combinable minimum and an equi-join, so a node with very many links
     neither gathers in one task nor makes pairs of its neighbours.
     """
-    spark = edges.sparkSession
     links = cut(
         edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    before = None
-    while True:
+    before, n = None, links.count()
+    while n:
+        # few links: minima go to all tasks (two longs a node, 2 * FEW nodes at most) and files stay few
+        sent = F.broadcast if n <= FEW else (lambda df: df)
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(sent(low), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        links = cut(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(small.select("u", F.col("m").alias("v")))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
+        small = large.join(sent(low), "u")
+        out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        out = out.where(F.col("u") != F.col("v")).distinct()
+        links = cut(out.coalesce(max(12, n >> 15)) if n <= FEW else out)
         row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if row == before or not row[0]:
+        n = row[0]
+        if row == before:
             break
         before = row
     stars = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
