@@ -359,8 +359,9 @@ EVENT_TRADES = """t AS (SELECT event_id AS trade_id, event_type AS symbol, ts AS
   CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(1 + event_id % 5 AS DOUBLE) AS quantity, 0.5 AS commission, 0.25 AS slippage FROM events WHERE event_id % 10 = 0)"""
 
 
-def _event_trades(spark: SparkSession, d: str) -> DataFrame:
-    e = views.table(spark, d, "events").where("event_id % 10 = 0")
+def _all_event_trades(spark: SparkSession, d: str) -> DataFrame:
+    """One trade an event."""
+    e = views.table(spark, d, "events")
     ts = F.col("ts").cast("timestamp_ntz")
     return e.select(
         F.col("event_id").alias("trade_id"), F.col("event_type").alias("symbol"), ts.alias("entry_time"), (ts + F.make_dt_interval(hours=(1 + F.col("event_id") % 30).cast("int"))).alias("exit_time"),
@@ -369,17 +370,44 @@ def _event_trades(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _event_trades(spark: SparkSession, d: str) -> DataFrame:
+    """The tenth of the trades that the SQL names; the queries ending in _all have every one."""
+    return _all_event_trades(spark, d).where("trade_id % 10 = 0")
+
+
+def _asof_close(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
+    got = joins.asof_backward(t, views.bars(spark, d).select("symbol", "ts", "close"), ["symbol"], ["close"], "entry_time", "ts")
+    return out(got, "trade_id", "symbol", "close")
+
+
 @query(f"""WITH b AS ({H}), {EVENT_TRADES}, m AS (SELECT t.trade_id, max(b.ts) AS bt FROM t JOIN b ON t.symbol = b.symbol AND b.ts <= t.entry_time GROUP BY 1)
 SELECT t.trade_id, t.symbol, {R('b.close', 'close')} FROM t LEFT JOIN m ON t.trade_id = m.trade_id LEFT JOIN b ON b.symbol = t.symbol AND b.ts = m.bt""")
 def asof_close(spark, d):
-    got = joins.asof_backward(_event_trades(spark, d), views.bars(spark, d).select("symbol", "ts", "close"), ["symbol"], ["close"], "entry_time", "ts")
-    return out(got, "trade_id", "symbol", "close")
+    return _asof_close(spark, d, _event_trades(spark, d))
+
+
+@query()
+def asof_close_all(spark, d):
+    return _asof_close(spark, d, _all_event_trades(spark, d))
+
+
+def _range_join_mfe_mae(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
+    return out(exits.excursions(t, views.bars(spark, d), ["symbol"]).where("mfe is not null"), "trade_id", "mfe", "mae")
 
 
 @query(f"""WITH b AS ({H}), {EVENT_TRADES}, x AS (SELECT t.trade_id, max(b.high) AS hi, min(b.low) AS lo FROM t JOIN b ON t.symbol = b.symbol AND b.ts > t.entry_time AND b.ts <= t.exit_time GROUP BY 1)
 SELECT t.trade_id, {R("greatest(0.0, CASE WHEN direction = 'LONG' THEN hi - entry_price ELSE entry_price - lo END * quantity)", 'mfe')}, {R("least(0.0, CASE WHEN direction = 'LONG' THEN lo - entry_price ELSE entry_price - hi END * quantity)", 'mae')} FROM t JOIN x ON t.trade_id = x.trade_id""")
 def range_join_mfe_mae(spark, d):
-    return out(exits.excursions(_event_trades(spark, d), views.bars(spark, d), ["symbol"]).where("mfe is not null"), "trade_id", "mfe", "mae")
+    return _range_join_mfe_mae(spark, d, _event_trades(spark, d))
+
+
+@query()
+def range_join_mfe_mae_all(spark, d):
+    return _range_join_mfe_mae(spark, d, _all_event_trades(spark, d))
+
+
+def _pnl_decay(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
+    return out(exits.forward_pnl(t, views.bars(spark, d), ["symbol"], (60, 240, 1440)), "trade_id", "minutes", "pnl", "past_end")
 
 
 @query(f"""WITH b AS ({H}), {EVENT_TRADES}, h AS (SELECT t.*, CAST(m AS INTEGER) AS minutes, entry_time + INTERVAL 1 MINUTE * CAST(m AS INTEGER) AS due FROM t CROSS JOIN (SELECT unnest([60, 240, 1440]) AS m) u),
@@ -387,7 +415,12 @@ l AS (SELECT h.trade_id, h.minutes, max(b.ts) AS bt FROM h JOIN b ON b.symbol =
 SELECT h.trade_id, h.minutes, {R("CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * (b.close - entry_price) * quantity - 0.75", 'pnl')}, h.due > z.z AS past_end
 FROM h LEFT JOIN l ON h.trade_id = l.trade_id AND h.minutes = l.minutes LEFT JOIN b ON b.symbol = h.symbol AND b.ts = l.bt LEFT JOIN z ON z.symbol = h.symbol""")
 def pnl_decay(spark, d):
-    return out(exits.forward_pnl(_event_trades(spark, d), views.bars(spark, d), ["symbol"], (60, 240, 1440)), "trade_id", "minutes", "pnl", "past_end")
+    return _pnl_decay(spark, d, _event_trades(spark, d))
+
+
+@query()
+def pnl_decay_all(spark, d):
+    return _pnl_decay(spark, d, _all_event_trades(spark, d))
 
 
 TR = views.TRADES
@@ -413,12 +446,21 @@ def exit_reason_breakdown(spark, d):
     return out(b, digits=4)
 
 
+def _holding_buckets(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
+    return out(exits.holding_buckets(t.withColumn("pnl", F.col("entry_price"))))
+
+
 @query(f"""WITH {EVENT_TRADES}, m AS (SELECT date_diff('minute', entry_time, exit_time) AS m, entry_price AS pnl FROM t),
 s AS (SELECT CASE WHEN max(m) <= 60 THEN 15 WHEN max(m) <= 240 THEN 60 WHEN max(m) <= 1440 THEN 360 ELSE 1440 END AS step FROM m),
 g AS (SELECT CAST(least(floor(m / step), 4) AS INTEGER) AS bucket, avg(pnl) AS a, count(pnl) AS n FROM m, s GROUP BY 1)
 SELECT CAST(k AS INTEGER) AS bucket, CASE k WHEN 0 THEN '<6h' WHEN 1 THEN '6h-12h' WHEN 2 THEN '12h-18h' WHEN 3 THEN '18h-24h' ELSE '>24h' END AS label, {R('coalesce(a, 0.0)', 'avg_pnl')}, coalesce(n, 0) AS n FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k) LEFT JOIN g ON g.bucket = k""")
 def holding_buckets(spark, d):
-    return out(exits.holding_buckets(_event_trades(spark, d).withColumn("pnl", F.col("entry_price"))))
+    return _holding_buckets(spark, d, _event_trades(spark, d))
+
+
+@query()
+def holding_buckets_all(spark, d):
+    return _holding_buckets(spark, d, _all_event_trades(spark, d))
 
 
 @query(f"SELECT {D('day')}, {R('sum(commission)', 'commission', 3)}, {R('sum(slippage)', 'slippage', 3)} FROM (SELECT CAST(exit_time AS DATE) AS day, * FROM ({TR})) GROUP BY day")
