@@ -341,16 +341,24 @@ FILLS_SQL = """f AS (SELECT event_type AS symbol, row_number() OVER (PARTITION B
 c AS (SELECT *, sum(q) OVER (PARTITION BY symbol, side ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hi FROM f)"""
 
 
+def _fifo_match(e: DataFrame) -> DataFrame:
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    f = e.select(F.col("event_type").alias("symbol"), F.row_number().over(w).cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (1 + F.col("event_id") % 3).cast("double").alias("quantity"), F.col("value").alias("price"), "ts")
+    m = fills.fifo_match(f, ["symbol"])
+    return out(m, "symbol", "direction", "buy_seq", "sell_seq", "quantity", "gross_pnl", digits=4)
+
+
 @query(f"""WITH {FILLS_SQL.format(day='2024-01-05')}
 SELECT b.symbol, CASE WHEN b.seq < s.seq THEN 'LONG' ELSE 'SHORT' END AS direction, b.seq AS buy_seq, s.seq AS sell_seq, least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS quantity,
 round((s.p - b.p) * (least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q)), 4) + 0.0 AS gross_pnl
 FROM c b JOIN c s ON b.symbol = s.symbol AND b.side = 'BUY' AND s.side = 'SELL' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi""")
 def fifo_match(spark, d):
-    e = views.table(spark, d, "events").where(F.to_date(F.col("ts").cast("timestamp_ntz")) <= "2024-01-05")
-    w = Window.partitionBy("event_type").orderBy("ts")
-    f = e.select(F.col("event_type").alias("symbol"), F.row_number().over(w).cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (1 + F.col("event_id") % 3).cast("double").alias("quantity"), F.col("value").alias("price"), "ts")
-    m = fills.fifo_match(f, ["symbol"])
-    return out(m, "symbol", "direction", "buy_seq", "sell_seq", "quantity", "gross_pnl", digits=4)
+    return _fifo_match(views.table(spark, d, "events").where(F.to_date(F.col("ts").cast("timestamp_ntz")) <= "2024-01-05"))
+
+
+@query()
+def fifo_match_all(spark, d):
+    return _fifo_match(views.table(spark, d, "events"))
 
 
 # joins and exits

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
+from quantloom.operators import fills
 from quantloom.plans import queries
 
 T0 = datetime(2024, 1, 1)
@@ -80,3 +81,44 @@ def test_holding_buckets_of_every_trade(spark, events):
     assert [r.n for r in got] == [len(b) for b in bins] and sum(r.n for r in got) == len(rows)
     assert [r.avg_pnl for r in got] == pytest.approx([np.mean(b) if b else 0.0 for b in bins], abs=1e-5)
     assert [r.label for r in got] == ["<1d", "1d-2d", "2d-3d", "3d-4d", ">4d"]
+
+
+def queue_matches(fills):
+    """[(buy seq, sell seq, quantity)] of one series of (seq, side, quantity) in order, from a queue of open fills."""
+    waiting, got = [], []
+    for seq, side, q in fills:
+        while q and waiting and waiting[0][1] != side:
+            n = min(q, waiting[0][2])
+            got.append((seq, waiting[0][0], n) if side == "BUY" else (waiting[0][0], seq, n))
+            waiting[0][2] -= n
+            q -= n
+            if not waiting[0][2]:
+                waiting.pop(0)
+        if q:
+            waiting.append([seq, side, q])
+    return sorted(got)
+
+
+def test_fifo_match_of_every_event(spark, events):
+    d, rows = events
+    rows = [*rows, (91, datetime(2024, 1, 9), "A", 5.0), (92, datetime(2024, 1, 10), "A", 6.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, event_type string, value double").write.mode("overwrite").parquet(f"{d}/more/events.parquet")
+    price, want = {}, []
+    for s in "AB":
+        own = [(n + 1, "BUY" if r[0] % 2 == 0 else "SELL", 1.0 + r[0] % 3, r[3]) for n, r in enumerate(r for r in rows if r[2] == s)]
+        price |= {(s, n): p for n, _, _, p in own}
+        want += [(s, "LONG" if b < c else "SHORT", b, c, q) for b, c, q in queue_matches([x[:3] for x in own])]
+    got = queries.QUERIES["fifo_match_all"](spark, f"{d}/more").collect()
+    assert sorted((r.symbol, r.direction, r.buy_seq, r.sell_seq, r.quantity) for r in got) == sorted(want)
+    assert all(r.gross_pnl == pytest.approx((price[r.symbol, r.sell_seq] - price[r.symbol, r.buy_seq]) * r.quantity, abs=1e-3) for r in got)
+
+
+def test_fifo_match_pairs_no_rows_freely(spark):
+    """Each fill meets the fills of its bucket only; uneven sizes, one fill as large as hundreds of others."""
+    rng = np.random.default_rng(9)
+    size = [400.0 if n == 300 else float(rng.integers(1, 5)) for n in range(1, 1201)]
+    rows = [("X", n, "BUY" if rng.random() < 0.5 else "SELL", q, float(n), n) for n, q in enumerate(size, 1)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, side string, quantity double, price double, ts long")
+    m = fills.fifo_match(df, ["symbol"])
+    assert sorted((r.buy_seq, r.sell_seq, r.quantity) for r in m.collect()) == queue_matches([r[1:4] for r in rows])
+    assert "_bucket" in next(x for x in m._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
