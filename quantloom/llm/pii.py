@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -82,26 +83,18 @@ def base_spans(s: str) -> list[tuple[int, int, str]]:
 
 
 # generators: (kind, pattern, group); each begins at a place that few texts have
-_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,200}(?![A-Za-z0-9_+/=-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 _NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){7,23}(?![0-9])")
 _SPELLED = re.compile(r"[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+")
-WINDOW = 300  # characters around a digit that generators see
+_LONG = re.compile(rb"[A-Za-z0-9_+/=-]{16}")  # in every text with a secret
 
 
 def candidates(s: str) -> list[tuple[int, int, str]]:
     """Overlapping spans of the four further kinds."""
-    out, end, places = [], -1, []
-    for m in re.finditer("[0-9]{2,}", s):  # windows around numbers, merged
-        a, b = max(0, m.start() - WINDOW), min(len(s), m.end() + WINDOW)
-        if a <= end:
-            places[-1][1] = b
-        else:
-            places.append([a, b])
-        end = b
-    for a, b in places:
-        for kind, pattern in (("secret", _SECRET), ("local_phone", _LOCAL_PHONE), ("number", _NUMBER)):
-            out += [(*m.span(), kind) for m in pattern.finditer(s, a, b) if kind != "secret" or re.search("[A-Za-z]", m.group())]
+    out = [(*m.span(), "secret") for m in _SECRET.finditer(s) if re.search("[A-Za-z]", m.group())]
+    for kind, pattern in (("local_phone", _LOCAL_PHONE), ("number", _NUMBER)):
+        out += [(*m.span(), kind) for m in pattern.finditer(s)]
     if " dot " in s or "dot)" in s or "dot]" in s:
         out += [(*m.span(), "spelled_email") for m in _SPELLED.finditer(s)]
     return out
@@ -281,13 +274,12 @@ def more_spans(s: str, base: list[tuple[int, int, str]], m: Boosted) -> list[tup
     if not found:
         return []
     score = m.score(np.array([describe(s, *c) for c in found]))
-    chosen: list[tuple[int, int, str]] = []
-    taken: set[int] = set()
+    chosen: list[tuple[int, int, str]] = []  # by place, none touching another
     for i in sorted(range(len(found)), key=lambda i: (-score[i], found[i][0], found[i][1])):
         a, b, kind = found[i]
-        if score[i] >= m.cuts[kind] and not taken.intersection(range(a, b)):
-            taken.update(range(a, b))
-            chosen.append(found[i])
+        k = bisect_left(chosen, (b,))  # the first that begins at b or later
+        if score[i] >= m.cuts[kind] and (not k or chosen[k - 1][1] <= a):
+            chosen.insert(k, found[i])
     return chosen
 
 
@@ -296,7 +288,7 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def _interesting(t: Texts) -> np.ndarray:
-    """Documents with a digit, an @ or a spelled-out dot; the others have no spans."""
+    """Documents with a digit or an @; the others have spans only with a long token or a spelled-out dot."""
     total = np.concatenate([[0], np.cumsum(((t.buf >= 48) & (t.buf < 58)) | (t.buf == 64))])
     return (total[t.offs[1:]] - total[t.offs[:-1]]) > 0
 
@@ -320,7 +312,7 @@ def find(docs: DataFrame) -> DataFrame:
                 some = _interesting(t)
                 for i in range(t.n):
                     raw = t.buf[t.offs[i] : t.offs[i + 1]].tobytes()
-                    if not some[i] and b" dot " not in raw and b"dot)" not in raw and b"dot]" not in raw:
+                    if not some[i] and b" dot " not in raw and b"dot)" not in raw and b"dot]" not in raw and not _LONG.search(raw):
                         rows.append((0, 0, 0, 0, hashlib.sha256(b"").hexdigest(), ""))
                         continue
                     s = raw.decode("utf-8", "replace")

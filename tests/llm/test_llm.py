@@ -353,6 +353,16 @@ def test_pii(spark, odd, none):
     assert "<email>" in clean[0].text and "a.b@" not in clean[0].text and clean[1].text is None
 
 
+def test_pii_tokens_are_whole_and_need_no_digits(spark):
+    plain, mixed, single = "aBcDeFgHiJkLmNoPqRsTuVwXyZ", "aB3dE5fG7hJ9kL2mN4pQ6rS8tU1vW3xY5z", "1 2 3 4 5 6 7 8 9"
+    edge = "12" + " words" * 45 + "  " + mixed  # 300 characters after the number lie within the token
+    for s, token, kind in ((f"token = {plain} and after", plain, "secret"), (edge, mixed, "secret"), (f"key: {mixed * 20} end", mixed * 20, "secret"), (f"account {single} end", single, "number")):
+        assert (s.index(token), s.index(token) + len(token), kind) in pii.candidates(s)
+    rows = [(1, f"token = {plain} and after"), (2, f"key: {mixed * 20} end"), (3, "no token here")]
+    assert [r.spans for r in pii.find(docs(spark, rows)).orderBy("doc_id").collect()] == ["secret:8:34", f"secret:5:{5 + 34 * 20}", ""]
+    assert [r.text for r in pii.redact(docs(spark, rows)).orderBy("doc_id").collect()] == ["token = <secret> and after", "key: <secret> end", "no token here"]
+
+
 def test_pii_trees_on_fresh_examples():
     m, hit, wrong, all_ = pii.model(), 0, 0, 0
     for s, spans in pii._examples(99, 300):
