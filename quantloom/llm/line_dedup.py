@@ -1,15 +1,21 @@
 """Repeated runs of lines, found by winnowing and deleted where they come later.
 
-Lines with a word are hashed. A window is the least run of neighbouring lines
-that has ``min_words`` words, taken forward from each line and backward from each
-line. Its fingerprint stands at the window's minimal line hash and carries the hash
-of the whole window, so any run of that many words in two places selects the same
-fingerprints in both: the choice depends on the window's lines alone. Equal
-fingerprints are joined to their first position in the corpus. Matches extend both
-ways by their neighbours' windows: a longer run is the union of the forward windows
-from each of its lines and the backward windows to each of its lines, which all
-match, so the union is the maximal run and no second document need be read. Lines
-in matched windows that are not the first of their kind are deleted.
+Lines with a word are hashed. A window is the least run of neighbouring lines that
+has ``min_words`` words, taken forward from each line and backward from each line.
+Every window selects its minimal line hash (the first of equal ones), and the
+selected lines are the document's fingerprints: the choice depends on a window's
+lines alone, so two places that share a run of that many words share fingerprints.
+
+Fingerprints that stand in one place only are dropped. The positions of the others
+are joined, each through the windows that selected it, so that a line which very many
+documents have is still split by what stands around it and no pairs of positions
+are made. A match is extended both ways by the windows before and behind it: a longer
+run is the union of the forward windows from each of its lines and the backward
+windows to each of its lines. Those all match with their own first place, which may
+lie in different documents; extending against one earlier copy would lose a run
+whose only earlier copy is in another. Windows are compared by 128 bits, two
+independent hashes of their lines' bytes. Of a later run, the lines outside its
+first occurrence are deleted.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textkit import Texts, as_long, mix, table, texts
+from .textkit import OTHER_SEED, SEED, Texts, as_long, mix, texts
 
 MIN_WORDS = 50
 _U = np.uint64
@@ -44,86 +50,109 @@ def lines_of(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return begin, end, words, np.searchsorted(doc, np.arange(t.n + 1))
 
 
-def windows(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of one document: (key, place of the minimum, first and last line) over its lines with words."""
-    n = len(hashes)
+def _chained(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run of line hashes, item after item."""
+    out = hashes[first].copy()
+    at = np.flatnonzero(first < last)
+    step = 1
+    while len(at):
+        out[at] = mix(out[at] * _U(3) + hashes[first[at] + step])
+        step += 1
+        at = at[first[at] + step <= last[at]]
+    return out
+
+
+def _minima(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The place of the least hash in each run, the first of equal ones."""
+    place = first.copy()
+    at = np.flatnonzero(first < last)
+    step = 1
+    while len(at):
+        other = first[at] + step
+        place[at] = np.where(hashes[other] < hashes[place[at]], other, place[at])
+        step += 1
+        at = at[first[at] + step <= last[at]]
+    return place
+
+
+def windows(words: np.ndarray, edges: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every window, over lines with words; ``edges`` has each document's first line."""
+    n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
-    if total[-1] < min_words:
-        z = np.zeros(0, np.int64)
-        return np.zeros(0, _U), z, z, z
     at = np.arange(n)
+    begin, end = np.repeat(edges[:-1], np.diff(edges)), np.repeat(edges[1:], np.diff(edges))
     stop = np.searchsorted(total, total[:-1] + min_words)  # forward: lines at .. stop - 1
-    ok = stop <= n
-    first, last = at[ok], stop[ok] - 1
+    ok = stop <= end
     back = np.searchsorted(total, total[1:] - min_words, "right") - 1  # backward: lines back .. at
-    ok = total[1:] >= min_words
-    first, last = np.concatenate([first, back[ok]]), np.concatenate([last, at[ok]])
-    pairs = np.unique(np.stack([first, last]), axis=1)
-    first, last = pairs
-    # the hash of a window: a polynomial over its line hashes, from prefix sums
-    power = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n, _U(0x9E3779B97F4A7C15))]))
-    inverse = np.multiply.accumulate(np.concatenate([np.ones(1, _U), np.full(n, _U(pow(0x9E3779B97F4A7C15, -1, 2**64)))]))
-    prefix = np.concatenate([np.zeros(1, _U), np.cumsum(hashes * power[:-1])])
-    key = (prefix[last + 1] - prefix[first]) * inverse[first]
-    low = np.array([a + int(np.argmin(hashes[a : b + 1])) for a, b in zip(first.tolist(), last.tolist())], np.int64)
-    return mix(mix(key) + hashes[low] + (last - first).astype(_U)), low, first, last
+    fits = back >= begin
+    both = np.unique(np.concatenate([at[ok] * (n + 1) + stop[ok] - 1, back[fits] * (n + 1) + at[fits]]))
+    return both // (n + 1), both % (n + 1)
 
 
-_PRINT = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("key", pa.int64()), ("place", pa.int32()), ("first", pa.int32()), ("last", pa.int32())])
-_PRINT_SQL = "doc_id long, mark long, key long, place int, first int, last int"
+_PRINT = pa.schema(
+    [("doc_id", pa.int64()), ("mark", pa.int64()), ("print", pa.int64()), ("lead", pa.bool_()), ("key", pa.int64()), ("key2", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]
+)
+_PRINT_SQL = "doc_id long, mark long, print long, lead boolean, key long, key2 long, first int, last int"
 
 
 def _prints(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.RecordBatch]:
+    """The windows of each document with the fingerprint each selects; ``lead`` on one row of each selected place."""
     for b in batches:
         for t in texts(b.column(2)):
             begin, end, words, edges = lines_of(t)
-            hashes = t.spans(begin, end)
-            rows, parts = [], []
-            for i in range(t.n):
-                own = slice(edges[i], edges[i + 1])
-                some = np.flatnonzero(words[own])
-                got = windows(hashes[own][some], words[own][some], min_words)
-                if len(got[0]):
-                    parts.append((as_long(got[0]), *[some[g] for g in got[1:]]))
-                    rows.append(np.full(len(got[0]), t.first + i))
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                key, place, first, last = (np.concatenate(c) for c in zip(*parts))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(1).take(at), pa.array(key), pa.array(place.astype(np.int32)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], schema=_PRINT
-                )
+            some = np.flatnonzero(words)
+            bounds = np.searchsorted(some, edges)
+            first, last = windows(words[some], bounds, min_words)
+            if not len(first):
+                continue
+            hashes, others = (t.spans(begin[some], end[some], seed=x) for x in (SEED, OTHER_SEED))
+            place = _minima(hashes, first, last)
+            lead = np.zeros(len(place), bool)
+            lead[np.unique(place, return_index=True)[1]] = True
+            doc = np.searchsorted(bounds, first, "right") - 1
+            at = pa.array(doc + t.first)
+            start = edges[doc]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(at), b.column(1).take(at), pa.array(as_long(hashes[place])), pa.array(lead), pa.array(as_long(_chained(hashes, first, last))),
+                 pa.array(as_long(_chained(others, first, last))), pa.array((some[first] - start).astype(np.int32)), pa.array((some[last] - start).astype(np.int32))],
+                schema=_PRINT,
+            )
 
 
 def _without(batches: Iterator[pa.RecordBatch], at: int, cuts: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Texts without the runs in column ``cuts``, a slice of a batch at a time."""
     for b in batches:
-        text, runs = b.column(at).to_pylist(), b.column(cuts).to_pylist()
-        lines, gone = [], []
-        for i, (s, r) in enumerate(zip(text, runs)):
-            if r is None:
-                lines.append(None if s is None else s.count("\n") + 1)
-                gone.append(0)
-                continue
-            parts = s.split("\n")
-            drop = np.zeros(len(parts) + 1, np.int64)
-            for x in r:
-                drop[x["first"]] += 1
-                drop[x["last"] + 1] -= 1
-            drop = np.cumsum(drop)[:-1] > 0
-            lines.append(len(parts))
-            gone.append(int(drop.sum()))
-            text[i] = "\n".join(p for p, d in zip(parts, drop.tolist()) if not d)
-        cols = [pa.array(text, pa.string()) if j == at else c for j, c in enumerate(b.columns) if j != cuts]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], schema=schema)
+        for t in texts(b.column(at)):
+            part = b.slice(t.first, t.n)
+            feeds = np.concatenate([[0], np.cumsum(t.buf == 10)])
+            lines = pa.array(feeds[t.offs[1:]] - feeds[t.offs[:-1]] + 1, mask=part.column(at).is_null().to_numpy(zero_copy_only=False))
+            gone, text = np.zeros(t.n, np.int64), part.column(at)
+            cut = np.flatnonzero(part.column(cuts).is_valid().to_numpy(zero_copy_only=False))
+            if len(cut):
+                fresh = text.to_pylist()
+                for i in cut.tolist():
+                    rows = fresh[i].split("\n")
+                    drop = np.zeros(len(rows) + 1, np.int64)
+                    for x in part.column(cuts)[i].as_py():
+                        drop[x["first"]] += 1
+                        drop[x["last"] + 1] -= 1
+                    drop = np.cumsum(drop)[:-1] > 0
+                    gone[i] = int(drop.sum())
+                    fresh[i] = "\n".join(r for r, d in zip(rows, drop.tolist()) if not d)
+                text = pa.array(fresh, pa.string())
+            cols = [text if j == at else c for j, c in enumerate(part.columns) if j != cuts]
+            yield pa.RecordBatch.from_arrays([*cols, lines, pa.array(gone)], schema=schema)
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of docs with later repeats cut from ``text``, and n_lines and n_deleted.
 
     First is the smallest (doc_id, text hash, line); null ids come last. Repeats
-    within a document count. Runs below ``min_words`` words stay, blank lines
-    inside a deleted run go with it. Rows equal in doc_id and text are one
-    document and are treated alike. Null and empty texts stay as they are; other
-    columns are carried, but for ones named n_lines and n_deleted, which are replaced.
+    within a document count, and where one overlaps its first occurrence, the lines of
+    that stay. Runs below ``min_words`` words stay, blank lines inside a deleted run go
+    with it. Rows equal in doc_id and text are one document and are treated alike.
+    Null and empty texts stay as they are; other columns are carried, but for ones
+    named n_lines and n_deleted, which are replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -137,11 +166,12 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return _prints(batches, min_words)
 
     found = cut(keyed.select("_id", "_mark", "_text").mapInArrow(prints, _PRINT_SQL))
-    place = F.struct("doc_id", "mark", "first", "last")
-    heads = found.groupBy("key").agg(F.min(place).alias("head"), F.max(place).alias("tail")).where("head != tail").select("key", "head")
-    later = found.join(heads, "key").where(place != F.col("head"))
-    # a first window may still overlap a repeat in its own document; only the repeat goes
-    runs = later.select("doc_id", "mark", "first", "last").distinct()
+    again = found.where("lead").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    found = found.join(again, "print", "leftsemi").select("key", "key2", F.struct("doc_id", "mark", "first", "last").alias("place"))
+    heads = found.groupBy("key", "key2").agg(F.min("place").alias("head"), F.max("place").alias("tail")).where("head != tail").select("key", "key2", "head")
+    later = found.join(heads, ["key", "key2"]).where("place != head")
+    overlaps = (F.col("place.doc_id") == F.col("head.doc_id")) & (F.col("place.mark") == F.col("head.mark")) & (F.col("place.first") <= F.col("head.last"))
+    runs = later.select("place.doc_id", "place.mark", F.when(overlaps, F.col("head.last") + 1).otherwise(F.col("place.first")).alias("first"), "place.last").where("first <= last").distinct()
     runs = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
     joined = keyed.drop("_text").join(runs, (keyed["_id"] == runs["doc_id"]) & (keyed["_mark"] == runs["mark"]), "left")
     joined = joined.select(*[F.col("row")[c].alias(c) for c in names], F.col("_runs").alias("n_deleted"))

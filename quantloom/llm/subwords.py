@@ -11,14 +11,14 @@ encoded and kept (at most ``CACHE`` units, then the table starts anew).
 from __future__ import annotations
 
 import base64
+import secrets
 
 import numpy as np
 import pyarrow as pa
 
 from .textkit import _SPACE, Texts, texts
 
-CACHE = 1 << 20
-SLICE = 4 << 20
+CACHE = 1 << 19
 _ALNUM = np.zeros(256, bool)
 _ALNUM[48:58] = _ALNUM[65:91] = _ALNUM[97:123] = True
 _PUNCT = np.zeros(256, bool)
@@ -43,6 +43,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_file)
+        self.seed = np.uint64(secrets.randbits(64))  # ids do not depend on it, and no text can be made to fit it
         self.specials = [t.content for t in self.exact.get_added_tokens_decoder().values()]
         self.dtype = np.uint16 if self.exact.get_vocab_size() <= 1 << 16 else np.uint32
         self.quick = None
@@ -96,7 +97,7 @@ class Encoder:
         cut[offs[:-1][offs[:-1] < len(buf)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(buf))
-        hashes = t.spans(starts, ends)
+        hashes = t.spans(starts, ends, seed=self.seed)
         distinct, where, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = buf.tobytes()
         for _ in range(2):
@@ -119,7 +120,7 @@ class Encoder:
     def encode(self, column: pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null is an empty text."""
         out: list[np.ndarray] = []
-        for t in texts(column, SLICE):
+        for t in texts(column):
             odd = np.add.reduceat(_ODD[t.buf], np.minimum(t.offs[:-1], max(0, len(t.buf) - 1))) if len(t.buf) else np.zeros(t.n)
             odd = np.where(np.diff(t.offs) > 0, odd, 0)
             got = self._slice(t) if self.quick else None

@@ -9,6 +9,7 @@ if it is longer), so memory follows the longest document and not the batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +18,12 @@ _U = np.uint64
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_RNG = np.random.default_rng(20240601)
-_BYTE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * _U(2) + _U(1)
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
-_STEP = _U(0x9E3779B97F4A7C15)
-_STEP_INV = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_MULT = _RNG.integers(1, 2**63, size=64, dtype=np.uint64) * _U(2) + _U(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_MULT = np.random.default_rng(20240601).integers(1, 2**63, size=64, dtype=np.uint64) * _U(2) + _U(1)
+_LEFT = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], _U)  # keeps the first k bytes of a little-endian word
+SEED, OTHER_SEED = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
+LONG = 512  # bytes of a span from which a library's hash is taken
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,17 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(which: str, n: int) -> np.ndarray:
-    """step**i (or its inverse) modulo 2**64 for i below n, kept for the slice size."""
-    if len(kept := _powers[which]) < n:
-        base = np.full(n, _STEP if which == "up" else _STEP_INV, _U)
-        base[0] = 1
-        kept = np.multiply.accumulate(base)
-        if n <= 4 * SLICE_BYTES:
-            _powers[which] = kept
-    return kept[:n]
-
-
 class Texts:
     """A run of documents as one byte buffer; ``offs`` has the bounds of each."""
 
@@ -69,15 +57,33 @@ class Texts:
         starts = np.flatnonzero(begin)
         return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, self.offs)
 
-    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span; equal bytes give equal hashes."""
-        n = len(self.buf)
-        if not n or not len(starts):
-            return np.zeros(len(starts), _U)
-        total = np.empty(n + 1, _U)
-        total[0] = 0
-        np.cumsum((_LOWER if lower else _BYTE)[self.buf] * _power("up", n), out=total[1:])
-        return mix((total[ends] - total[starts]) * _power("down", n + 1)[starts] + (ends - starts).astype(_U) * _MULT[63])
+    def spans(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False, seed: np.uint64 = SEED) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span; equal bytes give equal hashes.
+
+        Eight bytes at a time go through a full mix each, so no pattern of bytes
+        cancels another, as it can in a polynomial modulo 2**64.
+        """
+        starts, ends = np.asarray(starts, np.int64), np.asarray(ends, np.int64)
+        out = mix((ends - starts).astype(_U) * _MULT[63] + seed)
+        if not len(self.buf) or not len(starts):
+            return out
+        raw = np.zeros(len(self.buf) + 8, np.uint8)
+        raw[:-8] = _LOWER[self.buf] if lower else self.buf
+        words = np.ndarray(len(self.buf) + 1, "<u8", raw, strides=(1,))
+        size = ends - starts
+        long = np.flatnonzero(size >= LONG)
+        for i in long.tolist():
+            out[i] = int.from_bytes(blake2b(raw[starts[i] : ends[i]].data, digest_size=8, key=seed.tobytes()).digest(), "little")
+        todo = np.flatnonzero((size > 0) & (size < LONG))
+        at, left, h = starts[todo], size[todo], out[todo]
+        while len(todo):
+            h = mix((h ^ (words[at] & _LEFT[np.minimum(left, 8)])) + seed)
+            more = left > 8
+            if not more.all():
+                out[todo[~more]] = h[~more]
+                todo, at, left, h = todo[more], at[more], left[more], h[more]
+            at, left = at + 8, left - 8
+        return out
 
 
 def texts(column: pa.Array | pa.ChunkedArray, slice_bytes: int = SLICE_BYTES) -> Iterator[Texts]:

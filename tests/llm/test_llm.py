@@ -187,19 +187,18 @@ def test_prefixes_of_linked_sets_meet():
 
 
 def plain_lines(rows, least):
-    seen, out = set(), {}
+    seen, out = {}, {}
     for i, s in sorted(rows, key=lambda r: r[0]):
         lines = (s or "").split("\n")
         full = [j for j, x in enumerate(lines) if WORD.search(x)]
-        size, drop, new = [len(WORD.findall(lines[j])) for j in full], set(), set()
+        size, drop = [len(WORD.findall(lines[j])) for j in full], set()
         for a in range(len(full)):
             for b in range(a, len(full)):
                 if sum(size[a : b + 1]) >= least:
                     run = tuple(lines[j] for j in full[a : b + 1])
-                    if run in seen:
-                        drop |= set(range(full[a], full[b] + 1))
-                    else:
-                        seen.add(run)
+                    doc, last = seen.setdefault(run, (i, full[b]))
+                    if (doc, last) != (i, full[b]):  # lines of the first occurrence stay, even where a later one overlaps it
+                        drop |= set(range(max(full[a], last + 1) if doc == i else full[a], full[b] + 1))
         out[i] = None if s is None else "\n".join(x for j, x in enumerate(lines) if j not in drop)
     return out
 
@@ -213,6 +212,45 @@ def test_lines_equal_all_runs(spark, seed):
     assert got == plain_lines(rows, 10)
 
 
+def test_lines_of_an_overlapping_repeat_stay_once(spark):
+    line = "one two three four five six seven eight nine ten"
+    rows = [(1, "\n".join([line] * 12)), (2, line), (3, "\n".join([line] * 6))]
+    got = {r.doc_id: r.text for r in line_dedup.drop_repeats(docs(spark, rows)).collect()}
+    assert got == plain_lines(rows, 50) == {1: "\n".join([line] * 5), 2: line, 3: ""}
+
+
+def thue_morse(n):
+    """Two different words of n letters that polynomial hashes modulo a power of two take as equal."""
+    w = "a"
+    while len(w) < n:
+        w += w.translate(str.maketrans("ab", "ba"))
+    return w, w.translate(str.maketrans("ab", "ba"))
+
+
+def test_patterned_words_and_lines_are_told_apart(spark):
+    a, b = thue_morse(2048)
+    for t in textkit.texts(pa.array([a + " " + b])):
+        x = t.spans(*t.words()[:2])
+        assert x[0] != x[1]
+    tail = " " + " ".join(f"w{i}" for i in range(60))
+    lines = [(1, a + tail), (2, b + tail), (3, "\n".join(f"line {c}" for c in a)), (4, "\n".join(f"line {c}" for c in b))]
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeats(docs(spark, lines[:2])).collect()} == dict(lines[:2])
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeats(docs(spark, lines[2:]), 4000).collect()} == dict(lines[2:])
+    e = Encoder(*default_files())
+    assert [x.tolist() for x in e.encode(pa.array([a, b]))] == [e.exact.encode(x, add_special_tokens=False).ids for x in (a, b)]
+    five = [(1, f"x {a} y z w v"), (2, f"x {b} y z w v")]
+    assert [r.component_id for r in ngram_join.near_duplicates(docs(spark, five)).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_lines_of_very_long_texts(spark):
+    rnd = random.Random(5)
+    block = "\n".join(prose(rnd, 12) for _ in range(6))
+    long = "\n".join(f"{i} " + prose(rnd, 9) for i in range(30000))  # over a slice of a batch
+    rows = [(1, block), (2, long + "\n" + block + "\nend"), (3, None)]
+    got = {r.doc_id: (r.text, r.n_deleted) for r in line_dedup.drop_repeats(docs(spark, rows).coalesce(1)).collect()}
+    assert len(long) > 1 << 20 and got == {1: (block, 0), 2: (long + "\nend", 6), 3: (None, 0)}
+
+
 def test_lines_odd_rows(spark, odd, none):
     rows = line_dedup.drop_repeats(odd).collect()
     key = lambda x: (str(x[0]), str(x[1]))
