@@ -21,6 +21,8 @@ SHARE, LIMIT = 1.5, 2
 BLOCK = 16  # words
 SHARD_ROWS = 256  # expected rows of a shard
 SEED = "mix-1"
+BINS = 4096  # of quotients that are looked at; only those of one bin are ranked
+FEW = 1 << 18  # sources (a digest and four numbers each) that are sent to all tasks; more are shuffled
 
 
 def words(c: F.Column) -> F.Column:
@@ -33,16 +35,31 @@ def _hash(*cols: F.Column) -> F.Column:
     return F.xxhash64(F.lit(SEED), *cols)
 
 
+def _placed(sources: DataFrame) -> DataFrame:
+    """Adds ``place``, from 0, by code point with null last: ranks inside ranges, then the ranges' offsets."""
+    spark = sources.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    by = F.col("source").asc_nulls_last()
+    rows = cut(sources.repartitionByRange(parts, by).sortWithinPartitions(by).withColumn("at", F.monotonically_increasing_id()))
+    sizes = {r.part: r.n for r in rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect()}  # one a partition
+    before, offsets = 0, []
+    for part in sorted(sizes):
+        offsets.append((part, before))
+        before += sizes[part]
+    offsets = spark.createDataFrame(offsets, "part long, before long")
+    rows = rows.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(offsets), "part")
+    return rows.withColumn("place", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).drop("part", "before", "at")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
-    """(source, source_size, rows) to the same with target.
+    """(source, source_size, ...) to the same with place, weight and target.
 
     A source is at its limit where the common rate of words per weight would pass
     it. The rate rises as sources stop, so a few passes over the source table (one
     row a source, aggregated to a row each pass) settle it.
     """
-    place = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((F.row_number().over(place) - 1) % len(weights) + 1).cast("int"))
-    table = cut(sources.withColumn("weight", weight))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    table = cut(_placed(sources).withColumn("weight", weight))
     rate = 0.0
     total = share * (table.agg(F.sum("source_size")).first()[0] or 0)
     while True:
@@ -59,70 +76,81 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return table.withColumn("target", F.least(F.col("weight") * F.lit(rate), (limit * F.col("source_size")).cast("double")))
 
 
-def apportion(groups: DataFrame, key: list[str], value: str, seats: str, tie: list[str]) -> DataFrame:
-    """Adds ``quota``: how many of each key's ``seats`` a row gets, by the highest quotients value / (2 j + 1).
+def apportion(groups: DataFrame, key: str, value: str, seats: str, tie: str, bins: int = BINS) -> DataFrame:
+    """Adds ``quota``: how many of its key's ``seats`` a row gets, by the highest quotients value / (2 j + 1).
 
-    Rounding value / divisor is the method's own result for some number of seats
-    close to the wanted one; the seats between the two go to, or come from, the
-    next quotients in order.
+    A row has floor(x value + 1/2) quotients of 1 / (2 x) or more. With V the sum of
+    values and n their number, x = (seats - n/2) / V gives no more quotients than seats
+    and x = (seats + n/2) / V no fewer, and about n quotients lie between. Those are
+    counted by bin of x, which are spread over tasks; the bin that holds the last seat
+    is ranked (equal quotients in the order of ``tie``). Keys and ties are not null.
     """
-    by = Window.partitionBy(*key)
-    total = F.sum(value).over(by)
-    rows = groups.withColumn("exact", F.when(total > 0, F.col(value) * F.col(seats) / total).otherwise(0.0))
-    rows = rows.withColumn("start", F.greatest(F.lit(0), F.floor(F.col("exact") + 0.5)).cast("long"))
-    rows = rows.withColumn("missing", (F.col(seats) - F.sum("start").over(by)).cast("long"))
-    # next quotients up or down, a few a row; a row's j-th lies behind its (j - 1)-th by itself
-    steps = F.when(F.col("missing") > 0, F.sequence(F.lit(0), F.lit(2))).when(F.col("missing") < 0, F.sequence(F.lit(-1), F.lit(-3), F.lit(-1)))
-    some = rows.where("missing != 0").withColumn("j", F.explode(steps)).where("start + j >= 0").where(F.col(value) > 0)
-    some = some.withColumn("quotient", F.col(value) / (2 * (F.col("start") + F.col("j")) + 1))
-    first = Window.partitionBy(*key).orderBy(F.when(F.col("missing") > 0, -F.col("quotient")).otherwise(F.col("quotient")), *tie)
-    moved = some.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= F.abs("missing"))
-    moved = moved.groupBy(*key, *tie).agg(F.sum(F.signum("missing")).cast("long").alias("more"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*key, *tie]]
-    out = rows.alias("l").join(moved.alias("r"), on=same, how="left")
-    return out.select("l.*", (F.col("l.start") + F.coalesce(F.col("r.more"), F.lit(0))).alias("quota")).drop("exact", "start", "missing")
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, first, rest.
-
-    ``taken`` = whole rounds times size + ``rest``; the rest are the words from
-    ``first`` on, around the end. Null and empty texts have size 0 and take 0. The
-    null source is a source, last in order. Null or equal ids are told apart by
-    their texts; rows equal in both are interchangeable. Reruns agree.
+    positive = groups.where(F.col(value) > 0)
+    facts = positive.groupBy(key).agg(F.sum(value).cast("double").alias("_v"), F.count("*").alias("_n"), F.max(seats).alias("_s"))
+    rows = positive.select(key, tie, F.col(value).alias("_own")).join(facts, key)
+    low = F.greatest(F.lit(0.0), (F.col("_s") - F.col("_n") / 2) / F.col("_v"))
+    high = (F.col("_s") + F.col("_n") / 2) / F.col("_v")
+    # one quotient more at either end, for rounding
+    rows = rows.withColumn("_base", F.greatest(F.lit(0), F.floor(F.col("_own") * low + 0.5) - 1).cast("long"))
+    last = F.floor(F.col("_own") * high + 0.5).cast("long")
+    # j = -1 stands for the quotients below base, which are taken without a look
+    at = rows.withColumn("_j", F.explode(F.concat(F.array(F.lit(-1).cast("long")), F.sequence(F.col("_base"), last))))
+    x = (2 * F.col("_j") + 1) / (2 * F.col("_own"))
+    spot = F.least(F.lit(bins), F.greatest(F.lit(0), F.floor((x - low) / (high - low) * bins))).cast("int")
+    at = at.select(
+        key, tie, "_s", (F.col("_own") / (2 * F.col("_j") + 1)).alias("_q"),
+        F.when(F.col("_j") < 0, -1).otherwise(spot).alias("_bin"), F.when(F.col("_j") < 0, F.col("_base")).otherwise(1).alias("_w"),
+    )
+    upto = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sums = at.groupBy(key, "_bin").agg(F.sum("_w").alias("_w"), F.max("_s").alias("_s"))
+    sums = sums.withColumn("_before", F.coalesce(F.sum("_w").over(upto), F.lit(0)))
+    edge = sums.where((F.col("_before") < F.col("_s")) & (F.col("_before") + F.col("_w") >= F.col("_s"))).select(key, F.col("_bin").alias("_edge"), (F.col("_s") - F.col("_before")).alias("_open"))
+    at = at.join(edge, key)
+    ranked = at.where("_bin = _edge").withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_q"), tie)))
+    got = at.where("_bin < _edge").select(key, tie, "_w").unionByName(ranked.where("_rank <= _open").select(key, tie, "_w"))
+    got = got.groupBy(key, tie).agg(F.sum("_w").alias("quota"))
+    return groups.join(got, [key, tie], "left").withColumn("quota", F.coalesce("quota", F.lit(0)).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, limit: int = LIMIT, block: int = BLOCK, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, rounds, first, rest.
+
+    ``taken`` = rounds * size + ``rest``; the rest are the words from ``first`` on,
+    around the end. With ``whole`` the columns of docs come along in a struct
+    ``row``, so that the decision stands beside the text it is about. Null and empty
+    texts have size 0 and take 0. The null source is a source, last in order. Null or
+    equal ids are told apart by their texts; rows equal in id, source and text are
+    interchangeable. Reruns agree. An empty table gives no rows.
     """
-    sized = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "source", words(F.col("text")).alias("size"),
-        _hash(F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text"))).alias("h"),
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.md5(F.col("source").cast("binary")), F.lit("")).alias("s"), words(F.col("text")).alias("size"),
+        _hash(F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text"))).alias("h"), _hash("text").alias("h2"),
+        *([F.struct(*docs.columns).alias("row")] if whole else []),
     )
-    sized = cut(sized)
-    # the shard count of a source follows its rows; partial sums first, so the largest source is no burden
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    sources = targets(sources, weights, share, limit)
-    sources = sources.withColumn("one", F.lit(1)).withColumn("blocks", F.floor(F.sum("target").over(Window.partitionBy("one")) / block + 0.5).cast("long"))
-    sources = cut(apportion(sources, ["one"], "target", "blocks", ["source"]).withColumnRenamed("quota", "source_blocks").drop("one", "blocks"))
-    shards = F.ceil(F.col("rows") / SHARD_ROWS).cast("long")
-    facts = sources.select(F.col("source").alias("s"), "source_size", "target", "source_blocks", shards.alias("shards"))
-    rows = sized.join(facts, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rows = cut(rows.withColumn("shard", F.pmod("h", F.col("shards"))))
-    quotas = rows.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_blocks").alias("source_blocks"))
-    quotas = apportion(quotas, ["source"], "shard_size", "source_blocks", ["shard"])
+    sized = cut(own.select("source", "s", "size", "h") if whole else own)
+    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"), F.first("s").alias("s"))
+    sources = cut(targets(sources, weights, share, limit).withColumn("all", F.lit(0)))
+    blocks = int((sources.agg(F.sum("target")).first()[0] or 0) / block + 0.5)
+    sources = apportion(sources.withColumn("blocks", F.lit(blocks).cast("long")), "all", "target", "blocks", "place")
+    facts = cut(sources.select("s", "place", "source_size", "target", F.col("quota").alias("source_blocks"), F.ceil(F.col("rows") / SHARD_ROWS).cast("long").alias("shards")))
+    few = F.broadcast(facts) if facts.count() <= FEW else facts
+    placed = lambda rows: rows.join(few, "s").withColumn("shard", F.pmod("h", "shards"))
+    quotas = placed(sized).groupBy("place", "shard").agg(F.sum("size").alias("shard_size"), F.max("source_blocks").alias("source_blocks"))
+    quotas = apportion(cut(quotas), "place", "shard_size", "source_blocks", "shard")
     budget = F.least(F.col("quota") * block, limit * F.col("shard_size"))
+    some = lambda c: F.when(F.col("shard_size") > 0, c).otherwise(0).cast("long")
     quotas = quotas.select(
-        F.col("source").alias("s"), F.col("shard").alias("k"), "shard_size",
-        F.when(F.col("shard_size") > 0, F.floor(budget / F.col("shard_size"))).otherwise(0).cast("long").alias("rounds"),
-        F.when(F.col("shard_size") > 0, budget % F.col("shard_size")).otherwise(0).cast("long").alias("extra"),
-        F.when(F.col("shard_size") > 0, F.floor(F.pmod(F.xxhash64(F.lit(SEED), "source", "shard"), F.col("shard_size")) / block) * block).otherwise(0).cast("long").alias("from"),
+        "place", "shard", "shard_size", some(F.floor(budget / F.col("shard_size"))).alias("rounds"), some(budget % F.col("shard_size")).alias("extra"),
+        some(F.floor(F.pmod(F.xxhash64(F.lit(SEED), "place", "shard"), F.col("shard_size")) / block) * block).alias("from"),
     )
-    rows = rows.join(quotas, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("k")), "left").drop("s", "k")
-    line = Window.partitionBy("source", "shard").orderBy("h", "doc_id", "size")
-    rows = rows.withColumn("end", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
+    line = Window.partitionBy("place", "shard").orderBy("h", "h2", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed(own if whole else sized).withColumn("end", F.sum("size").over(line)).withColumn("begin", F.col("end") - F.col("size"))
+    rows = rows.join(quotas, ["place", "shard"])
     # the run [from, from + extra), and what of it comes around at the start of the shard
     last = F.col("from") + F.col("extra")
     straight = F.greatest(F.lit(0), F.least("end", last) - F.greatest("begin", "from"))
     around = F.greatest(F.lit(0), F.least(F.col("end"), last - F.col("shard_size")) - F.col("begin"))
     rows = rows.withColumn("straight", straight).withColumn("rest", F.col("straight") + around)
     first = F.when(F.col("straight") > 0, F.greatest(F.lit(0), F.col("from") - F.col("begin"))).otherwise(0)
-    return rows.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("rounds") * F.col("size") + F.col("rest")).alias("taken"), first.alias("first"), "rest", "h"
-    )
+    taken = F.col("rounds") * F.col("size") + F.col("rest")
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), "rounds", first.alias("first"), "rest", *(["row"] if whole else []))
