@@ -31,7 +31,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"))
+    return packing.pack(_read(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

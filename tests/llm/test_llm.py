@@ -328,7 +328,7 @@ def check_packed(rows, texts, length):
         ids = e.encode(s or "", add_special_tokens=False).ids + [0]
         at = 0
         for r in sorted(by_doc[i], key=lambda r: r.start):
-            assert r.start == at and r.doc_tokens == len(ids)
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids == ids[at : at + r.length]
             assert r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
             at += r.length
         assert at == len(ids)
@@ -337,21 +337,36 @@ def check_packed(rows, texts, length):
         for r in sorted(pieces, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= length
+        assert at <= length and at & (at - 1) == 0  # full, or of a length that takes no padding
 
 
-def test_packing(spark, odd, none):
+@pytest.mark.parametrize("part_tokens", [packing.PART_TOKENS, 3000])
+def test_packing(spark, odd, none, monkeypatch, part_tokens):
+    monkeypatch.setattr(packing, "PART_TOKENS", part_tokens)
     rnd = random.Random(6)
     texts = {i: prose(rnd, rnd.choice((0, 3, 50, 400, 2500))) for i in range(80)} | {100: None, 101: ""}
-    rows = packing.pack(docs(spark, list(texts.items())).repartition(3)).collect()
+    d = docs(spark, list(texts.items())).repartition(3)
+    rows = packing.pack(d).collect()
     check_packed(rows, texts, 1024)
     total, n = sum(r.length for r in rows), len({r.sequence_id for r in rows})
-    assert n <= total / 1024 + 4
+    assert n <= total / 1024 + 10 * (1 + total // part_tokens)
+    bare = packing.pack(d, with_ids=False)
+    assert "ids" not in bare.columns and bare.agg(F.sum("length")).first()[0] == total
     odd_rows = packing.pack(odd).collect()
     assert sum(r.length for r in odd_rows if r.start == 0 and r.doc_tokens < 1024) >= 8 and {r.doc_tokens for r in odd_rows if r.doc_id in (1, 2)} == {1}
     assert packing.pack(none).count() == 0
 
 
+def test_packing_does_not_depend_on_shuffle_partitions(spark):
+    d = docs(spark, [(i, prose(random.Random(i), 200)) for i in range(60)]).coalesce(1).cache()
+    got, was = [], spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append(sorted(map(tuple, packing.pack(d, with_ids=False).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got[0] == got[1]
+
+
 def test_hilbert_walks_by_single_steps():
     n, bits = 3, 3
     p = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
@@ -497,14 +512,43 @@ def test_mixing(spark, odd, none):
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
 
 
-def test_apportionment_takes_the_highest_quotients(spark):
+def highest_quotients(votes, seats):
+    """Seats by a heap of next quotients, ties to the smaller name."""
+    import heapq
+
+    out, heap = Counter(), [(-v, i, v) for i, v in votes.items() if v > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, i, v = heap[0]
+        out[i] += 1
+        heapq.heapreplace(heap, (-v / (2 * out[i] + 1), i, v))
+    return {i: out[i] for i in votes}
+
+
+@pytest.mark.parametrize("bins", [1, 7, mixing.BINS])
+def test_apportionment_takes_the_highest_quotients(spark, bins):
     rnd = random.Random(2)
-    rows = [(g, i, rnd.randint(0, 400), 60 + g) for g in range(6) for i in range(9)]
-    got = mixing.apportion(spark.createDataFrame(rows, "g int, i int, v long, seats long"), ["g"], "v", "seats", ["i"]).collect()
-    for g in range(6):
-        votes = {i: v for k, i, v, _ in rows if k == g}
-        best = sorted(((v / (2 * j + 1), -i) for i, v in votes.items() for j in range(80) if v), reverse=True)[: 60 + g]
-        assert {r.i: r.quota for r in got if r.g == g} == {i: sum(x[1] == -i for x in best) for i in votes}
+    keys = {g: ({i: rnd.randint(0, 400) for i in range(9)}, 60 + g) for g in range(5)}
+    keys[5] = ({0: 10_000} | {i: 4 for i in range(1, 1000)}, 1400)  # far from rounding every share
+    keys[6] = ({i: 7 for i in range(40)}, 25)  # ties
+    keys[7] = ({i: int(1.3**i) for i in range(60)}, 500)
+    keys[8] = ({0: 3, 1: 0}, 0)
+    keys[9] = ({0: 0, 1: 0}, 5)
+    keys[10] = ({0: 5}, 12)
+    rows = [(g, i, v, n) for g, (votes, n) in keys.items() for i, v in votes.items()]
+    got = defaultdict(dict)
+    for r in mixing.apportion(spark.createDataFrame(rows, "g int, i int, v long, seats long").repartition(3), "g", "v", "seats", "i", bins).collect():
+        got[r.g][r.i] = r.quota
+    assert dict(got) == {g: highest_quotients(*x) for g, x in keys.items()}
+    assert got[5][0] == 1250
+
+
+def test_mixing_is_the_same_past_the_switch(spark, monkeypatch):
+    rnd = random.Random(3)
+    d = docs(spark, [(i, prose(rnd, rnd.randint(0, 40)), rnd.choice(("a", "b", None))) for i in range(200)]).cache()
+    want = sorted(map(tuple, mixing.mix(d).collect()), key=str)
+    monkeypatch.setattr(mixing, "FEW", 0)
+    assert sorted(map(tuple, mixing.mix(d).collect()), key=str) == want
 
 
 # pipeline and registry
