@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import bloom, components, cut
+from . import shared
+from .shared import bloom, components, cut, few, passes, spots
 from .textkit import as_long, mix, shingle_sets, table, texts
 
 _U = np.uint64
 BAND = 4
 WIDESPREAD = 1 << 17  # shingles kept in the order's table: a proven bound on what is broadcast
 BLOCK = 512  # members of a bucket that one task compares with as many others
-SMALL = 1 << 19  # pairs or keys up to this number are sent to all tasks; more are shuffled
 
 
 def _band(n: int) -> int:
@@ -134,7 +134,7 @@ def widespread(docs: DataFrame, k: int) -> Order:
                     seen.add(mark)
                     parts.append(a)
                     held += len(a)
-            if held > 4_000_000:
+            if held > 2_000_000:
                 yield flush(parts)
                 parts, held, seen = [], 0, set()
         if parts:
@@ -156,16 +156,11 @@ def widespread(docs: DataFrame, k: int) -> Order:
 
 
 #: kind 0: a bucket's member (rep 1: others of its batch were left out); 1: a link (rep, doc) in bucket key;
-#: 2: a document's set size in key; 3: a link of a bucket of two, with the number of such buckets in key; 4: equal sets.
+#: 2: a document's set size in key; 3: a link of a bucket of two; 4: equal sets.
 _ROW = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("rep", pa.int64()), ("doc", pa.int64())])
 _ROW_SQL = "kind byte, key long, rep long, doc long"
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be sent to all tasks if it has few rows. Rows hold two longs at most, so that is 8 MB."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
-
-
 def _gather(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted keys and documents, and of each row the smallest document with its key."""
     at = np.lexsort((doc, key)) if len(key) < 1 << 16 else np.argsort(key, kind="stable")
@@ -219,43 +214,66 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, percent: int, order: Order)
             rep=np.concatenate([np.zeros(len(ids), np.int64), pairs[:, 0]]),
             doc=np.concatenate([ids, pairs[:, 1]]),
         )
-        if held > 1_500_000:
+        if held > 1_000_000:
             yield flush(keys, docs)
             keys, docs, held, first = [], [], 0, {}
     if keys:
         yield flush(keys, docs)
 
 
+def _bucket_links(key: np.ndarray, crowd: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, smallest, doc, many) of whole buckets, one row for each member but the smallest."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(edge, len(key)))
+    low = np.repeat(np.minimum.reduceat(doc, edge), count)
+    many = np.repeat((count > 2) | (np.add.reduceat(crowd, edge) > 0), count)
+    link = low != doc
+    return key[link], low[link], doc[link], many[link]
+
+
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shuffle partition: members of equal keys become links to the smallest; other rows pass.
+    """Members of equal keys become links to the smallest; other rows pass. Rows come in the order of keys.
 
-    Buckets of two are done with their one link, so only its count is kept.
+    Buckets of two are done with their one link. Only the bucket that is open is
+    held, with one row for each batch of documents that has its key.
     """
-    parts = []
+    held: list[tuple] = []
+    twos: list[tuple[np.ndarray, np.ndarray]] = []
+    n_twos = 0
+
+    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        nonlocal n_twos
+        key, low, doc, many = _bucket_links(*rows)
+        twos.append((low[~many], doc[~many]))
+        n_twos += len(twos[-1][0])
+        yield table(_ROW, kind=np.ones(many.sum(), np.int8), key=key[many], rep=low[many], doc=doc[many])
+
+    def pairs() -> pa.RecordBatch:
+        low, doc = np.unique(np.stack([np.concatenate(c) for c in zip(*twos)]), axis=1)
+        return table(_ROW, kind=np.full(len(low), 3, np.int8), key=np.zeros(len(low), np.int64), rep=low, doc=doc)
+
     for b in batches:
         pick = b.column(0).to_numpy() == 0
-        parts.append([b.column(j).to_numpy()[pick] for j in (1, 2, 3)])
         if not pick.all():
             yield b.filter(pa.array(~pick))
-    if not parts:
-        return
-    key, crowd, doc = (np.concatenate(c) for c in zip(*parts))
-    at = np.argsort(key, kind="stable")
-    key, crowd, doc = key[at], crowd[at], doc[at]
-    if not len(key):
-        return
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    count = np.diff(np.append(edge, len(key)))
-    low = np.repeat(np.minimum.reduceat(doc, edge), count)
-    many = np.repeat((count > 2) | (np.add.reduceat(crowd, edge) > 0), count)
-    link = low != doc
-    pairs, met = np.unique(np.stack([low[link & ~many], doc[link & ~many]]), axis=1, return_counts=True)
-    yield table(_ROW, kind=np.full(len(met), 3, np.int8), key=met, rep=pairs[0], doc=pairs[1])
-    link &= many
-    key, low, doc = key[link], low[link], doc[link]
-    for a in range(0, len(key), 1 << 20):
-        part = slice(a, a + (1 << 20))
-        yield table(_ROW, kind=np.ones(len(key[part]), np.int8), key=key[part], rep=low[part], doc=doc[part])
+        rows = [b.column(j).to_numpy()[pick] for j in (1, 2, 3)]
+        if not len(rows[0]):
+            continue
+        if held and held[-1][0][-1] == rows[0][0] == rows[0][-1]:
+            held.append(rows)  # all of it belongs to the open bucket
+            continue
+        rows = [np.concatenate(c) for c in zip(*held, rows)]
+        last = int(np.searchsorted(rows[0], rows[0][-1]))
+        held = [[c[last:] for c in rows]]
+        if last:
+            yield from links([c[:last] for c in rows])
+        if n_twos > 500_000:
+            yield pairs()
+            twos, n_twos = [], 0
+    if held:
+        yield from links([np.concatenate(c) for c in zip(*held)])
+    if n_twos:
+        yield pairs()
 
 
 def _bitmap_bits(n: int) -> int:
@@ -294,25 +312,25 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
 
 
 def _candidate_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, n, bitmap, elements) of the documents among ids, and of a few others."""
-    filt = bloom(ids)
-    mask = len(filt) * 8
+    """(id, n, bitmap, elements) of the documents among ids, and of a few others.
+
+    Ids go to all tasks as a filter sized by their number; beyond ``BLOOM_IDS`` they
+    are joined.
+    """
+    n = ids.count()
+    filt = docs.sparkSession.sparkContext.broadcast(bloom(ids, n)) if n <= shared.BLOOM_IDS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.frombuffer(filt, np.int64).view(_U)
         schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("elements", pa.binary())])
         for b in batches:
-            keep = np.ones(len(b), bool)
-            for j in range(3):
-                p = np.mod(b.column(2 + j).to_numpy(), mask).astype(np.int64)
-                keep &= (words[p >> 6] >> (p & 63).astype(_U)) & _U(1) == 1
-            if not keep.any():
-                continue
-            for own, hashes, bounds in _sets(iter([b.filter(pa.array(keep))]), k):
+            if filt:
+                b = b.filter(pa.array(passes(filt.value, [b.column(2 + j).to_numpy() for j in range(3)])))
+            for own, hashes, bounds in _sets(iter([b]), k):
                 sets = [hashes[bounds[i] : bounds[i + 1]] for i in range(len(own))]
                 yield table(schema, id=own, n=np.diff(bounds), bits=[bitmap(a) for a in sets], elements=[a.tobytes() for a in sets])
 
-    hashed = docs.select("id", "text", *[F.xxhash64("id", F.lit(i)).alias(f"p{i}") for i in range(3)])
+    hashed = docs.select("id", "text", *[s.alias(f"p{i}") for i, s in enumerate(spots(F.col("id")))])
+    hashed = hashed if filt else hashed.join(ids, "id", "leftsemi")
     return hashed.mapInArrow(run, "id long, n long, bits binary, elements binary")
 
 
@@ -323,18 +341,20 @@ def _pairs_that(pairs: DataFrame, sets: DataFrame, percent: int, whole: bool) ->
     right = sets.select(F.col("id").alias("a"), *[F.col(c).alias(c + "_a") for c in cols])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            c = [x.to_pylist() for x in t.columns[2:]]
-            if whole:
-                keep = [linked(x, y, percent) for x, y in zip(*c)]
-            else:
-                keep = [maybe_linked(n1, s1, n2, s2, percent) for n1, s1, n2, s2 in zip(*c)]
-            yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for b in batches:
+            for at in range(0, len(b), 256):
+                t = b.slice(at, 256)
+                c = [x.to_pylist() for x in t.columns[2:]]
+                if whole:
+                    keep = [linked(x, y, percent) for x, y in zip(*c)]
+                else:
+                    keep = [maybe_linked(n1, s1, n2, s2, percent) for n1, s1, n2, s2 in zip(*c)]
+                yield t.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     want = ["a", "b", *[f"{c}_b" for c in cols], *[f"{c}_a" for c in cols]]
     # where pairs are few, only the sets they name are shuffled, and not all sets
-    left = left.join(_small(pairs), "b")
-    right = right.join(_small(pairs.select("a").distinct()), "a")
+    left = left.join(few(pairs), "b")
+    right = right.join(few(pairs.select("a").distinct()), "a")
     return left.join(right, "a").select(*want).mapInArrow(run, "a long, b long")
 
 
@@ -349,8 +369,8 @@ def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
 def _open_members(rows: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, id) of buckets of three or more with a link that failed."""
     failed = cut(_labelled(tested, comp).where("ca != cb").select(F.col("a").alias("rep"), F.col("b").alias("doc")))
-    keys = cut(rows.join(_small(failed), ["rep", "doc"], "leftsemi").select("key").distinct())
-    links = rows.join(_small(keys), "key", "leftsemi")
+    keys = cut(rows.join(few(failed), ["rep", "doc"], "leftsemi").select("key").distinct())
+    links = rows.join(few(keys), "key", "leftsemi")
     return cut(links.select("key", F.explode(F.array("doc", "rep")).alias("id")).distinct())
 
 
@@ -383,7 +403,7 @@ def _apart(members: DataFrame, tested: DataFrame, sets: DataFrame, comp: DataFra
     named = comp.select(F.col("node").alias("id"), "component")
     members = cut(members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
     split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    members = members.join(_small(cut(split)), "key", "leftsemi")
+    members = members.join(few(cut(split)), "key", "leftsemi")
     # a bucket larger than a block is dealt into chunks by a hash of the member
     chunks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
     members = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
@@ -420,12 +440,12 @@ def _apart(members: DataFrame, tested: DataFrame, sets: DataFrame, comp: DataFra
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, n_links.
+    """One row per document: id, n_shingles, component_id, n_verified.
 
     ``component_id`` is the smallest id that links (similarity of at least
-    ``percent`` hundredths) reach; ``n_links`` counts the verified links that
-    carry the component at this document, which may be fewer than all links
-    within it. Null or wordless texts: size 0, linked with nothing. A null id
+    ``percent`` hundredths) reach. ``n_verified`` counts the links that were verified
+    at this document and carry the component; within one component further pairs
+    may link that nothing depends on, so it is a lower bound of the number of links. Null or wordless texts: size 0, linked with nothing. A null id
     keeps its row, takes no part in links and has a null component. Rows with one
     id are one node: what either links to, the id links to. Other columns are
     ignored, whatever their names.
@@ -440,14 +460,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     dealt = named.mapInArrow(emit, _ROW_SQL)
-    dealt = dealt.repartition(parts, F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("doc", "key")))
+    dealt = dealt.repartition(parts, F.when(F.col("kind") == 0, F.col("key")).otherwise(F.xxhash64("doc", "key"))).sortWithinPartitions("key")
     rows = cut(dealt.mapInArrow(_group, _ROW_SQL))
     sizes = rows.where("kind = 2").select(F.col("doc").alias("id"), F.col("key").alias("n_shingles"))
     known = rows.where("kind = 4").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b"))
     # one pair of documents may meet in many buckets
     pairs = cut(rows.where("kind in (1, 3)").select(F.col("rep").alias("a"), F.col("doc").alias("b")).distinct())
     rows = rows.where("kind = 1").select("key", "rep", "doc")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = cut(_candidate_sets(named, ids, k))
     hopeful = cut(_pairs_that(pairs, sets, percent, whole=False))
     links = cut(_pairs_that(hopeful, sets, percent, whole=True)).unionByName(known)
@@ -462,9 +482,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = cut(_pairs_that(cut(_apart(members, tested, sets, comp, percent)), sets, percent, whole=True))
     links = links.unionByName(last)
     comp = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
     out = sizes.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").join(degree, "id", "left")
-    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
     nameless = own.where("id is null")
 
     def only_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,6 +493,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield table(schema, n_shingles=np.diff(bounds))
 
     nameless = nameless.mapInArrow(only_sizes, "n_shingles long").select(
-        F.lit(None).cast("long").alias("id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_links")
+        F.lit(None).cast("long").alias("id"), "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(0).cast("long").alias("n_verified")
     )
     return out.unionByName(nameless).withColumnRenamed("id", id_col)

@@ -5,15 +5,18 @@ from __future__ import annotations
 import os
 import tempfile
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only where none is set (tests) a local one is made."""
+    """The cluster's checkpoint folder. Where none is set, a local master gets one in its own temp folder; a cluster must set it."""
     ctx = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or ctx.getCheckpointDir()
     if not path:
+        if not (ctx.master == "local" or ctx.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "quantloom-checkpoints")
     if not ctx.getCheckpointDir():
         ctx.setCheckpointDir(path)
@@ -26,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+SMALL = 1 << 19  # rows of two longs that are sent to all tasks, 8 MB; more are shuffled
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be sent to all tasks if it has few rows. Rows hold two longs at most."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 FEW = 1 << 18
 
 
@@ -61,22 +72,31 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def bloom(ids: DataFrame, bits: int = 1 << 22) -> bytes:
-    """A Bloom filter of the ids in the one long column, of ``bits`` bits whatever their number.
+BLOOM_BITS = 16  # for each id: one in some 200 others passes
+BLOOM_IDS = 1 << 22  # ids that a filter is made of: 8 MB; more are joined
 
-    Full filters only pass more rows; users of it must not rely on a "yes".
-    """
-    c = F.col(ids.columns[0])
-    spots = F.explode(F.array(*[F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(3)])).alias("p")
-    words = ids.select(spots).select((F.col("p") / 64).cast("int").alias("w"), F.expr("shiftleft(1L, int(p % 64))").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).collect()  # at most bits / 64 rows
-    import numpy as np
 
+def bloom(ids: DataFrame, n: int) -> bytes:
+    """A Bloom filter of the n ids in the one long column, of ``BLOOM_BITS`` or more bits each."""
+    bits = 1 << max(12, (BLOOM_BITS * n - 1).bit_length())
+    spots_ = F.explode(F.array(*[F.pmod(s, F.lit(bits)) for s in spots(F.col(ids.columns[0]))])).alias("p")
+    words = ids.select(spots_).select((F.col("p") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, int(p % 64))").alias("b"))
+    rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()  # at most bits / 64 rows
     out = np.zeros(bits // 64, np.int64)
-    out[[r.w for r in rows]] = [r.b for r in rows]
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy()
     return out.tobytes()
 
 
 def spots(c) -> list:
-    """The hash columns that :func:`passes` needs beside the ids."""
+    """The hashes of an id that :func:`bloom` and :func:`passes` use."""
     return [F.xxhash64(c, F.lit(i)) for i in range(3)]
+
+
+def passes(filt: bytes, hashes: list[np.ndarray]) -> np.ndarray:
+    """True for all ids in the filter and few others."""
+    words = np.frombuffer(filt, np.int64).view(np.uint64)
+    keep = np.ones(len(hashes[0]), bool)
+    for h in hashes:
+        p = h & (len(words) * 64 - 1)
+        keep &= (words[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return keep

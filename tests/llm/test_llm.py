@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quantloom.llm import line_dedup, mixing, ngram_join, packing, pii, quality_gam, quality_rules, queries, ring, textkit, textstats, topk, warc
+from quantloom.llm import line_dedup, mixing, ngram_join, packing, pii, quality_gam, quality_rules, queries, ring, shared, textkit, textstats, topk, warc
 from quantloom.llm.subwords import Encoder, default_files
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -146,16 +146,22 @@ def components(sets):
     return {i: top(i) for i in ids}
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_near_duplicates_equal_all_pairs(spark, seed):
+@pytest.mark.parametrize("seed", [0, 1, 2, "past every switch"])
+def test_near_duplicates_equal_all_pairs(spark, seed, monkeypatch):
+    if seed == "past every switch":  # what a large table meets: joins for broadcasts, many blocks, hardly any order
+        monkeypatch.setattr(shared, "SMALL", 0)
+        monkeypatch.setattr(shared, "FEW", 0)
+        monkeypatch.setattr(shared, "BLOOM_IDS", 0)
+        monkeypatch.setattr(ngram_join, "BLOCK", 3)
+        monkeypatch.setattr(ngram_join, "WIDESPREAD", 10)
     rnd = random.Random(seed)
-    shared, rows = prose(rnd, 30), []
+    common, rows = prose(rnd, 30), []
     for g in range(12):
         base = prose(rnd, rnd.choice((3, 6, 20, 90, 300))).split()
         for _ in range(rnd.randint(1, 14)):
             w = [prose(rnd, 1) if rnd.random() < rnd.choice((0, 0.01, 0.03, 0.08)) else x for x in base]
             rows.append((len(rows) * 3, " ".join(w)))
-    rows += [(1000 + i, shared + " " + prose(rnd, 40)) for i in range(40)]
+    rows += [(1000 + i, common + " " + prose(rnd, 40)) for i in range(40)]
     rnd.shuffle(rows)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs(spark, rows).repartition(5)).collect()}
     sets = {i: plain_set(t) for i, t in rows}
@@ -169,6 +175,23 @@ def test_near_duplicates_odd_rows(spark, odd, none):
     assert ngram_join.near_duplicates(none).count() == 0
 
 
+def test_bucket_links_over_batches():
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.integers(0, 40, 500))
+    key[100:260] = key[100]  # a bucket over many batches
+    rows = [(0, int(k), int(rng.random() < 0.1), int(d)) for k, d in zip(np.sort(key), rng.integers(0, 90, 500))]
+    table_ = lambda part: pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], f.type) for j, f in enumerate(ngram_join._ROW)], schema=ngram_join._ROW)
+    for size in (7, 1000):
+        got = [r for b in ngram_join._group(table_(rows[i : i + size]) for i in range(0, 500, size)) for r in zip(*[c.to_pylist() for c in b.columns])]
+        one, two = set(), set()
+        for k in {r[1] for r in rows}:
+            own = [r for r in rows if r[1] == k]
+            low = min(r[3] for r in own)
+            many = len(own) > 2 or any(r[2] for r in own)
+            (one if many else two).update((k, low, r[3]) if many else (low, r[3]) for r in own if r[3] != low)
+        assert {r[1:] for r in got if r[0] == 1} == one and {r[2:] for r in got if r[0] == 3} == two
+
+
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(0)
     none = ngram_join.Order(np.zeros(0, np.uint64), np.zeros(0, np.uint8))
