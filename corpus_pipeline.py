@@ -1,7 +1,13 @@
 """A training corpus in five stages, each written as Parquet and read again by the next.
 
 Every stage works on all that its predecessor kept, and what it decides holds.
-Stages but the last return the columns of ``documents``.
+Stages but the last return the columns of ``documents``; the last returns pieces of
+sequences with their token ids.
+
+Nulls in any column pass: a null text has no words, so the quality rules drop it; a
+null id, source or language stays null. Rows that repeat an id and a text are copies,
+of which one stays. An empty table gives no rows. Columns besides those of
+``documents`` are dropped.
 """
 
 from __future__ import annotations
@@ -9,12 +15,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from quantloom.llm.shared import cut, shared_dir
+from quantloom.llm.shared import cut, few, shared_dir
+from quantloom.llm.textkit import texts
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -36,43 +45,64 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id. Null ids stay."""
-    own = docs.select(*COLUMNS)
-    groups = ngram_join.near_duplicates(own)
-    gone = cut(groups.where("component_id < doc_id").select("doc_id").distinct())
-    # sent to all tasks where it is small, so that texts are not shuffled
-    return own.join(ngram_join._small(gone), "doc_id", "leftanti").select(*COLUMNS)
+    """One document of each group of near copies: the one of the smallest id.
+
+    A null id stands behind all others, at a place that its text decides. Of rows with
+    one id and one text the first stays; rows of one id with different texts are one
+    node of the join, so they stay or go together.
+    """
+    behind = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    own = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), behind).alias("node"))
+    groups = ngram_join.near_duplicates(own, id_col="node")
+    gone = cut(groups.where("component_id < node").select("node").distinct())
+    # sent to all tasks where they are few, so that texts are not shuffled
+    kept = own.join(few(gone), "node", "leftanti")
+    again = cut(own.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+    if not again.isEmpty():
+        once = kept.join(few(again), "node", "leftsemi").dropDuplicates(["node", "text"])
+        kept = kept.join(few(again), "node", "leftanti").unionByName(once)
+    return kept.select(*COLUMNS)
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents with rounds, first and rest to copies: whole ones, and one of the words taken besides.
+
+    The words are cut out of the text with all that stands between them. A slice of a
+    batch at a time, so memory follows the longest document.
+    """
+    at = COLUMNS.index("text")
+    for b in batches:
+        for t in texts(b.column(at)):
+            part = b.slice(t.first, t.n)
+            rounds, first, rest = (part.column(c).to_numpy() for c in ("rounds", "first", "rest"))
+            whole = part.select(list(COLUMNS)).take(pa.array(np.repeat(np.arange(t.n), rounds)))
+            some = np.flatnonzero(rest)
+            cuts = part.select(list(COLUMNS)).take(pa.array(some))
+            starts, ends, bounds = t.words()
+            made = []
+            for i in some.tolist():
+                a, n = bounds[i], bounds[i + 1] - bounds[i]
+                stop = first[i] + rest[i]  # a run may go on at the beginning
+                pieces = [(starts[a + first[i]], ends[a + min(stop, n) - 1])] + ([(starts[a], ends[a + stop - n - 1])] if stop > n else [])
+                made.append("\n".join(t.buf[x:y].tobytes().decode() for x, y in pieces))
+            for rows, text in ((whole, whole.column(at)), (cuts, pa.array(made, pa.string()))):
+                if len(rows):
+                    new = {"text": text, "n_chars": pc.cast(pc.utf8_length(text), pa.int64())}
+                    yield pa.RecordBatch.from_arrays([new.get(c, rows.column(c)) for c in COLUMNS], list(COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: whole rounds, then one row of the words it takes besides."""
-    own = docs.select(*COLUMNS)
-    quota = mixing.mix(own).where("taken > 0").select(F.col("size").alias("z"), F.col("h"), "taken", "first", "rest")
-    h = mixing._hash(F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text")))
-    # rows equal in id and text share the larger of their quotas
-    quota = quota.groupBy("h", "z").agg(F.max_by(F.struct("taken", "first", "rest"), F.struct("taken", "first")).alias("q"))
-    rows = own.withColumns({"h": h, "z": mixing.words(F.col("text"))}).join(quota, ["h", "z"])
-    rows = rows.withColumn("rounds", ((F.col("q.taken") - F.col("q.rest")) / F.greatest("z", F.lit(1))).cast("int"))
-    parts = F.concat(F.array_repeat(F.lit(-1), F.col("rounds")), F.when(F.col("q.rest") > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-    rows = rows.withColumn("part", F.explode(parts)).select(*COLUMNS, "part", F.col("q.first").alias("first"), F.col("q.rest").alias("rest"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = COLUMNS.index("text")
-        for b in batches:
-            text = b.column(at).to_pylist()
-            for i, (p, first, rest) in enumerate(zip(*[b.column(c).to_pylist() for c in ("part", "first", "rest")])):
-                if p == 0:
-                    raw = text[i].encode()
-                    if rest < len(words := raw.split()):  # a run that may go on at the beginning
-                        text[i] = b" ".join((words + words)[first : first + rest]).decode()
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.string()) if c == "text" else b.column(c) for c in COLUMNS], list(COLUMNS))
-
-    schema = own.schema
-    return _sized(rows.mapInArrow(run, schema))
+    """Documents as often as the mix takes them: whole rounds, then one row of the words it takes besides.
+
+    Rows of which nothing is taken, null and empty texts among them, are gone.
+    """
+    rows = mixing.mix(docs.select(*COLUMNS), whole=True).where("taken > 0")
+    rows = rows.select(*[F.col("row")[c].alias(c) for c in COLUMNS], "rounds", "first", "rest")
+    return rows.mapInArrow(_taken, docs.select(*COLUMNS).withColumn("n_chars", F.col("n_chars").cast("long")).schema)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences; doc_id names the document of each."""
+    """Pieces of sequences with their ids; doc_id names the document of each. A null or empty text is the end id alone."""
     return packing.pack(docs.select(*COLUMNS))
 
 
