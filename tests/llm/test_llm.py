@@ -614,6 +614,46 @@ def test_pipeline_stage_by_stage(spark, data):
     assert tokens == Counter({i: sum(len(e.encode(s, add_special_tokens=False).ids) + 1 for s in parts) for i, parts in mixed.items()})
 
 
+def test_taken_words_keep_what_stands_between_them():
+    text = "  one\ttwo\n\nthree  four é "
+    cols = {"doc_id": [1] * 4, "text": [text] * 4, "lang": [None] * 4, "source": ["s"] * 4, "n_chars": [0] * 4, "rounds": [2, 0, 1, 0], "first": [0, 1, 0, 3], "rest": [0, 3, 1, 4]}
+    batch = pa.RecordBatch.from_pydict(cols)
+    got = Counter(r["text"] for b in corpus_pipeline._taken(iter([batch])) for r in b.to_pylist())
+    assert got == Counter({text: 3, "two\n\nthree  four": 1, "one": 1, "four é\none\ttwo": 1})
+    sizes = [(r["n_chars"], len(r["text"])) for b in corpus_pipeline._taken(iter([batch])) for r in b.to_pylist()]
+    assert all(a == b for a, b in sizes)
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    rnd = random.Random(12)
+    text = prose(rnd, 60)
+    near = text + " " + prose(rnd, 1)
+    rows = [(1, text, "en", "a"), (1, text, "en", "a"), (None, near, None, None), (None, near, None, None), (None, prose(rnd, 40), "en", "a"), (2, None, "en", None), (3, "", "de", "b"), (4, " \n", "de", "b")]
+    rows += [(i, prose(rnd, 80), "en", rnd.choice(("a", "b", None))) for i in range(5, 40)] + [(40, prose(rnd, 250_000), "en", "b")]
+    frame = spark.createDataFrame([(*r, None, "clash", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, node long")
+    for name, docs_, labels in (("some", frame, [(i, 1) for i in range(5, 40)]), ("none", frame.where("false"), [])):
+        d = f"{tmp_path}/{name}"
+        docs_.write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(f"{d}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    d = f"{tmp_path}/some"
+    cur = spark.read.parquet(f"{d}/documents.parquet")
+    out = {}
+    for n, f in corpus_pipeline.STAGES[:4]:
+        cur = f(spark, cur, d).cache()
+        out[n] = [(r.doc_id, r.text) for r in cur.collect()]
+    assert (2, None) not in out["quality rules"] and (3, "") not in out["quality rules"]
+    left = out["n-gram Jaccard join"]
+    assert [r for r in left if r[0] == 1] == [(1, text)] and len([r for r in left if r[0] is None]) == 1
+    assert {r[0] for r in left} >= set(range(5, 40))
+    mixed = {r[0] for r in out["mixing"]}
+    assert mixed <= {r[0] for r in left} and all(re.fullmatch(r"(?s)\S.*", t) for _, t in out["mixing"])
+    rows = corpus_pipeline.packed(spark, cur, d).collect()
+    texts_ = Counter(t for _, t in out["mixing"])
+    e = Encoder(*default_files()).exact
+    assert sum(r.length for r in rows) == sum(n * (len(e.encode(t, add_special_tokens=False).ids) + 1) for t, n in texts_.items()) == sum(len(r.ids) for r in rows)
+
+
 def test_registry():
     names = [f"op{n}_" for n in range(1, 11)]
     assert all(sum(q.startswith(n) for q in queries.QUERIES) == 1 for n in names) and set(queries.ORACLES) <= set(queries.QUERIES)
