@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 from .textkit import OTHER_SEED, SEED, Texts, as_long, mix, texts
 
 MIN_WORDS = 50
@@ -156,6 +156,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    small_batches(docs.sparkSession)
     # columns of the caller may have any names, so they travel in one struct
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
     keyed = docs.select(

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 
 WEIGHTS = (3, 1, 2)
 SHARE, LIMIT = 1.5, 2
@@ -122,6 +122,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     equal ids are told apart by their texts; rows equal in id, source and text are
     interchangeable. Reruns agree. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.md5(F.col("source").cast("binary")), F.lit("")).alias("s"), words(F.col("text")).alias("size"),
         _hash(F.col("doc_id").cast("string"), F.when(F.col("doc_id").isNull(), F.col("text"))).alias("h"), _hash("text").alias("h2"),

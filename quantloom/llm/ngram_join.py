@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .shared import bloom, components, cut, few, passes, spots
+from .shared import bloom, components, cut, few, passes, small_batches, spots
 from .textkit import as_long, mix, shingle_sets, table, texts
 
 _U = np.uint64
@@ -110,6 +110,11 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[np.ndarra
             yield ids[t.first : t.first + t.n], hashes, bounds
 
 
+def _sliced(b: pa.RecordBatch, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(b), rows):
+        yield b.slice(at, rows)
+
+
 def widespread(docs: DataFrame, k: int) -> Order:
     """The shingles in most documents, among those that come twice in the documents of some batch.
 
@@ -135,10 +140,10 @@ def widespread(docs: DataFrame, k: int) -> Order:
                     parts.append(a)
                     held += len(a)
             if held > 2_000_000:
-                yield flush(parts)
+                yield from _sliced(flush(parts))
                 parts, held, seen = [], 0, set()
         if parts:
-            yield flush(parts)
+            yield from _sliced(flush(parts))
 
     found = docs.select("id", "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n >= 4")
     found = cut(found.select("h", F.least(F.lit(62), (1 + 2 * F.log2("n")).cast("int")).alias("w")))
@@ -215,10 +220,10 @@ def _emit(batches: Iterator[pa.RecordBatch], k: int, percent: int, order: Order)
             doc=np.concatenate([ids, pairs[:, 1]]),
         )
         if held > 1_000_000:
-            yield flush(keys, docs)
+            yield from _sliced(flush(keys, docs))
             keys, docs, held, first = [], [], 0, {}
     if keys:
-        yield flush(keys, docs)
+        yield from _sliced(flush(keys, docs))
 
 
 def _bucket_links(key: np.ndarray, crowd: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -450,6 +455,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id are one node: what either links to, the id links to. Other columns are
     ignored, whatever their names.
     """
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     named = own.where("id is not null")
     order = widespread(named, k)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, small_batches
 from .subwords import Encoder, default_files
 from .textkit import table
 
@@ -163,6 +163,7 @@ def pack(docs: DataFrame, files: tuple[str, str | None] | None = None, length: i
     empty table gives no rows; other columns are ignored. Without ``with_ids`` the ids
     are checked and counted but not carried.
     """
+    small_batches(docs.sparkSession)
     files = files or default_files()
     dtype = np.dtype(Encoder(files[0], None).dtype).str
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textkit import Texts, table, texts
 
 KINDS = ("email", "ip", "card", "phone")
@@ -302,6 +303,7 @@ def find(docs: DataFrame) -> DataFrame:
     Null and empty texts have no spans. Rows with equal or null ids are read one
     by one; columns other than doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,6 +330,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; other columns are carried."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model())
     at = docs.columns.index("text")
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality_rules import labelled_sample, sampled_features
+from .shared import small_batches
 from .textkit import table, texts
 from .textstats import features, stats
 
@@ -139,6 +140,7 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
     Null texts score as empty ones. A null id has a null held_out. Rows with equal
     ids are scored one by one; columns other than doc_id and text are ignored.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 

@@ -23,6 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds what tasks hand to Python at once to 4 MB, unless the session has set a bound of its own.
+
+    Rows are whole texts here, and Spark's own bound (64 MB) is held several times over
+    by a task, its Python worker and what goes back.
+    """
+    if spark.conf.get(BATCH) == "67108864b":
+        spark.conf.set(BATCH, "4m")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -19,7 +19,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir
+from .shared import cut, shared_dir, small_batches
 from .textkit import table
 
 MAGIC = 0x184D2A5D  # the skippable frame that archives keep a dictionary in
@@ -202,5 +202,6 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     responses too. Pages with a null id are responses and nothing refers to them.
     An empty table makes no files.
     """
+    small_batches(pages.sparkSession)
     folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
     return read(write(pages, folder))
