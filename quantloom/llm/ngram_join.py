@@ -371,6 +371,17 @@ def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs
 
 
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components that further links leave: only components that those connect are looked at again."""
+    between = cut(_labelled(links, comp).where("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    if between.isEmpty():
+        return comp
+    more = cut(components(between))
+    known = comp.join(more.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left")
+    known = known.select("node", F.coalesce("new", "component").alias("component"))
+    return cut(known.unionByName(more.join(comp, "node", "leftanti")))
+
+
 def _open_members(rows: DataFrame, tested: DataFrame, comp: DataFrame) -> DataFrame:
     """(key, id) of buckets of three or more with a link that failed."""
     failed = cut(_labelled(tested, comp).where("ca != cb").select(F.col("a").alias("rep"), F.col("b").alias("doc")))
@@ -482,12 +493,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = _open_members(rows, tested, comp)
     central = cut(_central(members, comp).join(tested, ["a", "b"], "leftanti"))
     likely = cut(_pairs_that(central, sets, percent, whole=False))
-    links = links.unionByName(cut(_pairs_that(likely, sets, percent, whole=True)))
-    comp = cut(components(links))
+    more = cut(_pairs_that(likely, sets, percent, whole=True))
+    links, comp = links.unionByName(more), _merged(comp, more)
     tested = tested.unionByName(central)
     last = cut(_pairs_that(cut(_apart(members, tested, sets, comp, percent)), sets, percent, whole=True))
-    links = links.unionByName(last)
-    comp = components(links)
+    links, comp = links.unionByName(last), _merged(comp, last)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
     out = sizes.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").join(degree, "id", "left")
     out = out.select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))

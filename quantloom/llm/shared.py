@@ -75,7 +75,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(sent(low), "u")
         out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         out = out.where(F.col("u") != F.col("v")).distinct()
-        links = cut(out.coalesce(max(12, n >> 15)) if n <= FEW else out)
+        links = cut(out.coalesce(1 + (n >> 15)) if n <= FEW else out)
         row = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         n = row[0]
         if row == before:
