@@ -7,6 +7,10 @@ a local cosine threshold: score / (query norm * largest norm in it). Above one,
 bucket is skipped; where the threshold is high, coordinate pruning keeps vectors
 whose largest coordinates can lie within the angle; else the length prefix of the
 bucket is taken whole. What is left is verified by exact integer products.
+
+An integer component floor(1024 x) is kept as floor(1024 x) / 1024, which a double
+holds exactly for every finite x. Vectors whose products could pass 2**53 are rare;
+they are compared one by one in wider integers.
 """
 
 from __future__ import annotations
@@ -28,6 +32,12 @@ SEEDS = 2048  # longest vectors: a proven bound on what goes to all tasks
 STEEP = 0.75  # local cosine threshold from which coordinates are looked at
 
 
+def stepped(v: np.ndarray) -> np.ndarray:
+    """floor(1024 v) / 1024, exactly; no negative zeros."""
+    small = np.abs(v) < 2.0**50
+    return np.where(small, np.floor(SCALE * np.where(small, v, 0.0)) / SCALE, v) + 0.0
+
+
 def _prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, dim, norm, v): integer components as bytes; unusable vectors are gone."""
     schema = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("norm", pa.float64()), ("v", pa.binary())])
@@ -41,8 +51,9 @@ def _prepared(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                     continue
                 v = values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(v).all():
-                    w = np.floor(SCALE * v).astype(np.int64)
-                    out.append((i, len(w), float(np.sqrt((w.astype(np.float64) ** 2).sum())), w.tobytes()))
+                    u = stepped(v)
+                    with np.errstate(over="ignore"):
+                        out.append((i, len(u), float(np.sqrt((u**2).sum())), u.tobytes()))
             yield table(schema, **{f.name: [r[k] for r in out] for k, f in enumerate(schema)})
 
     return vectors.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(run, "vec_id long, dim int, norm double, v binary")
@@ -94,7 +105,8 @@ class Best:
         best.sort()
         del best[self.k :]
         if len(best) == self.k:
-            self.floor[q] = max(self.floor[q], -best[-1][0])
+            low = float(-best[-1][0])
+            self.floor[q] = max(self.floor[q], low if abs(low) < 2**53 else np.nextafter(low, -np.inf))
 
 
 def _coordinates(q: np.ndarray, c: np.ndarray, cosine: float, few: int = 3) -> np.ndarray:
@@ -109,38 +121,70 @@ def _coordinates(q: np.ndarray, c: np.ndarray, cosine: float, few: int = 3) -> n
 
 
 def search(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, best: Best) -> None:
-    """Improves ``best`` by all of c; rows of c need not be in order."""
-    exact = np.abs(q).max(initial=0) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1]) < 2**53
-    qf, qn = q.astype(np.float64), np.sqrt((q.astype(np.float64) ** 2).sum(1))
-    norm = np.sqrt((c.astype(np.float64) ** 2).sum(1))
+    """Improves ``best`` by all of c; rows of c need not be in order. Matrices as :func:`stepped` gives them."""
+    widest = np.sqrt(2.0**53 / max(1, q.shape[1])) / SCALE  # products of vectors below stay whole in doubles
+    wide_q, wide_c = np.abs(q).max(1, initial=0) >= widest, np.abs(c).max(1, initial=0) >= widest
+    _pruned(np.flatnonzero(~wide_q), qids, q, ids[~wide_c], c[~wide_c], best)
+    _plain(np.arange(len(q)), qids, q, ids[wide_c], c[wide_c], best)
+    _plain(np.flatnonzero(wide_q), qids, q, ids[~wide_c], c[~wide_c], best)
+
+
+def _integers(u: np.ndarray) -> np.ndarray:
+    """Exact components, as objects where 64 bits do not hold them."""
+    if np.abs(u).max(initial=0) < 2.0**52:
+        return (u * SCALE).astype(np.int64)
+    return np.array([[int(x) * SCALE if abs(x) >= 2.0**43 else int(x * SCALE) for x in row] for row in u.tolist()], object).reshape(u.shape)
+
+
+def _plain(js: np.ndarray, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, best: Best) -> None:
+    """Every product of these queries with c in integers that hold it; what is beyond a long is held at its end."""
+    for at in range(0, len(ids) if len(js) else 0, BUCKET):
+        bi, bc = ids[at : at + BUCKET], c[at : at + BUCKET]
+        whole = _integers(bc)
+        for j in js.tolist():
+            one = _integers(q[j : j + 1])[0]
+            fits = np.abs(q[j]).max(initial=0) * SCALE * float(np.abs(bc).max(initial=0)) * SCALE * max(1, len(one)) < 2.0**62
+            s = whole @ one if fits else whole.astype(object) @ one.astype(object)
+            s = s if fits else np.array([max(-(2**63) + 1, min(2**63 - 1, x)) for x in s], np.int64)
+            ok = (bi != qids[j]) & (s >= best.floor[j])
+            if ok.any():
+                best.add(j, s[ok], bi[ok])
+
+
+def _pruned(js: np.ndarray, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, best: Best) -> None:
+    """Norm buckets of c, longest first, for the queries at ``js``."""
+    if not len(js) or not len(ids):
+        return
+    qids, q, c = qids[js], q[js] * SCALE, c * SCALE
+    qn, norm = np.sqrt((q**2).sum(1)), np.sqrt((c**2).sum(1))
     order = np.lexsort((ids, -norm))
     ids, c, norm = ids[order], c[order], norm[order]
     for at in range(0, len(ids), BUCKET):
         bi, bc, bn = ids[at : at + BUCKET], c[at : at + BUCKET], norm[at : at + BUCKET]
-        bf = bc.astype(np.float64)
-        unit = bf / np.maximum(bn, 1e-12)[:, None]
+        unit = bc / np.maximum(bn, 1e-12)[:, None]
+        floor = best.floor[js]
         with np.errstate(divide="ignore", invalid="ignore"):
-            cosine = np.where(qn * bn[0] > 0, best.floor / (qn * bn[0]), np.where(best.floor > 0, np.inf, -np.inf))
+            cosine = np.where(qn * bn[0] > 0, floor / (qn * bn[0]), np.where(floor > 0, np.inf, -np.inf))
         whole = np.flatnonzero(cosine <= STEEP)
-        scores = (qf[whole] @ bf.T).astype(np.int64) if exact else q[whole] @ bc.T
+        scores = (q[whole] @ bc.T).astype(np.int64)
         for row, j in enumerate(whole):
             s = scores[row]
-            ok = (bi != qids[j]) & (s >= best.floor[j])
+            ok = (bi != qids[j]) & (s >= floor[j])
             if ok.any():
-                best.add(j, s[ok], bi[ok])
+                best.add(js[j], s[ok], bi[ok])
         for j in np.flatnonzero((cosine > STEEP) & (cosine <= 1 + 1e-9)):
-            n = int(np.searchsorted(-bn, -(best.floor[j] / max(qn[j], 1e-12)) * (1 - 1e-12), "right")) if qn[j] > 0 else len(bn)
-            near = _coordinates(qf[j] / max(qn[j], 1e-12), unit[:n], min(1.0, max(-1.0, cosine[j])))
+            n = int(np.searchsorted(-bn, -(floor[j] / max(qn[j], 1e-12)) * (1 - 1e-12), "right")) if qn[j] > 0 else len(bn)
+            near = _coordinates(q[j] / max(qn[j], 1e-12), unit[:n], min(1.0, max(-1.0, cosine[j])))
             if len(near):
-                s = bc[near] @ q[j]
-                ok = (bi[near] != qids[j]) & (s >= best.floor[j])
+                s = (bc[near] @ q[j]).astype(np.int64)
+                ok = (bi[near] != qids[j]) & (s >= floor[j])
                 if ok.any():
-                    best.add(j, s[ok], bi[near][ok])
+                    best.add(js[j], s[ok], bi[near][ok])
 
 
 def _matrix(ids: bytes, m: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(m, np.int64).reshape(len(i), dim)
+    return i, np.frombuffer(m, np.float64).reshape(len(i), dim)
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -150,7 +194,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
     hold nulls or non-finite components, and null ids take no part; vectors of
     different lengths never meet. A row with the query's own id is not its
     candidate. Rows that repeat an id and a vector count once. Ties go to the
-    smaller id. An empty table, or no query, gives no rows.
+    smaller id. Products are exact whatever the components; a score beyond a long is
+    given, and ranked, as the nearest long. An empty table, or no query, gives no rows.
     """
     spark = vectors.sparkSession
     rows = cut(_prepared(vectors, id_col, vec_col).dropDuplicates(["vec_id", "v"]))
@@ -162,7 +207,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_
     seeds: dict[int, list] = {}
     for r in rows.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).collect():
         seeds.setdefault(r.dim, []).append((r.vec_id, r.v))
-    packed_seeds = {d: (np.array([i for i, _ in s]), np.stack([np.frombuffer(v, np.int64) for _, v in s]).reshape(len(s), d)) for d, s in seeds.items()}
+    packed_seeds = {d: (np.array([i for i, _ in s]), np.stack([np.frombuffer(v, np.float64) for _, v in s]).reshape(len(s), d)) for d, s in seeds.items()}
     shared = spark.sparkContext.broadcast(packed_seeds)
 
     def pack(most: int):

@@ -500,6 +500,25 @@ def test_top_k_equals_all_products(spark, shape):
     assert topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").where("false")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [topk.CHUNK, 64])
+def test_top_k_of_large_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(topk, "CHUNK", chunk)
+    monkeypatch.setattr(topk, "QUERY_CHUNK", 2)
+    from fractions import Fraction
+
+    rng = np.random.default_rng(9)
+    size = rng.choice([1.0, 1e3, 1e6, 1e9, 1e17, 1e150, 1e305], size=(400, 1))
+    v = rng.normal(size=(400, 4)) * size
+    v[7], v[300], v[44] = [1.7e308, -1.7e308, 0.3, -0.0], [3.0**30, 0.3, -0.3, 1e-300], -1e17
+    rows = [(i, [float(x) for x in v[i]]) for i in range(400)]
+    w = [[(Fraction(x) * 1024).__floor__() for x in r] for _, r in rows]
+    want = []
+    for q in range(0, 400, 100):
+        s = {i: max(-(2**63) + 1, min(2**63 - 1, sum(a * b for a, b in zip(w[q], w[i])))) for i in range(400) if i != q}
+        want += [(q, k + 1, i, s[i]) for k, i in enumerate(sorted(s, key=lambda i: (-s[i], i))[:10])]
+    assert [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect()] == want
+
+
 # 10
 
 
