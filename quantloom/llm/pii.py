@@ -3,14 +3,17 @@
 Base patterns give e-mail, ip, card and phone spans, which always stay. High-recall
 generators propose further, overlapping spans (keys and tokens, local phone numbers,
 national and account numbers, spelled-out e-mail addresses). Gradient-boosted trees
-score a candidate by its format and its context; thresholds per kind, calibrated on
-examples the trees did not see, select what is added. Examples are generated from
-seeded templates, so training needs no personal data.
+score a candidate by its format and its context; thresholds per kind select what is
+added. Examples are generated from seeded templates, so training needs no personal
+data. Thresholds are calibrated on examples that the trees did not see and whose
+context words are none of those the features know, so that a threshold does not lean
+on words that templates and features share.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -86,14 +89,17 @@ def base_spans(s: str) -> list[tuple[int, int, str]]:
 # generators: (kind, pattern, group); each begins at a place that few texts have
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
-_NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){7,23}(?![0-9])")
-_SPELLED = re.compile(r"[A-Za-z0-9._-]{1,64} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]{1,63}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+")
+_NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){7,}+")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]|(?<= )at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|(?<= )dot ) ?[A-Za-z0-9-]++)+")
 _LONG = re.compile(rb"[A-Za-z0-9_+/=-]{16}")  # in every text with a secret
 
 
 def candidates(s: str) -> list[tuple[int, int, str]]:
     """Overlapping spans of the four further kinds."""
     out = [(*m.span(), "secret") for m in _SECRET.finditer(s) if re.search("[A-Za-z]", m.group())]
+    for a, b, _ in out[:]:  # NAME=token is one run of token characters
+        if (k := s.rfind("=", a, b - 16)) >= a:
+            out.append((k + 1, b, "secret"))
     for kind, pattern in (("local_phone", _LOCAL_PHONE), ("number", _NUMBER)):
         out += [(*m.span(), kind) for m in pattern.finditer(s)]
     if " dot " in s or "dot)" in s or "dot]" in s:
@@ -107,6 +113,13 @@ _HINTS = {
     "number": ("ssn", "account", "iban", "passport", "social", "tax", "licence", "license", "id", "konto", "card", "insurance"),
     "spelled_email": ("mail", "email", "contact", "write", "reach"),
 }
+#: Context words of examples that no feature looks for.
+_CUES = {
+    "secret": ("session", "cookie", "signature", "private", "login", "hash", "client"),
+    "local_phone": ("dial", "hotline", "reach me on", "whatsapp", "office", "home"),
+    "number": ("policy", "member", "taxpayer", "customer", "patient", "employee"),
+    "spelled_email": ("ping", "address", "send to", "or", "questions to"),
+}
 _COUNTER = ("page", "pages", "vol", "version", "isbn", "order", "build", "commit", "year", "population", "section", "figure", "table", "row", "revision")
 
 
@@ -179,9 +192,9 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, rounds: int = 40, depth: int = 3, precision: float = 0.99) -> "Boosted":
-        """Odd rows train; even rows set, for each kind, the least cut with that precision and every cut above it."""
-        odd = np.arange(len(y)) % 2 == 1
+    def fit(cls, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, train: np.ndarray, rounds: int = 40, depth: int = 3, precision: float = 0.99) -> "Boosted":
+        """Rows of ``train`` grow the trees; the others set, for each kind, the least cut with that precision and every cut above it."""
+        odd = train
         p = float(np.clip(y[odd].mean(), 0.01, 0.99))
         m = cls(float(np.log(p / (1 - p))), [], {})
         f = np.full(odd.sum(), m.base)
@@ -202,41 +215,42 @@ class Boosted:
         return m
 
 
-def _examples(seed: int, n: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
-    """Texts with the spans in them that are personal, from templates."""
-    rng = np.random.default_rng(seed)
-    pick = lambda seq: seq[int(rng.integers(len(seq)))]
-    chars = lambda alphabet, k: "".join(pick(alphabet) for _ in range(k))
+def _examples(seed: int, n: int, known: float = 0.5) -> Iterator[tuple[str, list[tuple[int, int]]]]:
+    """Texts with the spans in them that are personal, from templates; ``known``: the share of context words that features look for."""
+    rng = random.Random(seed)
+    pick = rng.choice
+    chars = lambda alphabet, k: "".join(rng.choices(alphabet, k=k))
     digit, hexa, mixed = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    word = lambda: chars("etaoinshrdlucmfwypvbgk", int(rng.integers(2, 11)))
+    word = lambda: chars("etaoinshrdlucmfwypvbgk", rng.randrange(2, 11))
 
     def positive() -> tuple[str, str, str]:
         kind = pick(MORE)
-        hint = pick(_HINTS[kind]) + pick((" = ", ": ", " ", "=")) if rng.random() < 0.85 else ""
+        hint = pick((_HINTS if rng.random() < known else _CUES)[kind]) + pick((" = ", ": ", " ", "=")) if rng.random() < 0.85 else ""
         if kind == "secret":
             q = pick(('"', "'", ""))
-            return hint + q, pick((chars(hexa, 40), chars(hexa, 32), chars(hexa, 64), chars(mixed, int(rng.integers(20, 64))))), q
+            return hint + q, pick((chars(hexa, 40), chars(hexa, 32), chars(hexa, 64), chars(mixed, rng.randrange(20, 64)))), q
         if kind == "local_phone":
             return hint, pick((f"({chars(digit, 3)}) {chars(digit, 3)}-{chars(digit, 4)}", f"{chars(digit, 3)}-{chars(digit, 3)}-{chars(digit, 4)}", f"{chars(digit, 3)} {chars(digit, 3)} {chars(digit, 4)}")), ""
         if kind == "number":
-            return hint or "account ", pick((f"{chars(digit, 3)}-{chars(digit, 2)}-{chars(digit, 4)}", chars(digit, int(rng.integers(9, 20))))), ""
+            return hint or "account ", pick((f"{chars(digit, 3)}-{chars(digit, 2)}-{chars(digit, 4)}", chars(digit, rng.randrange(9, 20)))), ""
         return hint, f"{word()}{pick((' at ', ' (at) ', '[at]'))}{word()}{pick((' dot ', ' (dot) ', '[dot]'))}{pick(('com', 'org', 'net', 'de'))}", ""
 
     def negative() -> str:
         return pick(
             (
                 f"{chars('12', 1)}{chars(digit, 3)}-{chars('01', 1)}{chars(digit, 1)}-{chars('012', 1)}{chars(digit, 1)}", f"version {chars(digit, 1)}.{chars(digit, 2)}.{chars(digit, 3)}",
-                f"{pick(_COUNTER)} {chars(digit, int(rng.integers(2, 12)))}", f"{chars(digit, 3)},{chars(digit, 3)},{chars(digit, 3)}", f"{chars(digit, 4)}-{chars(digit, 4)}",
+                f"{pick(_COUNTER)} {chars(digit, rng.randrange(2, 12))}", f"{chars(digit, 3)},{chars(digit, 3)},{chars(digit, 3)}", f"{chars(digit, 4)}-{chars(digit, 4)}",
                 f"{chars('19', 1)}9{chars(digit, 2)} - 20{chars(digit, 2)}", f"{word()} at {word()}", word() + "-" + word() + "-" + word() + "-" + chars(digit, 2), f"isbn 978-{chars(digit, 10)}",
                 word() + word() + chars(digit, 2), "_".join(word() for _ in range(4)) + chars(digit, 1), f"population {chars(digit, 8)}", f"{chars(digit, 2)} 000 000 {word()}", f"order {chars(digit, 9)}",
                 "/" + "/".join(word() for _ in range(4)) + "/" + chars(digit, 4), f"{chars(digit, 8)} {word()}", f"table {chars(digit, 3)} {chars(digit, 3)} {chars(digit, 4)}",
+                f"{word()} at {word()} dot dot dot", " ".join(chars(digit, 4) for _ in range(rng.randrange(3, 7))), " ".join(chars(digit, 1) + "000" for _ in range(rng.randrange(2, 6))),
             )
         )
 
     for _ in range(n):
         parts, spans, at = [], [], 0
         for _ in range(4):
-            lead = " ".join(word() for _ in range(int(rng.integers(3, 9)))) + " "
+            lead = " ".join(word() for _ in range(rng.randrange(3, 9))) + " "
             parts.append(lead)
             at += len(lead)
             if rng.random() < 0.5:
@@ -251,16 +265,18 @@ def _examples(seed: int, n: int) -> Iterator[tuple[str, list[tuple[int, int]]]]:
 
 
 @lru_cache(maxsize=1)
-def model(seed: int = 11, n: int = 2500) -> Boosted:
+def model(seed: int = 11, n: int = 1500) -> Boosted:
     """The trees, fitted on generated examples; the same on every machine."""
-    x, y, kinds = [], [], []
-    for s, spans in _examples(seed, n):
-        for a, b, kind in candidates(s):
-            hit = any(min(b, d) - max(a, c) >= 0.9 * (max(b, d) - min(a, c)) for c, d in spans)
-            x.append(describe(s, a, b, kind))
-            y.append(float(hit))
-            kinds.append(ORDER[kind])
-    return Boosted.fit(np.array(x), np.array(y), np.array(kinds))
+    x, y, kinds, train = [], [], [], []
+    for fits, known in ((True, 0.5), (False, 0.0)):
+        for s, spans in _examples(seed + fits, n, known):
+            for a, b, kind in candidates(s):
+                hit = any(min(b, d) - max(a, c) >= 0.9 * (max(b, d) - min(a, c)) for c, d in spans)
+                x.append(describe(s, a, b, kind))
+                y.append(float(hit))
+                kinds.append(ORDER[kind])
+                train.append(fits)
+    return Boosted.fit(np.array(x), np.array(y), np.array(kinds), np.array(train))
 
 
 def more_spans(s: str, base: list[tuple[int, int, str]], m: Boosted) -> list[tuple[int, int, str]]:
