@@ -338,6 +338,60 @@ def test_rules_counts_and_verdicts(spark, labelled, odd, none):
     assert quality_rules.judge(none, f).count() == 0 and quality_rules.fit(d, labels.where("false")) is None
 
 
+def plain_features(s):
+    """The fifteen ratios, counted character by character."""
+    from math import log1p
+
+    s = s or ""
+    n_words, chars, symbols, dups, repeats = plain_stats(s)
+    words = WORD.findall(s)
+    lines = [len(WORD.findall(x)) for x in s.split("\n") if WORD.search(x)]
+    w, k = max(n_words, 1), max(len(lines), 1)
+    count = lambda chars_: sum(c in chars_ for c in s)
+    upper, lower = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("abcdefghijklmnopqrstuvwxyz")
+    return [
+        log1p(n_words), chars / w, symbols / w, dups / k, repeats / w, upper / max(upper + lower, 1), count("0123456789") / max(len(s.encode()), 1), count("!") / w, count("|") / w,
+        count(",;:()\"'-") / w, count(".?") / w, len(set(words)) / w, n_words / k, sum(n < 4 for n in lines) / k, log1p(max((len(x.encode()) for x in words), default=0)),
+    ]
+
+
+PLAIN_TEXTS = ["", None, "a", "One two, THREE!\n\n12 | x? (é) - 'q' " * 9, "漢字 🙂 " + "ab " * 30 + "\nab ab\nab ab\n", "x" * 3000 + " y\tz\rw\x0bv"]
+
+
+def test_scores_equal_a_plain_sum_of_looked_up_values(spark, labelled):
+    from bisect import bisect_right
+    from math import exp
+
+    d, labels = labelled
+    m = quality_gam.fit(d, labels)
+    assert any(t.any() for t in m.tables) and len(m.pairs) == quality_gam.PAIRS
+    rows = [(i, s) for i, s in enumerate(PLAIN_TEXTS)] + [(r.doc_id + 100, r.text) for r in d.limit(60).collect()]
+    got = {r.doc_id: r for r in quality_gam.score(docs(spark, rows), m).collect()}
+    for i, s in rows:
+        x = plain_features(s)
+        f = m.base + sum(float(t[bisect_right(e.tolist(), v)]) for t, e, v in zip(m.tables, m.edges, x))
+        f += sum(float(t[bisect_right(m.pair_edges[a].tolist(), x[a]), bisect_right(m.pair_edges[b].tolist(), x[b])]) for (a, b), t in zip(m.pairs, m.pair_tables))
+        assert got[i].score == pytest.approx(1 / (1 + exp(-f)), abs=1e-9) and got[i].predicted == (got[i].score >= 0.3)
+
+
+def test_verdicts_equal_plain_walks_of_the_trees(spark, labelled):
+    d, labels = labelled
+    f = quality_rules.fit(d, labels)
+    rows = [(i, s) for i, s in enumerate(PLAIN_TEXTS)] + [(r.doc_id + 100, r.text) for r in d.limit(60).collect()]
+    got = {r.doc_id: r for r in quality_rules.judge(docs(spark, rows), f).collect()}
+    expected = 2 * (np.log(f.size - 1) + 0.5772156649) - 2 * (f.size - 1) / f.size
+    for i, s in rows:
+        x, total = plain_features(s), 0.0
+        for at in f.roots.tolist():
+            while f.column[at] >= 0:
+                at = int(f.child[at]) + (x[f.column[at]] >= f.cut[at])
+            total += f.depth[at]
+        score = 2 ** (-total / len(f.roots) / expected)
+        n_words, _, _, _, repeats = plain_stats(s)
+        failed = n_words < 20 or 100 * repeats > 30 * n_words
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].kept == (not failed and not score > f.threshold)
+
+
 # 5
 
 
