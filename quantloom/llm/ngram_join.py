@@ -38,6 +38,7 @@ _U = np.uint64
 BAND = 4
 WIDESPREAD = 1 << 17  # shingles kept in the order's table: a proven bound on what is broadcast
 BLOCK = 512  # members of a bucket that one task compares with as many others
+BLOCK_BYTES = 4 << 20  # of their shingles
 
 
 def _band(n: int) -> int:
@@ -404,25 +405,52 @@ def _central(members: DataFrame, comp: DataFrame) -> DataFrame:
     return _labelled(pairs, comp).where("ca != cb").select("a", "b")
 
 
-def _apart(members: DataFrame, tested: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
-    """Pairs of bucket members that no link joins yet, filtered by bitmap.
+def _hopeful(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of a cell, the later rows of another component that sizes and bitmaps do not prove apart.
+
+    Labels of components may be changed in the array that comes along, between rows.
+    """
+    ids, comps, chunk, within = (t[c].to_numpy() for c in ("id", "component", "chunk", "within"))
+    n, bits = t["n"].to_numpy(), t["bits"].to_pylist()
+    labels = comps.copy()
+    size = min((len(x) for x in bits), default=0)
+    maps = np.stack([_folded(np.frombuffer(x, np.uint8), size) for x in bits]) if len(bits) else np.zeros((0, 0), np.uint8)
+    maps = np.ascontiguousarray(maps).view(_U)
+    for i in range(len(ids)):
+        ok = (labels != labels[i]) & (ids > ids[i]) & (within | (chunk != chunk[i]))
+        ok &= np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i])
+        j = np.flatnonzero(ok)
+        if len(j):
+            differ = np.bitwise_count(maps[j] ^ maps[i]).sum(axis=1).astype(np.int64)
+            near = differ * (100 + percent) <= (100 - percent) * (n[j] + n[i])
+            j = j[near][np.argsort(differ[near], kind="stable")]
+            if len(j):
+                yield i, j, labels
+
+
+def _apart(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Verified links between bucket members that no link joins yet.
 
     Buckets in question have three members or more and a link that failed. Their
-    members are compared in blocks of ``BLOCK`` times ``BLOCK``, each block pair
-    in a group of its own, so the largest bucket is still many small groups.
+    members are compared in cells of two blocks, each cell a group of its own, so the
+    largest bucket is still many small groups; a block has at most ``BLOCK`` members
+    and about ``BLOCK_BYTES`` of shingles. Bitmaps come first. Only members with a hopeful
+    partner are joined with their sets and verified, within the cell, where a link makes
+    one component of two; so a cell gives fewer links than it has members, not all pairs.
     """
     # buckets with the same members are one
-    alike = members.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.count("*").alias("m"))
-    alike = alike.groupBy("x", "m").agg(F.min("key").alias("key"))
-    members = members.join(alike.select("key", "m"), "key")
+    members = members.join(sets.select("id", "n"), "id")
+    alike = members.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("x"), F.count("*").alias("m"), F.max("n").alias("largest"))
+    alike = alike.groupBy("x", "m").agg(F.min("key").alias("key"), F.max("largest").alias("largest"))
+    members = members.join(alike.select("key", "m", "largest"), "key")
     # a bucket whose members are of one component is done
     named = comp.select(F.col("node").alias("id"), "component")
     members = cut(members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
     split = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     members = members.join(few(cut(split)), "key", "leftsemi")
     # a bucket larger than a block is dealt into chunks by a hash of the member
-    chunks = F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")
-    members = members.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
+    block = F.greatest(F.lit(2), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("largest")))))
+    members = members.withColumn("chunks", F.ceil(F.col("m") / block).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), F.col("chunks")).cast("int"))
     spread = members.select(
         "id", "component", "key", "chunk",
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"),
@@ -433,26 +461,27 @@ def _apart(members: DataFrame, tested: DataFrame, sets: DataFrame, comp: DataFra
     )
     cells = spread.join(sets.select("id", "n", "bits"), "id")
 
-    def run(t: pa.Table) -> pa.Table:
-        ids, comps, chunk, within = (t[c].to_numpy() for c in ("id", "component", "chunk", "within"))
-        n, bits = t["n"].to_numpy(), t["bits"].to_pylist()
-        size = min((len(x) for x in bits), default=0)
-        rows_ = np.stack([_folded(np.frombuffer(x, np.uint8), size) for x in bits]) if len(bits) else np.zeros((0, 0), np.uint8)
-        rows_ = np.ascontiguousarray(rows_).view(_U)
+    def partners(t: pa.Table) -> pa.Table:
+        some = np.zeros(len(t), bool)
+        for i, j, _ in _hopeful(t, percent):
+            some[i] = True
+            some[j] = True
+        return t.select(["id", "component", "chunk", "cell", "within"]).filter(pa.array(some))
+
+    def verify(t: pa.Table) -> pa.Table:
+        ids, elements = t["id"].to_numpy(), t["elements"]
         a, b = [], []
-        for i in range(len(ids)):
-            ok = (comps != comps[i]) & (ids > ids[i]) & (within | (chunk != chunk[i]))
-            ok &= (np.minimum(n, n[i]) * 100 >= percent * np.maximum(n, n[i]))
-            j = np.flatnonzero(ok)
-            if len(j):
-                differ = np.bitwise_count(rows_[j] ^ rows_[i]).sum(axis=1)
-                j = j[differ.astype(np.int64) * (100 + percent) <= (100 - percent) * (n[j] + n[i])]
-                a.append(np.full(len(j), ids[i]))
-                b.append(ids[j])
-        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+        for i, js, labels in _hopeful(t, percent):
+            own = elements[i].as_py()
+            for j in js.tolist():
+                if labels[j] != labels[i] and linked(own, elements[j].as_py(), percent):
+                    labels[labels == labels[j]] = labels[i]
+                    a.append(ids[i])
+                    b.append(ids[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    found = cells.groupBy("cell").applyInArrow(run, "a long, b long").distinct()
-    return found.join(tested, ["a", "b"], "leftanti")
+    some = cut(cells.groupBy("cell").applyInArrow(partners, "id long, component long, chunk int, cell long, within boolean"))
+    return some.join(sets, "id").groupBy("cell").applyInArrow(verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -495,8 +524,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = cut(_pairs_that(central, sets, percent, whole=False))
     more = cut(_pairs_that(likely, sets, percent, whole=True))
     links, comp = links.unionByName(more), _merged(comp, more)
-    tested = tested.unionByName(central)
-    last = cut(_pairs_that(cut(_apart(members, tested, sets, comp, percent)), sets, percent, whole=True))
+    last = cut(_apart(members, sets, comp, percent))
     links, comp = links.unionByName(last), _merged(comp, last)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_verified"))
     out = sizes.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").join(degree, "id", "left")
