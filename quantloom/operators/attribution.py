@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import t_pvalue
-from .windows import series
+from .windows import running_sum, series
 
 ANNUAL = 252.0
 
@@ -47,9 +47,8 @@ def decomposition(trades: DataFrame, bars: DataFrame, tail: float = 0.95) -> Dat
     whole = bars.groupBy("ts").agg(F.sum("pnl").alias("whole"))
     both = bars.join(whole, "ts")
     risk = both.groupBy("strategy").agg((F.covar_samp("pnl", "whole") / F.nullif(F.var_samp("whole"), F.lit(0.0))).alias("risk_share"), F.sum("pnl").alias("mtm"))
-    # the whole's daily path is short: daily totals first, then one ordered pass
-    run = Window.partitionBy(F.lit(0)).orderBy("ts")
-    path = whole.withColumn("cum", F.sum("whole").over(run.rowsBetween(Window.unboundedPreceding, 0)))
+    # inside days and over one row a day, so no task takes every bar time
+    path = running_sum(whole, [], F.col("whole"), "cum", F.to_date("ts"))
     top = path.agg(F.max_by("ts", F.struct("cum", -F.unix_micros(F.col("ts").cast("timestamp")))).alias("a"))
     after = path.join(F.broadcast(top)).where("ts >= a").groupBy("a").agg(F.min_by("ts", F.struct("cum", "ts")).alias("b"))
     dd = bars.join(F.broadcast(after)).where("ts between a and b").groupBy("strategy").agg(F.sum("pnl").alias("max_dd_pnl"))

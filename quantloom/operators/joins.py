@@ -10,21 +10,22 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: list
     """Each left row with the last right values at or before its time (before, if strict).
 
     Both sides go through one shuffle by key and one ordered pass; right rows are
-    not paired with left rows. Right values that are null are passed over.
+    not paired with left rows. Right values that are null are passed over; of right
+    rows with one time the greatest values count.
     """
     r = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(1 if strict else 0).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
     row = F.struct(*left.columns)
     both = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(0 if strict else 1).alias("_side"), row.alias("_row")).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by).orderBy("_ts", "_side", *[f"_v_{v}" for v in values]).rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumns({f"_v_{v}": F.last(f"_v_{v}", ignorenulls=True).over(w) for v in values})
     return filled.where("_row is not null").select("_row.*", *[F.col(f"_v_{v}").alias(v) for v in values])
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts") -> DataFrame:
-    """Each left row with the first right values strictly after its time."""
+    """Each left row with the first right values strictly after its time; of right rows with one time the least values count."""
     r = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
     both = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row")).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy("_ts", "_side", *[f"_v_{v}" for v in values]).rowsBetween(0, Window.unboundedFollowing)
     filled = both.withColumns({f"_v_{v}": F.first(f"_v_{v}", ignorenulls=True).over(w) for v in values})
     return filled.where("_row is not null").select("_row.*", *[F.col(f"_v_{v}").alias(v) for v in values])
 
@@ -34,14 +35,20 @@ def range_join(spans: DataFrame, points: DataFrame, by: list[str], start: str, e
 
     A span is dealt to the buckets it touches, so the join is an equi-join on
     (keys, bucket) with a residual predicate, and long spans are many small pieces.
+    A span that ends before it starts, or lacks a bound, holds no point.
     """
     step = F.expr(f"INTERVAL 1 {unit}")
-    cells = spans.withColumn("_b", F.explode(F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, end), step)))
+    cells = spans.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(F.date_trunc(unit, start), F.date_trunc(unit, end), step)))
     pts = points.withColumn("_b", F.date_trunc(unit, F.col(ts)))
     keep = (F.col(ts) > F.col(start)) & (F.col(ts) <= F.col(end))
     return cells.join(pts, [*by, "_b"]).where(keep).drop("_b")
 
 
+def aligned(rows: DataFrame, on: str, name: str, value: str, names: list[str]) -> DataFrame:
+    """Series side by side: one row for each ``on`` that any of them has, one column a name, null where a series has no value there."""
+    return rows.groupBy(on).pivot(name, names).agg(F.max(value))
+
+
 def daily_flag_to_bars(bars: DataFrame, daily: DataFrame, by: list[str], flag: str) -> DataFrame:
     """A flag of a day, known from the next day on, beside each bar."""
     return asof_backward(bars.withColumn("_d", F.to_date("ts")), daily.withColumnRenamed("day", "_d"), by, [flag], "_d", "_d", strict=True).drop("_d")

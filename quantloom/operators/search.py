@@ -31,8 +31,13 @@ def folds(n_bars: int, n_folds: int = 5, test_share: float = 0.10, purge: int =
     return out
 
 
-def fold_table(spark: SparkSession, ranges: list[tuple[int, int, int, int]]) -> DataFrame:
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "fold int, train_from long, train_to long, test_from long, test_to long")
+def folds_by_series(bars: DataFrame, n_folds: int = 5, test_share: float = 0.10, purge: int = 0, embargo: int = 0, anchored: bool = False) -> DataFrame:
+    """:func:`folds` of every symbol's own number of bars; a fold that leaves no training bars is left out."""
+    n = bars.groupBy("symbol").agg(F.count("*").alias("n")).withColumn("size", F.floor(F.col("n") * test_share)).where((F.col("size") >= 1) & (n_folds * F.col("size") < F.col("n")))
+    k = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))).withColumn("test_from", F.col("n") - n_folds * F.col("size") + F.col("fold") * F.col("size"))
+    begin = F.lit(0).cast("long") if anchored else F.col("fold") * F.col("size")
+    out = k.select("symbol", "fold", begin.alias("train_from"), (F.col("test_from") - purge - embargo).alias("train_to"), "test_from", (F.col("test_from") + F.col("size")).alias("test_to"))
+    return out.where("train_from < train_to")
 
 
 def numbered(bars: DataFrame) -> DataFrame:
@@ -63,13 +68,24 @@ def sample(space: dict[str, Any], n: int, seed: int = 42, best: list[tuple[float
 
 
 def scored(out: DataFrame, risk_free: float, min_trades: int, target_trades: int, max_dd: float) -> DataFrame:
-    """A score a run from the rows of a sweep."""
+    """A score a run from the rows of a sweep.
+
+    A run has one history a symbol, and each is measured by itself. Over a run's symbols
+    trades and PnL are summed, the win rate is that of all trades, the drawdown is
+    the deepest, and what else there is, the score among it, is averaged.
+    """
     from ..simulation import runs
 
-    curve = metrics.curve_metrics(runs.history(out), ["run_id"], risk_free)
-    stats = metrics.trade_stats(runs.trades(out), ["run_id"]).select("run_id", "trades", "win_rate", "profit_factor", "total_pnl", "avg_trade")
-    both = curve.join(stats, "run_id", "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
-    return metrics.objective(both, min_trades, target_trades, max_dd)
+    by = ["run_id", "symbol"]
+    curve = metrics.curve_metrics(runs.history(out), by, risk_free)
+    stats = metrics.trade_stats(runs.trades(out), by).select(*by, "trades", "win_rate", "profit_factor", "total_pnl", "avg_trade")
+    both = curve.join(stats, by, "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
+    each = metrics.objective(both, min_trades, target_trades, max_dd)
+    special = {
+        "trades": F.sum("trades"), "total_pnl": F.sum("total_pnl"), "win_rate": F.try_divide(F.sum(F.col("win_rate") * F.col("trades")), F.sum("trades")),
+        "avg_trade": F.try_divide(F.sum("total_pnl"), F.sum("trades")), "max_drawdown": F.max_by("max_drawdown", F.abs("max_drawdown")),
+    }
+    return each.groupBy("run_id").agg(*[special.get(c, F.avg(c)).alias(c) for c in each.columns if c not in by])
 
 
 def optimise(bars: DataFrame, strategy: str, s: RunSettings, n_trials: int = 40, batch: int = 20, seed: int = 42, min_trades: int = 7, max_dd: float = 0.35) -> list[tuple[float, dict, dict]]:
@@ -151,18 +167,23 @@ def walk_forward(bars: DataFrame, strategy: str, s: RunSettings, n_folds: int =
     """Folds in turn: search on the training bars, then run the best set on the test bars of the same fold."""
     from ..simulation import runs
 
-    rows = numbered(bars)
-    n = rows.groupBy("symbol").agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
+    ranges = folds_by_series(bars, n_folds, test_share, purge, embargo, anchored)
+    rows = numbered(bars).join(ranges, "symbol")
     results = []
-    for k, (a, b, c, d) in enumerate(folds(n, n_folds, test_share, purge, embargo, anchored)):
-        train = rows.where(F.col("pos").between(a, b - 1)).drop("pos")
+    for k in range(n_folds):
+        # bars of the shortest series set how many trades a fold must have
+        size = ranges.where(F.col("fold") == k).agg(F.min(F.col("test_to") - F.col("test_from")).alias("test"), F.min(F.col("train_to") - F.col("train_from")).alias("train")).first()
+        if not size.test:
+            continue
+        part = lambda a, b: rows.where((F.col("fold") == k) & (F.col("pos") >= F.col(a)) & (F.col("pos") < F.col(b))).select(*bars.columns)  # noqa: E731, B023
+        train = part("train_from", "train_to")
         found = optimise(train, strategy, s, n_trials, n_trials, 42 + k, min_trades)
         if not found or found[0][0] <= -1:
             continue
         score, params, inside = found[0]
-        test = rows.where(F.col("pos").between(c, d - 1)).drop("pos")
+        test = part("test_from", "test_to")
         out = runs.simulate(test, strategy, s.with_params(**params), f"fold-{k}")
-        r = scored(out, s.risk_free_rate, scaled_min_trades(d - c, b - a, min_trades), min_trades * 2, 0.4).first()
+        r = scored(out, s.risk_free_rate, scaled_min_trades(size.test, size.train, min_trades), min_trades * 2, 0.4).first()
         if r is None:
             continue
         results.append(FoldResult(k, params, score, r.score, inside["sharpe"], r.sharpe, r.total_pnl or 0.0, r.trades, r.win_rate or 0.0, inside["win_rate"] or 0.0))

@@ -74,6 +74,20 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *more.fields])
 
 
+def _folded(x: np.ndarray, decay: float, gain: float, block: int = 64) -> np.ndarray:
+    """y[i] = decay * y[i-1] + gain * x[i] from 0: a triangular product inside blocks, then one step a block."""
+    n = -(-len(x) // block)
+    steps = np.arange(block)
+    lag = steps[:, None] - steps[None, :]
+    own = np.where(lag >= 0, gain * float(decay) ** np.maximum(lag, 0), 0.0)
+    y = np.concatenate([x, np.zeros(n * block - len(x))]).reshape(n, block) @ own.T
+    fade, s = float(decay) ** (steps + 1), 0.0
+    for row in y:
+        row += s * fade
+        s = row[-1]
+    return y.ravel()[: len(x)]
+
+
 def recurrence(df: DataFrame, keys: list[str], value: Column, name: str, decay: float, chunk: Column, gain: float | None = None, ts: str = "ts") -> DataFrame:
     """Adds y with y[t] = decay * y[t-1] + gain * x[t], y[0] = x[0], null values passed over.
 
@@ -87,13 +101,10 @@ def recurrence(df: DataFrame, keys: list[str], value: Column, name: str, decay:
     def local(t: pa.Table) -> pa.Table:
         t = t.sort_by(ts)
         x = t["_x"].to_numpy(zero_copy_only=False)
-        y, k = np.empty(len(x)), np.empty(len(x), np.int64)
-        s, n = 0.0, 0
-        for i, v in enumerate(x):
-            if v == v:
-                s, n = decay * s + gain * v, n + 1
-            y[i], k[i] = s, n
-        first = x[np.flatnonzero(x == x)[0]] if n else np.nan
+        some = x == x
+        k = np.cumsum(some)
+        y = np.concatenate([[0.0], _folded(x[some], decay, gain)])[k]
+        first = x[np.argmax(some)] if some.any() else np.nan
         return t.append_column("_y", pa.array(y)).append_column("_k", pa.array(k)).append_column("_first", pa.array(np.full(len(x), first)))
 
     schema = widened(rows, _y="double", _k="long", _first="double")

@@ -337,37 +337,34 @@ def order_costs(spark, d):
     return out(a, digits=2)
 
 
-FILLS_SQL = """f AS (SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS seq, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(1 + event_id % 3 AS DOUBLE) AS q, value AS p FROM events WHERE CAST(ts AS DATE) <= DATE '{day}'),
+FILLS_SQL = """f AS (SELECT event_type AS symbol, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CAST(1 + event_id % 3 AS DOUBLE) AS q, value AS p FROM events),
 c AS (SELECT *, sum(q) OVER (PARTITION BY symbol, side ORDER BY seq ROWS UNBOUNDED PRECEDING) AS hi FROM f)"""
 
 
-def _fifo_match(e: DataFrame) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    f = e.select(F.col("event_type").alias("symbol"), F.row_number().over(w).cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), (1 + F.col("event_id") % 3).cast("double").alias("quantity"), F.col("value").alias("price"), "ts")
-    m = fills.fifo_match(f, ["symbol"])
-    return out(m, "symbol", "direction", "buy_seq", "sell_seq", "quantity", "gross_pnl", digits=4)
-
-
-@query(f"""WITH {FILLS_SQL.format(day='2024-01-05')}
+@query(f"""WITH {FILLS_SQL}
 SELECT b.symbol, CASE WHEN b.seq < s.seq THEN 'LONG' ELSE 'SHORT' END AS direction, b.seq AS buy_seq, s.seq AS sell_seq, least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q) AS quantity,
 round((s.p - b.p) * (least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q)), 4) + 0.0 AS gross_pnl
 FROM c b JOIN c s ON b.symbol = s.symbol AND b.side = 'BUY' AND s.side = 'SELL' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi""")
 def fifo_match(spark, d):
-    return _fifo_match(views.table(spark, d, "events").where(F.to_date(F.col("ts").cast("timestamp_ntz")) <= "2024-01-05"))
-
-
-@query()
-def fifo_match_all(spark, d):
-    return _fifo_match(views.table(spark, d, "events"))
+    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
+    f = views.table(spark, d, "events").select(
+        F.col("event_type").alias("symbol"), F.row_number().over(w).cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+        (1 + F.col("event_id") % 3).cast("double").alias("quantity"), F.col("value").alias("price"), "ts",
+    )
+    return out(fills.fifo_match(f, ["symbol"]), "symbol", "direction", "buy_seq", "sell_seq", "quantity", "gross_pnl", digits=4)
 
 
 # joins and exits
 
 EVENT_TRADES = """t AS (SELECT event_id AS trade_id, event_type AS symbol, ts AS entry_time, ts + INTERVAL 1 HOUR * CAST(1 + event_id % 30 AS INTEGER) AS exit_time, value AS entry_price,
-  CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(1 + event_id % 5 AS DOUBLE) AS quantity, 0.5 AS commission, 0.25 AS slippage FROM events WHERE event_id % 10 = 0)"""
+  CASE WHEN event_id % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CAST(1 + event_id % 5 AS DOUBLE) AS quantity, 0.5 AS commission, 0.25 AS slippage FROM events)"""
+
+
+#: k steps of holding time, in the unit of the step.
+HELD = "(CAST(step * {k} // CASE WHEN step <= 60 THEN 1 WHEN step = 360 THEN 60 ELSE 1440 END AS VARCHAR) || CASE WHEN step <= 60 THEN 'm' WHEN step = 360 THEN 'h' ELSE 'd' END)"
 
 
-def _all_event_trades(spark: SparkSession, d: str) -> DataFrame:
+def _event_trades(spark: SparkSession, d: str) -> DataFrame:
     """One trade an event."""
     e = views.table(spark, d, "events")
     ts = F.col("ts").cast("timestamp_ntz")
@@ -378,44 +375,17 @@ def _all_event_trades(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _event_trades(spark: SparkSession, d: str) -> DataFrame:
-    """The tenth of the trades that the SQL names; the queries ending in _all have every one."""
-    return _all_event_trades(spark, d).where("trade_id % 10 = 0")
-
-
-def _asof_close(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
-    got = joins.asof_backward(t, views.bars(spark, d).select("symbol", "ts", "close"), ["symbol"], ["close"], "entry_time", "ts")
-    return out(got, "trade_id", "symbol", "close")
-
-
 @query(f"""WITH b AS ({H}), {EVENT_TRADES}, m AS (SELECT t.trade_id, max(b.ts) AS bt FROM t JOIN b ON t.symbol = b.symbol AND b.ts <= t.entry_time GROUP BY 1)
 SELECT t.trade_id, t.symbol, {R('b.close', 'close')} FROM t LEFT JOIN m ON t.trade_id = m.trade_id LEFT JOIN b ON b.symbol = t.symbol AND b.ts = m.bt""")
 def asof_close(spark, d):
-    return _asof_close(spark, d, _event_trades(spark, d))
-
-
-@query()
-def asof_close_all(spark, d):
-    return _asof_close(spark, d, _all_event_trades(spark, d))
-
-
-def _range_join_mfe_mae(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
-    return out(exits.excursions(t, views.bars(spark, d), ["symbol"]).where("mfe is not null"), "trade_id", "mfe", "mae")
+    got = joins.asof_backward(_event_trades(spark, d), views.bars(spark, d).select("symbol", "ts", "close"), ["symbol"], ["close"], "entry_time", "ts")
+    return out(got, "trade_id", "symbol", "close")
 
 
 @query(f"""WITH b AS ({H}), {EVENT_TRADES}, x AS (SELECT t.trade_id, max(b.high) AS hi, min(b.low) AS lo FROM t JOIN b ON t.symbol = b.symbol AND b.ts > t.entry_time AND b.ts <= t.exit_time GROUP BY 1)
 SELECT t.trade_id, {R("greatest(0.0, CASE WHEN direction = 'LONG' THEN hi - entry_price ELSE entry_price - lo END * quantity)", 'mfe')}, {R("least(0.0, CASE WHEN direction = 'LONG' THEN lo - entry_price ELSE entry_price - hi END * quantity)", 'mae')} FROM t JOIN x ON t.trade_id = x.trade_id""")
 def range_join_mfe_mae(spark, d):
-    return _range_join_mfe_mae(spark, d, _event_trades(spark, d))
-
-
-@query()
-def range_join_mfe_mae_all(spark, d):
-    return _range_join_mfe_mae(spark, d, _all_event_trades(spark, d))
-
-
-def _pnl_decay(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
-    return out(exits.forward_pnl(t, views.bars(spark, d), ["symbol"], (60, 240, 1440)), "trade_id", "minutes", "pnl", "past_end")
+    return out(exits.excursions(_event_trades(spark, d), views.bars(spark, d), ["symbol"]).where("mfe is not null"), "trade_id", "mfe", "mae")
 
 
 @query(f"""WITH b AS ({H}), {EVENT_TRADES}, h AS (SELECT t.*, CAST(m AS INTEGER) AS minutes, entry_time + INTERVAL 1 MINUTE * CAST(m AS INTEGER) AS due FROM t CROSS JOIN (SELECT unnest([60, 240, 1440]) AS m) u),
@@ -423,12 +393,7 @@ l AS (SELECT h.trade_id, h.minutes, max(b.ts) AS bt FROM h JOIN b ON b.symbol =
 SELECT h.trade_id, h.minutes, {R("CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * (b.close - entry_price) * quantity - 0.75", 'pnl')}, h.due > z.z AS past_end
 FROM h LEFT JOIN l ON h.trade_id = l.trade_id AND h.minutes = l.minutes LEFT JOIN b ON b.symbol = h.symbol AND b.ts = l.bt LEFT JOIN z ON z.symbol = h.symbol""")
 def pnl_decay(spark, d):
-    return _pnl_decay(spark, d, _event_trades(spark, d))
-
-
-@query()
-def pnl_decay_all(spark, d):
-    return _pnl_decay(spark, d, _all_event_trades(spark, d))
+    return out(exits.forward_pnl(_event_trades(spark, d), views.bars(spark, d), ["symbol"], (60, 240, 1440)), "trade_id", "minutes", "pnl", "past_end")
 
 
 TR = views.TRADES
@@ -454,21 +419,75 @@ def exit_reason_breakdown(spark, d):
     return out(b, digits=4)
 
 
-def _holding_buckets(spark: SparkSession, d: str, t: DataFrame) -> DataFrame:
-    return out(exits.holding_buckets(t.withColumn("pnl", F.col("entry_price"))))
-
-
 @query(f"""WITH {EVENT_TRADES}, m AS (SELECT date_diff('minute', entry_time, exit_time) AS m, entry_price AS pnl FROM t),
 s AS (SELECT CASE WHEN max(m) <= 60 THEN 15 WHEN max(m) <= 240 THEN 60 WHEN max(m) <= 1440 THEN 360 ELSE 1440 END AS step FROM m),
 g AS (SELECT CAST(least(floor(m / step), 4) AS INTEGER) AS bucket, avg(pnl) AS a, count(pnl) AS n FROM m, s GROUP BY 1)
-SELECT CAST(k AS INTEGER) AS bucket, CASE k WHEN 0 THEN '<6h' WHEN 1 THEN '6h-12h' WHEN 2 THEN '12h-18h' WHEN 3 THEN '18h-24h' ELSE '>24h' END AS label, {R('coalesce(a, 0.0)', 'avg_pnl')}, coalesce(n, 0) AS n FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k) LEFT JOIN g ON g.bucket = k""")
+SELECT CAST(k AS INTEGER) AS bucket, CASE k WHEN 0 THEN '<' || lo(1) WHEN 4 THEN '>' || lo(4) ELSE lo(k) || '-' || lo(k + 1) END AS label, {R('coalesce(a, 0.0)', 'avg_pnl')}, coalesce(n, 0) AS n FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k) CROSS JOIN s LEFT JOIN g ON g.bucket = k""".replace("lo(k + 1)", HELD.replace("{k}", "(k + 1)")).replace("lo(k)", HELD.replace("{k}", "k")).replace("lo(1)", HELD.replace("{k}", "1")).replace("lo(4)", HELD.replace("{k}", "4")))
 def holding_buckets(spark, d):
-    return _holding_buckets(spark, d, _event_trades(spark, d))
+    return out(exits.holding_buckets(_event_trades(spark, d).withColumn("pnl", F.col("entry_price"))))
 
 
-@query()
-def holding_buckets_all(spark, d):
-    return _holding_buckets(spark, d, _all_event_trades(spark, d))
+@query(f"""WITH b AS ({H}), {EVENT_TRADES}, m AS (SELECT t.trade_id, min(b.ts) AS bt FROM t JOIN b ON t.symbol = b.symbol AND b.ts > t.entry_time GROUP BY 1)
+SELECT t.trade_id, {R('b.open', 'open')} FROM t LEFT JOIN m ON t.trade_id = m.trade_id LEFT JOIN b ON b.symbol = t.symbol AND b.ts = m.bt""")
+def asof_next_open(spark, d):
+    got = joins.asof_forward(_event_trades(spark, d), views.bars(spark, d).select("symbol", "ts", "open"), ["symbol"], ["open"], "entry_time", "ts")
+    return out(got, "trade_id", "open")
+
+
+@query(f"""WITH b AS ({H}), {EVENT_TRADES}, x AS (SELECT t.trade_id, max(b.high) AS hi, min(b.low) AS lo FROM t JOIN b ON t.symbol = b.symbol AND b.ts > t.entry_time AND b.ts <= t.exit_time GROUP BY 1),
+l AS (SELECT t.trade_id, max(b.ts) AS bt FROM t JOIN b ON b.symbol = t.symbol AND b.ts <= t.entry_time + INTERVAL 60 MINUTE GROUP BY 1),
+e AS (SELECT t.*, t.entry_price - 50 AS pnl, greatest(0.0, CASE WHEN direction = 'LONG' THEN hi - entry_price ELSE entry_price - lo END * quantity) AS mfe, least(0.0, CASE WHEN direction = 'LONG' THEN lo - entry_price ELSE entry_price - hi END * quantity) AS mae,
+  CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * (b.close - entry_price) * quantity - 0.75 AS p60, hi IS NULL AS bare
+  FROM t LEFT JOIN x ON x.trade_id = t.trade_id LEFT JOIN l ON l.trade_id = t.trade_id LEFT JOIN b ON b.symbol = t.symbol AND b.ts = l.bt)
+SELECT direction AS strategy, {R('avg(CASE WHEN NOT bare THEN mfe END)', 'avg_mfe', 4)}, {R('avg(CASE WHEN NOT bare THEN mae END)', 'avg_mae', 4)}, {R('avg(p60)', 'avg_pnl_60m', 4)}, {R('100.0 * count(*) FILTER (WHERE pnl > 0) / count(*)', 'win_rate', 4)},
+{R("avg(date_diff('minute', entry_time, exit_time))", 'avg_minutes', 4)} FROM e GROUP BY 1""")
+def exit_summary(spark, d):
+    t = _event_trades(spark, d).withColumns({"strategy": F.col("direction"), "pnl": F.col("entry_price") - 50})
+    b = views.bars(spark, d)
+    hour = exits.forward_pnl(t, b, ["symbol"], (60,)).select("trade_id", F.col("pnl").alias("pnl_decay_60m"))
+    rich = exits.excursions(t, b, ["symbol"]).join(hour, "trade_id", "left")
+    return out(exits.exit_summary(rich, t), digits=4)
+
+
+@query(f"""WITH b AS ({H}), {EVENT_TRADES}, h AS (SELECT t.*, CAST(m AS INTEGER) AS minutes, entry_time + INTERVAL 1 MINUTE * CAST(m AS INTEGER) AS due FROM t CROSS JOIN (SELECT unnest([60, 240, 1440, 2880]) AS m) u),
+l AS (SELECT h.trade_id, h.minutes, max(b.ts) AS bt FROM h JOIN b ON b.symbol = h.symbol AND b.ts <= h.due GROUP BY 1, 2),
+p AS (SELECT h.minutes, CASE WHEN direction = 'LONG' THEN 1 ELSE -1 END * (b.close - entry_price) * quantity - 0.75 AS pnl FROM h LEFT JOIN l ON h.trade_id = l.trade_id AND h.minutes = l.minutes LEFT JOIN b ON b.symbol = h.symbol AND b.ts = l.bt)
+SELECT minutes, {R('avg(pnl)', 'avg_pnl', 4)}, count(pnl) AS n FROM p WHERE minutes <= (SELECT max(date_diff('minute', entry_time, exit_time)) FROM t) GROUP BY 1""")
+def decay_curve(spark, d):
+    t = _event_trades(spark, d)
+    return out(exits.decay_curve(exits.forward_pnl(t, views.bars(spark, d), ["symbol"], (60, 240, 1440, 2880)), t), digits=4)
+
+
+@query(f"""WITH r AS (SELECT CASE WHEN l_discount * 10 <= 0.2 THEN 'Compression' WHEN l_discount * 10 <= 0.8 THEN 'Normal' WHEN l_discount * 10 <= 1 THEN 'Panic' END AS regime, l_extendedprice AS pnl FROM lineitem WHERE l_discount >= 0)
+SELECT k AS regime, {R('coalesce(avg(pnl), 0.0)', 'avg_pnl', 3)}, count(pnl) AS n FROM (SELECT unnest(['Compression', 'Normal', 'Panic']) AS k) LEFT JOIN r ON regime = k GROUP BY k""")
+def regime_buckets(spark, d):
+    i = views.table(spark, d, "lineitem").select((F.col("l_discount") * 10).alias("entry_volatility"), F.col("l_extendedprice").alias("pnl"))
+    return out(exits.regime_buckets(i), digits=3)
+
+
+@query(f"""WITH b AS (SELECT *, strftime(ts, '%Y-%m-%d') AS contract FROM ({H})), p AS (SELECT symbol, contract, min(ts) AS a, arg_min(open, ts) AS o, arg_max(close, ts) AS c FROM b GROUP BY 1, 2),
+g AS (SELECT *, lead(o) OVER (PARTITION BY symbol ORDER BY a) - c AS gap FROM p), s AS (SELECT symbol, contract, coalesce(sum(gap) OVER (PARTITION BY symbol ORDER BY a DESC ROWS UNBOUNDED PRECEDING), 0) AS shift FROM g)
+SELECT b.symbol, {T('b.ts')}, b.contract, {R('open + shift', 'open', 4)}, {R('close + shift', 'close', 4)} FROM b JOIN s ON s.symbol = b.symbol AND s.contract = b.contract""")
+def back_adjusted(spark, d):
+    chunks = views.bars(spark, d).withColumn("contract", F.date_format("ts", "yyyy-MM-dd"))  # a roll a day
+    return out(bars.back_adjust(chunks), "symbol", "ts", "contract", "open", "close", digits=4)
+
+
+@query("SELECT l_orderkey, max(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1")
+def keep_last(spark, d):
+    return bars.keep_last(views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
+
+
+@query(f"""WITH b AS ({H}), c AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_max(close, ts) AS close FROM b GROUP BY 1, 2)
+SELECT {D('day')}, {R("max(close) FILTER (WHERE symbol = 'click')", 'click')}, {R("max(close) FILTER (WHERE symbol = 'purchase')", 'purchase')}, {R("max(close) FILTER (WHERE symbol = 'view')", 'view')} FROM c GROUP BY day""")
+def aligned_closes(spark, d):
+    daily = views.bars(spark, d).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("close", "ts").alias("close"))
+    return out(joins.aligned(daily, "day", "symbol", "close", ["click", "purchase", "view"]))
+
+
+# names under which the whole tables were read before these queries read them themselves
+for _name in ("fifo_match", "asof_close", "range_join_mfe_mae", "pnl_decay", "holding_buckets"):
+    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
 
 
 @query(f"SELECT {D('day')}, {R('sum(commission)', 'commission', 3)}, {R('sum(slippage)', 'slippage', 3)} FROM (SELECT CAST(exit_time AS DATE) AS day, * FROM ({TR})) GROUP BY day")
@@ -691,7 +710,7 @@ def simulate_portfolio(spark, d):
 
     slots = [
         portfolio.Slot("0", "sma_pullback", ("click", "view"), 0.5, params={"smapull_fast_sma_window": 10, "smapull_slow_sma_window": 30}),
-        portfolio.Slot("1", "channel_breakout", ("purchase", "error"), 0.5, params={"chbrk_length": 10, "chbrk_ema_period": 20}),
+        portfolio.Slot("1", "channel_breakout", ("purchase", "error", "signup"), 0.5, params={"chbrk_length": 10, "chbrk_ema_period": 20}),
     ]
     run = RunSettings(use_trading_hours=False, eod_close=None, spread_mode="static")
     got = runs.simulate_portfolio(views.bars(spark, d), slots, portfolio.PortfolioSettings(run, target_vol=0.5, vol_lookback=20))
@@ -709,8 +728,10 @@ def parameter_sweep(spark, d):
     return out(search.scored(got.withColumn("run_id", F.concat_ws("|", "run_id", "symbol")), 0.02, 1, 10, 0.4), "run_id", "total_return", "sharpe", "max_drawdown", "trades", "score")
 
 
-@query("SELECT CAST(k AS INTEGER) AS fold, CAST(k * 300 AS BIGINT) AS train_from, 1500 + CAST(k AS BIGINT) * 300 - 10 AS train_to, 1500 + CAST(k AS BIGINT) * 300 AS test_from, 1800 + CAST(k AS BIGINT) * 300 AS test_to FROM (SELECT unnest([0, 1, 2, 3, 4]) AS k)")
+@query(f"""WITH b AS ({H}), c AS (SELECT symbol, count(*) AS n, CAST(floor(count(*) * 0.1) AS BIGINT) AS size FROM b GROUP BY 1), k AS (SELECT unnest([0, 1, 2, 3, 4]) AS k),
+f AS (SELECT symbol, CAST(k AS INTEGER) AS fold, CAST(k * size AS BIGINT) AS train_from, CAST(n - 5 * size + k * size - 10 AS BIGINT) AS train_to, CAST(n - 5 * size + k * size AS BIGINT) AS test_from, CAST(n - 4 * size + k * size AS BIGINT) AS test_to FROM c, k WHERE size >= 1)
+SELECT * FROM f WHERE train_from < train_to""")
 def fold_ranges(spark, d):
     from ..operators import search
 
-    return search.fold_table(spark, search.folds(3000, 5, 0.1, 6, 4))
+    return search.folds_by_series(views.bars(spark, d), 5, 0.1, 6, 4)

@@ -5,7 +5,9 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from quantloom.operators import fills
+from pyspark.sql import functions as F
+
+from quantloom.operators import fills, joins, search
 from quantloom.plans import queries
 
 T0 = datetime(2024, 1, 1)
@@ -122,3 +124,58 @@ def test_fifo_match_pairs_no_rows_freely(spark):
     m = fills.fifo_match(df, ["symbol"])
     assert sorted((r.buy_seq, r.sell_seq, r.quantity) for r in m.collect()) == queue_matches([r[1:4] for r in rows])
     assert "_bucket" in next(x for x in m._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+
+
+def test_range_join_passes_over_spans_that_hold_no_time(spark):
+    spans = spark.sql("SELECT * FROM VALUES (1, TIMESTAMP_NTZ'2024-01-02 10:00:00', TIMESTAMP_NTZ'2024-01-01 09:00:00'), (2, TIMESTAMP_NTZ'2024-01-01 09:00:00', TIMESTAMP_NTZ'2024-01-03 09:00:00'), (3, NULL, TIMESTAMP_NTZ'2024-01-03 09:00:00') AS t(id, a, b)")
+    points = spark.sql("SELECT 'k' AS k, TIMESTAMP_NTZ'2024-01-02 10:00:00' AS ts")
+    got = joins.range_join(spans.withColumn("k", F.lit("k")), points, ["k"], "a", "b").collect()
+    assert [r.id for r in got] == [2]
+
+
+def test_asof_takes_the_greatest_of_equal_times(spark):
+    left = spark.createDataFrame([("k", 5)], "k string, ts int")
+    right = spark.createDataFrame([("k", 5, 2.0), ("k", 5, 7.0), ("k", 5, 3.0), ("k", 6, 1.0), ("k", 6, 0.5)], "k string, ts int, v double").repartition(3)
+    assert joins.asof_backward(left, right, ["k"], ["v"]).first().v == 7.0 and joins.asof_forward(left, right, ["k"], ["v"]).first().v == 0.5
+
+
+def test_recurrence_equals_a_loop(spark):
+    from quantloom.operators.windows import recurrence
+
+    rows = [("a", i, None if i % 7 == 3 else float((i * 37) % 11)) for i in range(400)] + [("b", 0, None), ("b", 1, 4.0)]
+    got = {(r.symbol, r.ts): r.y for r in recurrence(spark.createDataFrame(rows, "symbol string, ts int, x double"), ["symbol"], F.col("x"), "y", 0.9, (F.col("ts") / 150).cast("int")).collect()}
+    for k in ("a", "b"):
+        y = None
+        for _, i, x in [r for r in rows if r[0] == k]:
+            y = y if x is None else x if y is None else 0.9 * y + 0.1 * x
+            assert got[k, i] == (None if y is None else pytest.approx(y, rel=1e-12))
+
+
+def test_folds_follow_each_series(spark):
+    bars = spark.createDataFrame([("long", i) for i in range(100)] + [("short", i) for i in range(40)] + [("tiny", 0)], "symbol string, ts int")
+    got = {(r.symbol, r.fold): tuple(r)[2:] for r in search.folds_by_series(bars, 2, 0.1, 3, 2, True).collect()}
+    want = {(s, k): f for s, n in (("long", 100), ("short", 40)) for k, f in enumerate(search.folds(n, 2, 0.1, 3, 2, True))}
+    assert got == want
+
+
+def test_a_run_of_two_symbols_is_scored_by_symbol(spark, data):
+    from quantloom.plans import views
+    from quantloom.settings import RunSettings
+    from quantloom.simulation import runs
+
+    bars = views.bars(spark, data).where("symbol in ('click', 'view')")
+    s = RunSettings(timeframe="1h", use_trading_hours=False, eod_close=None, spread_mode="static", params={"smapull_fast_sma_window": 5, "smapull_slow_sma_window": 10})
+    whole = search.scored(runs.simulate(bars, "sma_pullback", s).cache(), 0.02, 1, 10, 0.4).first()
+    each = [search.scored(runs.simulate(bars.where(F.col("symbol") == x), "sma_pullback", s), 0.02, 1, 10, 0.4).first() for x in ("click", "view")]
+    assert whole.trades == sum(r.trades for r in each) and abs(whole.max_drawdown) == max(abs(r.max_drawdown) for r in each)
+    assert whole.sharpe == pytest.approx(sum(r.sharpe for r in each) / 2) and whole.score == pytest.approx(sum(r.score for r in each) / 2)
+
+
+def test_walk_forward_over_series_of_unlike_length(spark, data):
+    from quantloom.plans import views
+    from quantloom.settings import RunSettings
+
+    bars = views.bars(spark, data).where("symbol = 'click' or (symbol = 'view' and ts < '2024-01-20')")
+    s = RunSettings(timeframe="1h", use_trading_hours=False, eod_close=None, spread_mode="static")
+    got = search.walk_forward(bars, "sma_pullback", s, n_folds=2, n_trials=2, purge=1)
+    assert got["verdict"] in ("PASS", "WARNING", "FAIL") and len(got["folds"]) <= 2
