@@ -481,7 +481,8 @@ def _apart(members: DataFrame, sets: DataFrame, comp: DataFrame, percent: int) -
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     some = cut(cells.groupBy("cell").applyInArrow(partners, "id long, component long, chunk int, cell long, within boolean"))
-    return some.join(sets, "id").groupBy("cell").applyInArrow(verify, "a long, b long").distinct()
+    own = sets.join(few(some.select("id").distinct()), "id", "leftsemi")  # only the sets that are looked at are shuffled
+    return some.join(own, "id").groupBy("cell").applyInArrow(verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
