@@ -5,7 +5,9 @@ node at or after its own point. Rows of an arc (the points of one node) are take
 in the order of their points; a shard takes rows until it is full, and what
 overflows goes on clockwise to the next nodes whose shards have room. Whole arcs
 and ranks within them decide, so the walk needs the number of rows of each arc
-only: shards times virtual nodes counts, whatever the size of the table.
+only: shards times virtual nodes counts, whatever the size of the table. Ranks are
+counted by ranges of an arc, so no arc, and no key or row that is repeated very
+often, gathers in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from bisect import bisect_left
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 POINTS = 1 << 32
 SHARDS, VIRTUAL = 40, 64
 
@@ -61,12 +65,26 @@ def plan(counts: dict[int, int], ring: list[tuple[int, int]], capacity: list[int
     return out
 
 
+ORDER = ("point", "doc_id", "text_crc32", "size", "split")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows in ranges of (arc, point, ...), numbered in ``part``: an arc of very many rows has several.
+
+    ``split`` is the number of the input's part a row was read from. It tells equal rows
+    apart, so that however often a document is repeated, its rows need not share a range.
+    """
+    rows = rows.withColumn("split", F.spark_partition_id())
+    return rows.repartitionByRange("arc", *ORDER).withColumn("part", F.spark_partition_id())
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is ``rows``: shard counts differ by one at most, and slots of a shard
     run from 0 without gaps. A null text has no bytes (crc32 0). A null id lies at
-    the point of its text, so such rows spread. Rows equal in every column used are
+    the point of its text. Rows that share a point are split into ranges by their texts
+    and by the part of the input they come from; rows equal in every column used are
     interchangeable. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -88,13 +106,20 @@ def assign(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> Dat
         "arc", (F.col("before") + F.size(F.filter("inside", lambda p: p < F.col("point")))) % F.lit(len(ring))
     )
     rows = rows.select("doc_id", "size", "text_crc32", "point", F.col("arc").cast("int").alias("arc"))
-    counts = {r.arc: r.n for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # one row a virtual node at most
+    placed = cut(spread(rows))
+    parts = placed.groupBy("arc", "part").agg(F.count("*").alias("n"))
+    counts = {r.arc: r.n for r in parts.groupBy("arc").agg(F.sum("n").alias("n")).collect()}  # one row a virtual node at most
     total = sum(counts.values())
     capacity = [total // shards + (s < total % shards) for s in range(shards)]
     moves = spark.createDataFrame(plan(counts, ring, capacity), "arc int, first long, end long, shard int, slot0 long")
     moves = moves.groupBy("arc").agg(F.array_sort(F.collect_list(F.struct("first", "end", "shard", "slot0"))).alias("moves"))
-    order = Window.partitionBy("arc").orderBy("point", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1)
+    # ranks in two levels: within a range of an arc, after the rows of the arc's earlier ranges; a range
+    # partition meets an arc once, so there are no more ranges than partitions and arcs together
+    earlier = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("arc", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
+    within = Window.partitionBy("arc", "part").orderBy(*ORDER)
+    ranked = placed.withColumn("within", F.row_number().over(within) - 1).join(F.broadcast(parts), ["arc", "part"])
+    ranked = ranked.withColumn("rank", F.col("earlier") + F.col("within"))
     ranked = ranked.join(F.broadcast(moves), "arc")
     move = F.filter("moves", lambda m: (m["first"] <= F.col("rank")) & (F.col("rank") < m["end"]))[0]
     return ranked.withColumn("move", move).select(

@@ -118,6 +118,23 @@ def test_ring_equals_a_walk_row_by_row(spark):
     assert got == want
 
 
+def test_ring_splits_a_key_that_holds_most_rows(spark):
+    rows = [(7, f"text {i % 50}") for i in range(3000)] + [(7, "the same")] * 3000 + [(i, "x") for i in range(100, 1100)]
+    d = docs(spark, rows).repartition(6)
+    got = ring.assign(d, 5, 6).collect()
+    assert Counter((r.doc_id, r.text_crc32) for r in got) == Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    for s in range(5):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(1400))
+    keyed = d.selectExpr("1 AS arc", "1L AS point", "doc_id", "crc32(text) AS text_crc32", "length(text) AS size")
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"  # Spark puts small ranges together again
+    spark.conf.set(merged, "false")
+    try:
+        parts = Counter(r.part for r in ring.spread(keyed.where("text_crc32 = crc32('the same')")).collect())
+    finally:
+        spark.conf.unset(merged)
+    assert len(parts) > 3 and max(parts.values()) < 1500
+
+
 def test_ring_moves_little_when_a_shard_is_added(spark):
     d = docs(spark, [(i, "x") for i in range(4000)])
     a = {r.doc_id: r.shard for r in ring.assign(d, 10).collect()}
