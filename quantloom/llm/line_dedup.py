@@ -31,6 +31,7 @@ from .shared import cut, small_batches
 from .textkit import OTHER_SEED, SEED, Texts, as_long, mix, texts
 
 MIN_WORDS = 50
+OFTEN = 1 << 12  # a fingerprint is frequent if it has more than this part of all windows
 _U = np.uint64
 
 
@@ -167,8 +168,13 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return _prints(batches, min_words)
 
     found = cut(keyed.select("_id", "_mark", "_text").mapInArrow(prints, _PRINT_SQL))
-    again = found.where("lead").groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    found = found.join(again, "print", "leftsemi").select("key", "key2", F.struct("doc_id", "mark", "first", "last").alias("place"))
+    again = found.where("lead").groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
+    # a line that very many documents have is one key of this join: there are OFTEN such prints at most, so they are
+    # sent to all tasks and their rows stay where they are
+    often = F.col("n") * OFTEN > found.count()
+    marked = found.join(F.broadcast(again.where(often).select("print", F.lit(True).alias("often"))), "print", "left")
+    seldom = marked.where("often is null").join(again.where(~often).select("print"), "print", "leftsemi")
+    found = marked.where("often").unionByName(seldom).select("key", "key2", F.struct("doc_id", "mark", "first", "last").alias("place"))
     heads = found.groupBy("key", "key2").agg(F.min("place").alias("head"), F.max("place").alias("tail")).where("head != tail").select("key", "key2", "head")
     later = found.join(heads, ["key", "key2"]).where("place != head")
     overlaps = (F.col("place.doc_id") == F.col("head.doc_id")) & (F.col("place.mark") == F.col("head.mark")) & (F.col("place.first") <= F.col("head.last"))

@@ -244,7 +244,9 @@ def plain_lines(rows, least):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_lines_equal_all_runs(spark, seed):
+def test_lines_equal_all_runs(spark, monkeypatch, seed):
+    if seed:  # small tables have frequent fingerprints only; here none of them is, or some are
+        monkeypatch.setattr(line_dedup, "OFTEN", (1, 40)[seed % 2])
     rnd = random.Random(seed)
     pool = [prose(rnd, rnd.choice((1, 2, 5, 9))) for _ in range(14)] + ["", " "]
     rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randint(0, 9)))) for i in range(60)] + [(60, None)]
