@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import timing
+from ..functions import text, timing
 from ..operators import attribution, bars, exits, fills, indicators, joins, metrics, quality, risk
 from ..operators.windows import series
 from ..settings import RunSettings
@@ -409,8 +409,12 @@ def trade_stats(spark, d):
 
 @query()
 def strategy_summary(spark, d):
+    """Returns of each strategy's equity against those of the mean daily price of the symbol it trades most."""
     t = views.trades(spark, d)
-    return out(attribution.strategy_summary(t, t.select("strategy")))
+    e = attribution.slot_equity(views.slot_levels(spark, d), ["strategy"], views.CAPITAL, F.lit(0.2))
+    price = t.groupBy("symbol", F.to_date("exit_time").cast("timestamp_ntz").alias("ts")).agg(F.avg("entry_price").alias("price"))
+    moves = metrics.returns(price, ["symbol"], "price").select("symbol", F.to_date("ts").alias("day"), "ret")
+    return out(attribution.strategy_summary(t, t.select("strategy"), risk.daily_equity(e, ["strategy"], "equity"), moves))
 
 
 @query(f"SELECT exit_reason, count(*) AS trades, count(*) FILTER (WHERE pnl >= 0) AS wins, {R('100.0 * count(*) FILTER (WHERE pnl >= 0) / count(*)', 'win_rate', 4)}, {R('avg(pnl)', 'avg_pnl', 4)}, {R('sum(pnl)', 'total_pnl', 2)} FROM ({TR}) GROUP BY 1")
@@ -675,6 +679,96 @@ def chart_downsample(spark, d):
     return out(exits.downsample(views.bars(spark, d), ["symbol"], 100), "symbol", "ts", "close")
 
 
+@query(f"WITH {SLOT_RET} SELECT strategy, {R('avg(y) / stddev_samp(y) * sqrt(252)', 'sharpe')} FROM y WHERE y IS NOT NULL GROUP BY 1")
+def daily_sharpe(spark, d):
+    e = attribution.slot_equity(views.slot_levels(spark, d), ["strategy"], views.CAPITAL, F.lit(0.2))
+    return out(risk.daily_equity(e, ["strategy"], "equity").groupBy("strategy").agg(risk.sharpe_of(F.col("ret")).alias("sharpe")))
+
+
+@query(f"""WITH d AS ({DL}), k AS (SELECT date_trunc('month', day) AS b, exp(sum(ln(1 + ret))) - 1 AS r FROM d WHERE ret IS NOT NULL GROUP BY 1) SELECT {R('avg(r) / stddev_samp(r) * sqrt(12)', 'sharpe')} FROM k""")
+def monthly_sharpe(spark, d):
+    return out(risk.period_sharpe(_daily(spark, d), RUN, "1m"), "sharpe")
+
+
+@query(f"""WITH l AS (SELECT strategy, day, round(sum(pnl) OVER (PARTITION BY strategy ORDER BY day ROWS UNBOUNDED PRECEDING), 5) AS v FROM ({views.STEPS}))
+SELECT strategy, {D()}, {R('coalesce(v - lag(v) OVER (PARTITION BY strategy ORDER BY day), 0)', 'pnl', 5)} FROM l""")
+def bar_pnl(spark, d):
+    b = attribution.bar_pnl(views.slot_levels(spark, d), ["strategy"])
+    return out(b.withColumn("day", F.to_date("ts")), "strategy", "day", "pnl", digits=5)
+
+
+@query(f"SELECT {D()}, {R('ln(greatest(1 + greatest(equity / 100000 - 1, -0.9), 0.01))', 'log_equity')} FROM ({views.EQUITY})")
+def log_equity(spark, d):
+    h = views.history(spark, d)
+    return out(h.select(F.to_date("ts").alias("day"), metrics.capped_log_equity(F.col("total_value"), views.CAPITAL, -90.0).alias("log_equity")))
+
+
+@query(f"WITH b AS ({H}) SELECT symbol, {T()} FROM b WHERE hour(ts) >= 22 OR hour(ts) < 6")
+def hour_mask(spark, d):
+    return out(views.bars(spark, d).where(timing.hour_mask(F.col("ts"), 22, 6)), "symbol", "ts")
+
+
+@query("""WITH c AS (SELECT l_returnflag, l_quantity, CASE WHEN l_returnflag = 'N' THEN 0 ELSE 2 END AS a, CASE WHEN l_linestatus = 'O' THEN 0 ELSE 2 END AS b FROM lineitem)
+SELECT l_returnflag, round(sum((a + b) * 0.25 * 50 * l_quantity + 2 * 2.5 * l_quantity), 2) + 0.0 AS cost FROM c GROUP BY 1""")
+def round_trip_costs(spark, d):
+    i = views.table(spark, d, "lineitem")
+    kinds = [F.when(c == v, "LIMIT").otherwise("MARKET") for c, v in ((F.col("l_returnflag"), "N"), (F.col("l_linestatus"), "O"))]
+    c = fills.round_trip_cost(*kinds, F.col("l_quantity"), F.lit(2), F.lit(0.25), F.lit(50.0), RunSettings())
+    return out(i.select("l_returnflag", c.alias("c")).groupBy("l_returnflag").agg(F.sum("c").alias("cost")), digits=2)
+
+
+@query(r"""SELECT DISTINCT o_orderpriority, lower(regexp_replace(regexp_replace(o_orderpriority || '+Part%20' || o_orderstatus, '%20|\+', ' ', 'g'), '\s+', '', 'g')) AS token FROM orders""")
+def scope_tokens(spark, d):
+    o = views.table(spark, d, "orders")
+    name = F.concat("o_orderpriority", F.lit("+Part%20"), "o_orderstatus")
+    return o.select("o_orderpriority", text.scope_token(name).alias("token")).distinct()
+
+
+@query(f"""WITH m AS (SELECT trade_id, CAST(date_diff('minute', entry_time, exit_time) AS BIGINT) AS m FROM ({TR}))
+SELECT trade_id, CASE WHEN m = 0 THEN '0m' ELSE concat_ws(' ', CASE WHEN m // 1440 > 0 THEN (m // 1440) || 'd' END, CASE WHEN m % 1440 // 60 > 0 THEN (m % 1440 // 60) || 'h' END, CASE WHEN m % 60 > 0 THEN (m % 60) || 'm' END) END AS held FROM m""")
+def hold_labels(spark, d):
+    t = views.trades(spark, d)
+    return t.select("trade_id", text.duration(exits.hold_minutes()).alias("held"))
+
+
+TRIALS = "SELECT s_suppkey, s_acctbal / 5000 AS sharpe, s_acctbal / 4000 AS sortino, s_suppkey % 60 AS trades, -CAST(s_nationkey AS DOUBLE) / 30 AS max_drawdown, s_acctbal / 10000 - 0.5 AS total_return FROM supplier"
+
+
+@query(f"""SELECT s_suppkey, {R('CASE WHEN trades < 10 THEN -1 ELSE greatest(0, (0.7 * sharpe + 0.3 * sortino) * least(1, trades / 50) * (1 - power(least(1, abs(max_drawdown) / 0.4), 2))) END', 'score')}
+FROM ({TRIALS}) WHERE total_return >= -0.5 AND abs(max_drawdown) <= 0.6""")
+def trial_scores(spark, d):
+    """Scores of trials, suppliers standing for them, that the batch filter keeps."""
+    from ..operators import search
+
+    bal, nation = F.col("s_acctbal"), F.col("s_nationkey").cast("double")
+    trials = views.table(spark, d, "supplier").select(
+        "s_suppkey", (bal / 5000).alias("sharpe"), (bal / 4000).alias("sortino"), (F.col("s_suppkey") % 60).alias("trades"), (-nation / 30).alias("max_drawdown"), (bal / 10000 - 0.5).alias("total_return")
+    )
+    return out(metrics.objective(search.batch_filter(trials, -0.5, 0.6)), "s_suppkey", "score")
+
+
+@query(f"""WITH b AS ({DY}), c AS (SELECT DISTINCT symbol, date_trunc('week', ts) AS expiry FROM b), n AS (SELECT b.symbol, b.ts, min(c.expiry) AS e FROM b LEFT JOIN c ON c.symbol = b.symbol AND c.expiry > b.ts GROUP BY 1, 2),
+l AS (SELECT symbol, max(expiry) AS e FROM c GROUP BY 1) SELECT n.symbol, {T('n.ts')}, strftime(coalesce(n.e, l.e), '%Y%m%d') AS contract FROM n JOIN l ON l.symbol = n.symbol""")
+def contract_in_force(spark, d):
+    days = views.bars(spark, d, "1 day").select("symbol", "ts")
+    contracts = days.select("symbol", F.date_trunc("week", "ts").cast("timestamp_ntz").alias("expiry")).distinct().withColumn("contract", F.date_format("expiry", "yyyyMMdd"))
+    return out(joins.as_of_contract(days, contracts), "symbol", "ts", "contract")
+
+
+@query(f"""WITH b AS ({H}), f AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_max(close, ts) > arg_min(open, ts) AS up FROM b GROUP BY 1, 2), m AS (SELECT b.symbol, b.ts, max(f.day) AS day FROM b LEFT JOIN f ON f.symbol = b.symbol AND f.day < CAST(b.ts AS DATE) GROUP BY 1, 2)
+SELECT m.symbol, {T('m.ts')}, f.up FROM m LEFT JOIN f ON f.symbol = m.symbol AND f.day = m.day""")
+def daily_flag(spark, d):
+    b = views.bars(spark, d)
+    daily = b.groupBy("symbol", F.to_date("ts").alias("day")).agg((F.max_by("close", "ts") > F.min_by("open", "ts")).alias("up"))
+    return out(joins.daily_flag_to_bars(b.select("symbol", "ts"), daily, ["symbol"], "up"), "symbol", "ts", "up")
+
+
+@query("""SELECT c_custkey, coalesce(d.size, CAST(-1 AS DOUBLE)) AS size FROM customer LEFT JOIN (SELECT n_nationkey, CAST(n_regionkey AS DOUBLE) + 0.5 AS size FROM nation WHERE n_regionkey < 3) d ON c_nationkey = n_nationkey""")
+def spec_defaults(spark, d):
+    dim = views.table(spark, d, "nation").where("n_regionkey < 3").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_regionkey").cast("double") + 0.5).alias("size"))
+    return joins.fill_specs(views.table(spark, d, "customer").select("c_custkey", "c_nationkey"), dim, "c_nationkey", {"size": -1.0}).select("c_custkey", "size")
+
+
 # simulation and search: sequential, so no SQL; the tests hold them against plain versions
 
 
