@@ -174,9 +174,13 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     often = F.col("n") * OFTEN > found.count()
     marked = found.join(F.broadcast(again.where(often).select("print", F.lit(True).alias("often"))), "print", "left")
     seldom = marked.where("often is null").join(again.where(~often).select("print"), "print", "leftsemi")
-    found = marked.where("often").unionByName(seldom).select("key", "key2", F.struct("doc_id", "mark", "first", "last").alias("place"))
-    heads = found.groupBy("key", "key2").agg(F.min("place").alias("head"), F.max("place").alias("tail")).where("head != tail").select("key", "key2", "head")
-    later = found.join(heads, ["key", "key2"]).where("place != head")
+    found = cut(marked.where("often").unionByName(seldom).select("key", "key2", F.struct("doc_id", "mark", "first", "last").alias("place")))
+    heads = found.groupBy("key", "key2").agg(F.min("place").alias("head"), F.max("place").alias("tail"), F.count("*").alias("n")).where("head != tail")
+    heads = cut(heads.select("key", "key2", "head", "n"))
+    # and so is a window that very many copies share, with its first place
+    marked = found.join(F.broadcast(heads.where(often).drop("n")), ["key", "key2"], "left")
+    seldom = marked.where("head is null").drop("head").join(heads.where(~often).drop("n"), ["key", "key2"])
+    later = marked.where("head is not null").unionByName(seldom).where("place != head")
     overlaps = (F.col("place.doc_id") == F.col("head.doc_id")) & (F.col("place.mark") == F.col("head.mark")) & (F.col("place.first") <= F.col("head.last"))
     runs = later.select("place.doc_id", "place.mark", F.when(overlaps, F.col("head.last") + 1).otherwise(F.col("place.first")).alias("first"), "place.last").where("first <= last").distinct()
     runs = runs.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
