@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, ngram_join, packing, pii, quality_gam, quality_rules, ring, topk, warc
+from . import divergence, fim, line_dedup, mixing, ngram_join, packing, pii, quality_gam, quality_rules, recipes, ring, topk, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,14 +56,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = fim.transform(_read(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c, 256)
+    return got.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recipes.copies(_read(spark, sf_dir, "documents")).drop("n_chunks")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sharding, op2_ngram_jaccard_join, op3_line_dedup, op4_quality_classifier, op5_packing, op6_pii, op7_warc, op8_topk_search, op9_quality_rules, op10_mixing,
+        op11_fim, op12_exact_dedup, op13_source_divergence,
     )
 }
 
-#: SQL expresses three operators in full; the others rest on hashes, models or codecs and are tested
+#: SQL expresses six operators in full; the others rest on hashes, models or codecs and are tested
 #: against plain versions of themselves. The n-gram join is all pairs here, which suits small tables.
 ORACLES: dict[str, str] = {
     "op2_ngram_jaccard_join": r"""
@@ -93,4 +111,48 @@ ORACLES: dict[str, str] = {
           FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0
         ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
         SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, score FROM r WHERE k <= 10""",
+    "op11_fim": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (
+          SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u,
+                 [CAST('0x' || substr(h, 1 + 8 * i, 8) AS BIGINT) FOR i IN [0, 1, 2, 3]] AS h FROM d
+        ), c AS (
+          SELECT *, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u
+        ), p AS (
+          SELECT *, array_to_string(u[1 : a], '') AS prefix, array_to_string(u[a + 1 : b], '') AS middle, array_to_string(u[b + 1 : len(u)], '') AS suffix FROM c
+        )
+        SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM p""",
+    "op12_exact_dedup": r"""
+        WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)""",
+    "op13_source_divergence": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+        ), t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+        v AS (SELECT lang, count(*) AS v, sum(n) AS n FROM k GROUP BY 1),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT t.lang, source, t.term, count(*) AS n FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY 1, 2, 3),
+        s AS (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2),
+        p AS (
+          SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+                 CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2) // (coalesce(s.n, 0) + 2 * v.v) AS BIGINT) AS p,
+                 CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 2) // (v.n + 2 * v.v) AS BIGINT) AS q
+          FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+          LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), x AS (
+          SELECT a.lang, a.source, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY 1, 2, 3
+        ), r AS (
+          SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM x
+          UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+        ), o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
+        SELECT * FROM o WHERE part = 'pair' OR rank <= 10""",
 }
