@@ -153,13 +153,15 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     that stay. Runs below ``min_words`` words stay, blank lines inside a deleted run go
     with it. Rows equal in doc_id and text are one document and are treated alike.
     Null and empty texts stay as they are; other columns are carried, but for ones
-    named n_lines and n_deleted, which are replaced.
+    named n_lines and n_deleted (in any case, where the session ignores case), which are
+    replaced.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     small_batches(docs.sparkSession)
     # columns of the caller may have any names, so they travel in one struct
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
+    cased = docs.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    names = [c for c in docs.columns if (c if cased else c.lower()) not in ("n_lines", "n_deleted")]
     keyed = docs.select(
         F.struct(*names).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), F.xxhash64("text", "doc_id").alias("_mark"), F.col("text").alias("_text")
     )

@@ -124,7 +124,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task = TaskContext.get()
+        task, attempt = TaskContext.get(), uuid.uuid4().hex
         store, root = _place(folder)
         made: list[tuple[str, int, int]] = []
         out, count, size, temp = None, 0, 0, ""
@@ -134,7 +134,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
             nonlocal out
             if out is not None:
                 out.close()
-                final = f"{root}/part-{task.partitionId():06d}-{len(made):04d}.warc.zst"
+                # a second attempt may deal records to files differently, so no attempt writes over another's files
+                final = f"{root}/part-{task.partitionId():06d}-{len(made):04d}-{attempt}.warc.zst"
                 store.move(temp, final)
                 made.append((f"{folder}/{final.rsplit('/', 1)[1]}", count, size))
                 out = None
@@ -143,7 +144,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for page_id, digest, url, payload, refers in zip(*[b.column(c) for c in ("page_id", "digest", "url", "payload", "refers")]):
                 if out is None:
-                    temp = f"{root}/.{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex}"
+                    temp = f"{root}/.{task.partitionId()}-{attempt}"
                     out, count = store.open_output_stream(temp, compression=None), 0
                     out.write(struct.pack("<II", MAGIC, len(raw)) + raw)
                     size = 8 + len(raw)
