@@ -47,12 +47,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of the smallest id.
 
-    A null id stands behind all others, at a place that its text decides. Of rows with
-    one id and one text the first stays; rows of one id with different texts are one
-    node of the join, so they stay or go together.
+    A row is a node of its own: its id, or where that is null or stands for several
+    texts, a place behind all ids below 2**62 that id and text decide. So texts that
+    share an id stay or go each by itself. Of rows with one id and one text the first stays.
     """
-    behind = F.xxhash64("text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
-    own = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), behind).alias("node"))
+    own = docs.select(*COLUMNS, F.col("doc_id").cast("long").alias("id"))
+    hashed = own.where("id is not null").groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    several = cut(hashed.where("a <> b").select("id", F.lit(True).alias("several")))
+    own = own.withColumn("several", F.lit(None).cast("boolean")) if several.isEmpty() else own.join(few(several), "id", "left")
+    behind = F.xxhash64("text", "id").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    own = own.select(*COLUMNS, F.when(F.col("id").isNull() | F.col("several").isNotNull(), behind).otherwise(F.col("id")).alias("node"))
     groups = ngram_join.near_duplicates(own, id_col="node")
     gone = cut(groups.where("component_id < node").select("node").distinct())
     # sent to all tasks where they are few, so that texts are not shuffled
