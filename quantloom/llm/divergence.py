@@ -26,7 +26,8 @@ from .shared import cut
 
 LEAST_DOCS, TOP = 10, 10
 SCALE = 1_000_000_000
-HELD = 1 << 18  # (document, term) pairs that are added up at once
+HELD, KEPT = 1 << 18, 1 << 20  # (document, term) pairs that are added up at once, and (group, term) sums that a task keeps
+SENT = 1 << 23  # bytes of groups that are sent to all tasks; more are shuffled
 _LETTERS = {*range(65, 91), *range(97, 123), *range(128, 256)}
 #: A-Z to a-z, other letters and all bytes of longer characters as they are, the rest to blanks.
 TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c in _LETTERS else 32 for c in range(256))
@@ -36,47 +37,83 @@ def terms(text: bytes) -> Counter:
     return Counter(text.translate(TABLE).split())
 
 
+_SUMS = pa.schema([("g", pa.int32()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
 _OUT = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 
 
-def _added(groups: dict[tuple[str, str], int], at: list[int], words: list[bytes], counts: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
-    """Sums of counters by group and term."""
-    names = list(groups)
-    keyed = pa.table({"g": pa.array(np.repeat(np.array(at, np.int32), sizes)), "term": pa.array(words, pa.binary()), "n": pa.array(counts, pa.int64())})
-    total = keyed.group_by(["g", "term"]).aggregate([("n", "sum"), ("n", "count")]).combine_chunks()
-    g = total["g"].combine_chunks() if isinstance(total["g"], pa.ChunkedArray) else total["g"]
-    lang, source = (pa.array([x[j] for x in names], pa.string()).take(g) for j in range(2))
-    whole = [total[c].combine_chunks() if isinstance(total[c], pa.ChunkedArray) else total[c] for c in ("term", "n_sum", "n_count")]
-    yield pa.RecordBatch.from_arrays([lang, source, whole[0].cast(pa.string()), whole[1], whole[2]], schema=_OUT)
+def _summed(rows: pa.Table) -> pa.Table:
+    out = rows.group_by(["g", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+    return out.select(["g", "term", "n_sum", "docs_sum"]).rename_columns(_SUMS.names)
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Sums:
+    """Counters added up by group and term; what is held is bounded, and handed on when it is full."""
+
+    def __init__(self):
+        self.groups: dict[tuple[str, str], int] = {}
+        self.tables: list[pa.Table] = []
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.at, self.sizes, self.words, self.counts = [], [], [], []
+
+    def add(self, group: tuple[str, str], seen: Counter) -> None:
+        self.at.append(self.groups.setdefault(group, len(self.groups)))
+        self.sizes.append(len(seen))
+        self.words.extend(seen)
+        self.counts.extend(seen.values())
+
+    def _fold(self) -> None:
+        g = np.repeat(np.array(self.at, np.int32), self.sizes)
+        cols = [pa.array(g), pa.array(self.words, pa.binary()), pa.array(self.counts, pa.int64()), pa.array(np.ones(len(g), np.int64))]
+        self._fresh()
+        self.tables.append(_summed(pa.table(cols, schema=_SUMS)))
+
+    def full(self, held: int, kept: int, end: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.words and (end or len(self.words) > held):
+            self._fold()
+        if sum(map(len, self.tables)) > (0 if end else kept):
+            whole = _summed(pa.concat_tables(self.tables))
+            self.tables = [whole]
+            if end or len(whole) > kept // 2:  # too few of them meet again
+                self.tables = []
+                names = [pa.array([x[j] for x in self.groups], pa.string()) for j in range(2)]
+                for b in whole.to_batches(max_chunksize=1 << 16):
+                    yield pa.RecordBatch.from_arrays([*[x.take(b["g"]) for x in names], b["term"].cast(pa.string()), b["n"], b["docs"]], schema=_OUT)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], held: int, kept: int) -> Iterator[pa.RecordBatch]:
     """Columns: lang, source, text."""
-    groups: dict[tuple[str, str], int] = {}
-    at, words, counts, sizes = [], [], [], []
+    sums = Sums()
     for b in batches:
         for first in range(0, len(b), 256):
             part = b.slice(first, 256)
             for lang, source, text in zip(*[part.column(j).to_pylist() for j in range(2)], part.column(2).cast(pa.binary()).to_pylist()):
-                seen = terms(text)
-                if not seen:
-                    continue
-                at.append(groups.setdefault((lang, source), len(groups)))
-                sizes.append(len(seen))
-                words.extend(seen)
-                counts.extend(seen.values())
-                if len(words) > HELD:
-                    yield from _added(groups, at, words, counts, sizes)
-                    groups, at, words, counts, sizes = {}, [], [], [], []
-    if words:
-        yield from _added(groups, at, words, counts, sizes)
-
-
-def frequencies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, term, n, docs) of all terms that occur, and (lang, source) of all groups."""
-    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    sums = named.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    return sums.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), named.select("lang", "source").distinct()
+                if seen := terms(text):
+                    sums.add((lang, source), seen)
+                    yield from sums.full(held, kept)
+    yield from sums.full(held, kept, end=True)
+
+
+def frequencies(docs: DataFrame) -> DataFrame:
+    """(lang, source, term, n, docs) of all terms that occur. A term's groups lie in one partition."""
+    held, kept = HELD, KEPT
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _counted(batches, held, kept)
+
+    sums = named(docs).mapInArrow(counted, "lang string, source string, term string, n long, docs long")
+    return sums.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def named(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+
+
+def _sent(groups: DataFrame) -> DataFrame:
+    """groups, to be sent to all tasks if their names and numbers are few bytes."""
+    size = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 96)).first()[0] or 0
+    return F.broadcast(groups) if size <= SENT else groups
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -106,19 +143,17 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> Data
     summed where they are made. That is the work of an exact sum, and no more than
     terms times the pairs that the result holds.
     """
-    found, groups = frequencies(docs)
-    found = cut(found)
-    groups = cut(groups)
-    by_lang = found.groupBy("lang", "term").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("all_docs")).where(F.col("all_docs") >= least_docs).drop("all_docs")
-    kept = cut(found.drop("docs").join(by_lang, ["lang", "term"]))
-    langs = by_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_n"))
+    by_term = Window.partitionBy("lang", "term")
+    found = frequencies(docs).withColumns({"all_n": F.sum("n").over(by_term), "all_docs": F.sum("docs").over(by_term)})
+    kept = cut(found.where(F.col("all_docs") >= least_docs).drop("docs", "all_docs"))
     sizes = kept.groupBy("lang", "source").agg(F.sum("n").alias("source_n"))
+    langs = kept.groupBy("lang", "term").agg(F.max("all_n").alias("all_n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("lang_n"))
     # one row a group: totals, and the share of a term it lacks
-    groups = groups.join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["source_n", "v", "lang_n"])
+    groups = named(docs).select("lang", "source").distinct().join(sizes, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["source_n", "v", "lang_n"])
     groups = cut(groups.withColumn("p0", share(F.lit(0).cast("long"), F.col("source_n"), F.col("v"))))
 
-    rows = kept.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("source_n"), F.col("v")))
-    rows = cut(rows.select("lang", "source", "term", "p", "p0", share(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q")))
+    rows = kept.join(_sent(groups), ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("source_n"), F.col("v")))
+    rows = rows.select("lang", "source", "term", "p", "p0", share(F.col("all_n"), F.col("lang_n"), F.col("v")).alias("q"))
 
     a = groups.select("lang", F.col("source").alias("a"), F.col("p0").alias("a0"), "v")
     b = groups.select("lang", F.col("source").alias("b"), F.col("p0").alias("b0"))

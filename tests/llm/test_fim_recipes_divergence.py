@@ -188,9 +188,11 @@ def audited(df):
     return sorted((r.lang, r.source, r.part, r.item, r.value, r.rank) for r in df.collect())
 
 
-@pytest.mark.parametrize("held", [divergence.HELD, 50])
-def test_audit_equals_a_plain_version(spark, monkeypatch, held):
-    monkeypatch.setattr(divergence, "HELD", held)
+@pytest.mark.parametrize("held, kept, sent", [(divergence.HELD, divergence.KEPT, divergence.SENT), (50, 300, 0), (1, 20, 0)])
+def test_audit_equals_a_plain_version(spark, monkeypatch, held, kept, sent):
+    """Also where sums are handed on early and groups are shuffled."""
+    for name, value in (("HELD", held), ("KEPT", kept), ("SENT", sent)):
+        monkeypatch.setattr(divergence, name, value)
     rnd = random.Random(6)
     words = ["Alpha", "beta", "ÄÖ", "äö", "漢字", "don't", "x1y", "🙂", "Z_z", "\x00nul", "[br]{ace}", "eta", "theta", "iota", "rare%d"]
     rows = [(1, None, None, None), (2, "", "en", ""), (3, " 12 ", "en", "none"), (4, "only", "fr", "a"), (5, "only", "fr", "b"), (6, LONG, "en", "s0"), (None, "beta " * 40, "en", "s1"), (None, "beta " * 40, "en", "s1")]
