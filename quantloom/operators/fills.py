@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import trunc
 from ..settings import SPREAD_SHARE, RunSettings
+from .carry import running_total
 from .windows import rolling, series
 
+SEQ_CHUNK = 1 << 16  # fills of a chunk of a running total
+
 
 def limit_fill(side: Column, limit: Column, o: str = "open", h: str = "high", lo: str = "low") -> Column:
     """Price and phase of a limit order on a bar; null price: no fill. Better opens fill at the open."""
@@ -96,25 +99,24 @@ def fifo_match(fills: DataFrame, keys: list[str]) -> DataFrame:
     """Round trips from fills by first-in-first-out, as an overlap join of cumulative quantity intervals.
 
     Holds while a series of fills nets against opposite fills only (each key's buys
-    and sells matched in order). Rows: keys, seq, side, quantity, price, ts.
+    and sells matched in order). Rows: keys, seq, side, quantity, price, ts. Cumulative
+    quantities are summed by chunks of seq, exact to nine decimal places.
 
     An interval is dealt to the buckets of cumulative quantity it touches, which are
     as wide as the key's mean fill, so the join is an equi-join on (keys, bucket).
     A pair is kept in the bucket where its overlap begins.
     """
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys, "side").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = fills.withColumn("_hi", F.sum("quantity").over(w)).withColumn("_lo", F.col("_hi") - F.col("quantity"))
-    # decimals add up to the same sum in any order, so both sides see one width
-    mean = (F.sum(F.col("quantity").cast("decimal(28,9)")) / F.count("quantity")).cast("double")
+    # decimals add up to the same sum in any order, so sums over chunks are exact and both sides see one width
+    exact = F.col("quantity").cast("decimal(28,9)")
+    rows = running_total(fills, [*keys, "side"], exact, "_hi", F.floor(F.col("seq") / SEQ_CHUNK), ["seq"]).withColumn("_lo", F.col("_hi") - exact)
+    mean = (F.sum(exact) / F.count("quantity")).cast("double")
     width = fills.groupBy(*keys).agg(F.when(mean > 0, mean).otherwise(1.0).alias("_width"))
-    at = lambda c: F.floor(F.col(c) / F.col("_width"))
+    at = lambda c: F.floor(F.col(c).cast("double") / F.col("_width"))
     rows = rows.join(width, keys).withColumn("_bucket", F.explode(F.sequence(at("_lo"), at("_hi"))))
     pick = lambda side, p, *more: rows.where(F.col("side") == side).select(*keys, "_bucket", *more, *[F.col(c).alias(f"{p}_{c}") for c in ("seq", "price", "ts")], F.col("_lo").alias(f"{p}_lo"), F.col("_hi").alias(f"{p}_hi"))
     b, s = pick("BUY", "buy", "_width"), pick("SELL", "sell")
-    qty = F.least("buy_hi", "sell_hi") - F.greatest("buy_lo", "sell_lo")
-    first = F.floor(F.greatest("buy_lo", "sell_lo") / F.col("_width")) == F.col("_bucket")
+    qty = (F.least("buy_hi", "sell_hi") - F.greatest("buy_lo", "sell_lo")).cast("double")
+    first = F.floor(F.greatest("buy_lo", "sell_lo").cast("double") / F.col("_width")) == F.col("_bucket")
     out = b.join(s, [*keys, "_bucket"]).where((F.col("buy_lo") < F.col("sell_hi")) & (F.col("sell_lo") < F.col("buy_hi")) & first).withColumn("quantity", qty)
     long = F.col("buy_seq") < F.col("sell_seq")
     return out.select(

@@ -6,15 +6,14 @@ said otherwise.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import log, sqrt
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import _N
+from ..functions.stats import norm_cdf
 from .windows import ema, percent_rank_in_frame, quantile, rolling, rolling2, series, widened
 
 KEYS = ["symbol"]
@@ -228,45 +227,39 @@ _ADF_SMALL = (2.1659, 1.4412, 0.038269)
 _ADF_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 
 
-def adf_pvalue(x: np.ndarray) -> float:
-    """Augmented Dickey-Fuller with a constant and one lag; NaN where the regression is singular."""
-    d = np.diff(x)
-    if len(d) < 5 or np.ptp(x) == 0:
-        return float("nan")
-    a = np.column_stack([x[1:-1], d[:-1], np.ones(len(d) - 1)])
-    y = d[1:]
-    ata = a.T @ a
-    if np.linalg.matrix_rank(ata) < 3:
-        return float("nan")
-    beta = np.linalg.solve(ata, a.T @ y)
-    e = y - a @ beta
-    t = beta[0] / sqrt(max(e @ e, 1e-300) / (len(y) - 3) * np.linalg.inv(ata)[0, 0])
-    if t > _ADF_MAX:
-        return 1.0
-    if t < _ADF_MIN:
-        return 0.0
-    coef = _ADF_SMALL if t <= _ADF_STAR else _ADF_LARGE
-    return float(_N.cdf(sum(c * t**k for k, c in enumerate(coef))))
+def adf_pvalue(t: Column) -> Column:
+    """Of the unit-root t statistic, by the surface."""
+    surface = lambda coef: sum((c * F.pow(t, F.lit(float(k))) for k, c in enumerate(coef)), F.lit(0.0))
+    return F.when(t > _ADF_MAX, 1.0).when(t < _ADF_MIN, 0.0).when(t.isNotNull(), norm_cdf(F.when(t <= _ADF_STAR, surface(_ADF_SMALL)).otherwise(surface(_ADF_LARGE))))
 
 
 def adf(bars: DataFrame, n: int = 72, freq: str = "1 hour", most: float = 0.05, keys: list[str] = KEYS) -> DataFrame:
-    """Adds adf_p (of the n closes of ``freq`` bins that were complete before the bar) and adf_ok."""
+    """Adds adf_p (of the n closes of ``freq`` bins that were complete before the bar) and adf_ok.
+
+    The test regresses changes on the level before and the change before, with a
+    constant. Its second moments are those of a row frame of n - 2 bins, of levels
+    relative to the series' first one. There is no p-value below n closes or where the
+    regression is singular; then the last one before holds.
+    """
     from .joins import asof_backward
 
     step = F.expr(f"INTERVAL {freq}")
     edge = F.window(F.col("ts") - F.expr("INTERVAL 1 MICROSECOND"), freq)["start"] + step  # bins closed on the right
     coarse = bars.groupBy(*keys, edge.alias("bin")).agg(F.max_by("close", "ts").alias("c"))
     w = Window.partitionBy(*keys).orderBy("bin")
-    coarse = coarse.withColumn("past", F.collect_list("c").over(w.rowsBetween(-n, -1))).where(F.size("past") == n)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = [adf_pvalue(np.array(v.as_py())) for v in b.column("past")]
-            yield b.drop_columns(["past"]).append_column("adf_p", pa.array([None if v != v else v for v in p], pa.float64()))
-
-    slim = coarse.select(*keys, "bin", "past")
-    tested = slim.mapInArrow(run, widened(slim.drop("past"), adf_p="double"))
+    # y on a and b: the change, the level before it, the change before it
+    rows = coarse.select(*keys, "bin", "c", (F.lag("c").over(w) - F.first("c").over(w)).alias("a"), (F.col("c") - F.lag("c").over(w)).alias("y"), (F.lag("c").over(w) - F.lag("c", 2).over(w)).alias("b"))
+    m, frame = n - 2, w.rowsBetween(-(n - 2), -1)  # the bins before this one
+    cov = lambda p, q: F.covar_samp(p, q).over(frame)
+    rows = rows.withColumns(
+        {"_n": F.count("b").over(frame), "_aa": cov("a", "a"), "_bb": cov("b", "b"), "_ab": cov("a", "b"), "_ay": cov("a", "y"), "_by": cov("b", "y"), "_yy": cov("y", "y")}
+    )
+    c = {k: F.col(f"_{k}") for k in ("aa", "bb", "ab", "ay", "by", "yy")}
+    det = c["aa"] * c["bb"] - c["ab"] * c["ab"]
+    slope, other = (c["bb"] * c["ay"] - c["ab"] * c["by"]) / F.col("_det"), (c["aa"] * c["by"] - c["ab"] * c["ay"]) / F.col("_det")
+    left = F.greatest(c["yy"] - slope * c["ay"] - other * c["by"], F.lit(0.0)) * (m - 1) / (m - 3)
+    t = slope / F.sqrt(F.greatest(left, F.lit(1e-300)) * c["bb"] / F.col("_det") / (m - 1))
+    rows = rows.withColumn("_det", F.when((F.col("_n") == m) & (det > 1e-10 * c["aa"] * c["bb"]), det))
+    tested = rows.withColumn("_t", t).where(F.col("_n") == m).select(*keys, "bin", adf_pvalue(F.col("_t")).alias("adf_p"))
     out = asof_backward(bars, tested, keys, ["adf_p"], "ts", "bin", strict=True)
     return out.withColumn("adf_ok", F.coalesce(F.col("adf_p") <= most, F.lit(False)))
-
-

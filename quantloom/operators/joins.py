@@ -1,33 +1,39 @@
-"""As-of and range joins, planned as equi-joins and windows."""
+"""As-of and range joins, planned as equi-joins and windows over chunks of time."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carry import CHUNK, carried, chunk_of, dealt
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", strict: bool = False) -> DataFrame:
+
+def _asof(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_ts: str, right_ts: str, sides: tuple[int, int], onward: bool, chunk: Column | None) -> DataFrame:
+    """Both sides in one order, in which right rows hand their values to left rows; sides order rows of one time."""
+    r = right.dropna(subset=[*by, right_ts]).select(*by, F.col(right_ts).alias("_ts"), F.lit(sides[1]).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
+    own = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(sides[0]).alias("_side"), F.struct(*left.columns).alias("_row"))
+    both = own.unionByName(r, allowMissingColumns=True)
+    chunk = chunk_of(both, "_ts") if chunk is None else chunk
+    names = [f"_v_{v}" for v in values]
+    filled = carried(dealt(both, by, chunk), r.withColumn(CHUNK, chunk), by, ["_ts", "_side", *names], names, onward)
+    return filled.where("_row is not null").select("_row.*", *[F.col(f"_v_{v}").alias(v) for v in values])
+
+
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", strict: bool = False, chunk: Column | None = None) -> DataFrame:
     """Each left row with the last right values at or before its time (before, if strict).
 
-    Both sides go through one shuffle by key and one ordered pass; right rows are
-    not paired with left rows. Right values that are null are passed over; of right
-    rows with one time the greatest values count.
+    Both sides go through one shuffle by key and chunk of time and one ordered pass in
+    each chunk; a chunk hands its last values on. Right rows are not paired with left
+    rows. Right values that are null are passed over; of right rows with one time the
+    greatest values count. Left rows without a key or time get nulls. ``chunk`` is an
+    expression over ``_ts`` that follows it (by default days, months of dates).
     """
-    r = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(1 if strict else 0).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    row = F.struct(*left.columns)
-    both = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(0 if strict else 1).alias("_side"), row.alias("_row")).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", *[f"_v_{v}" for v in values]).rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumns({f"_v_{v}": F.last(f"_v_{v}", ignorenulls=True).over(w) for v in values})
-    return filled.where("_row is not null").select("_row.*", *[F.col(f"_v_{v}").alias(v) for v in values])
+    return _asof(left, right, by, values, left_ts, right_ts, (0, 1) if strict else (1, 0), True, chunk)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts") -> DataFrame:
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", chunk: Column | None = None) -> DataFrame:
     """Each left row with the first right values strictly after its time; of right rows with one time the least values count."""
-    r = right.select(*by, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), *[F.col(v).alias(f"_v_{v}") for v in values])
-    both = left.select(*by, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row")).unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy("_ts", "_side", *[f"_v_{v}" for v in values]).rowsBetween(0, Window.unboundedFollowing)
-    filled = both.withColumns({f"_v_{v}": F.first(f"_v_{v}", ignorenulls=True).over(w) for v in values})
-    return filled.where("_row is not null").select("_row.*", *[F.col(f"_v_{v}").alias(v) for v in values])
+    return _asof(left, right, by, values, left_ts, right_ts, (1, 0), False, chunk)
 
 
 def range_join(spans: DataFrame, points: DataFrame, by: list[str], start: str, end: str, ts: str = "ts", unit: str = "day") -> DataFrame:
@@ -44,8 +50,13 @@ def range_join(spans: DataFrame, points: DataFrame, by: list[str], start: str, e
     return cells.join(pts, [*by, "_b"]).where(keep).drop("_b")
 
 
-def aligned(rows: DataFrame, on: str, name: str, value: str, names: list[str]) -> DataFrame:
-    """Series side by side: one row for each ``on`` that any of them has, one column a name, null where a series has no value there."""
+def aligned(rows: DataFrame, on: str, name: str, value: str, names: list[str] | None = None) -> DataFrame:
+    """Series side by side: one row for each ``on`` that any of them has, one column a name, null where a series has no value there.
+
+    Names not given are those of the table, in order.
+    """
+    if names is None:
+        names = sorted(r[0] for r in rows.select(name).where(F.col(name).isNotNull()).distinct().collect())  # they are the columns
     return rows.groupBy(on).pivot(name, names).agg(F.max(value))
 
 

@@ -1,20 +1,22 @@
 """Rolling frames, recurrences and running totals over ordered series.
 
 Rolling operators are row frames of the ordered window. What needs the whole past
-(running totals, exponential averages) runs in two levels: inside bounded chunks of
-a series, and over one row a chunk, so that no task holds a series.
+(running totals, exponential averages) runs in two levels: inside chunks of a series,
+which are dealt to tasks by key and chunk, and over one row a chunk or block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .carry import CHUNK, dealt, running_total
+
 _KINDS = {"double": T.DoubleType(), "long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}
 
 
@@ -59,13 +61,7 @@ def drawdown(x: Column, w: WindowSpec) -> Column:
 
 def running_sum(df: DataFrame, keys: list[str], value: Column, name: str, chunk: Column, ts: str = "ts") -> DataFrame:
     """Adds the running sum of value in order of ts, by chunks that ts orders too (a day, a month)."""
-    rows = df.withColumn("_chunk", chunk).withColumn("_v", value)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    totals = rows.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_before", F.coalesce(F.sum("_t").over(before), F.lit(0.0))).drop("_t")
-    out = rows.withColumn("_in", F.sum("_v").over(inside)).join(totals, [*keys, "_chunk"])
-    return out.withColumn(name, F.col("_in") + F.col("_before")).drop("_chunk", "_v", "_in", "_before")
+    return running_total(df, keys, value, name, chunk, [ts])
 
 
 def widened(df: DataFrame, **columns: str) -> T.StructType:
@@ -74,60 +70,50 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *more.fields])
 
 
-def _folded(x: np.ndarray, decay: float, gain: float, block: int = 64) -> np.ndarray:
-    """y[i] = decay * y[i-1] + gain * x[i] from 0: a triangular product inside blocks, then one step a block."""
-    n = -(-len(x) // block)
-    steps = np.arange(block)
-    lag = steps[:, None] - steps[None, :]
-    own = np.where(lag >= 0, gain * float(decay) ** np.maximum(lag, 0), 0.0)
-    y = np.concatenate([x, np.zeros(n * block - len(x))]).reshape(n, block) @ own.T
-    fade, s = float(decay) ** (steps + 1), 0.0
-    for row in y:
-        row += s * fade
-        s = row[-1]
-    return y.ravel()[: len(x)]
-
-
 def recurrence(df: DataFrame, keys: list[str], value: Column, name: str, decay: float, chunk: Column, gain: float | None = None, ts: str = "ts") -> DataFrame:
     """Adds y with y[t] = decay * y[t-1] + gain * x[t], y[0] = x[0], null values passed over.
 
-    The recurrence is linear: a chunk turns its incoming value s into
-    decay ** k * s + its own part. Chunks are computed apart, their effects are
-    chained over one row a chunk, and the incoming value is added back.
+    The recurrence is linear: a block of a chunk turns its incoming value s into
+    decay ** k * (s + the sum of gain * x * decay ** -i), which is a running sum. Blocks
+    are as long as the powers stay far within a double. Their effects are chained over
+    one row a block, and a chunk's incoming values are joined to its rows, which stay
+    where they were dealt by key and chunk.
     """
     gain = 1 - decay if gain is None else gain
-    rows = df.withColumn("_chunk", chunk).withColumn("_x", value.cast("double"))
-
-    def local(t: pa.Table) -> pa.Table:
-        t = t.sort_by(ts)
-        x = t["_x"].to_numpy(zero_copy_only=False)
-        some = x == x
-        k = np.cumsum(some)
-        y = np.concatenate([[0.0], _folded(x[some], decay, gain)])[k]
-        first = x[np.argmax(some)] if some.any() else np.nan
-        return t.append_column("_y", pa.array(y)).append_column("_k", pa.array(k)).append_column("_first", pa.array(np.full(len(x), first)))
-
-    schema = widened(rows, _y="double", _k="long", _first="double")
-    done = rows.groupBy(*keys, "_chunk").applyInArrow(local, schema)
-    ends = done.groupBy(*keys, "_chunk").agg(F.max_by("_y", F.struct("_k", ts)).alias("_y"), F.max("_k").alias("_k"), F.max("_first").alias("_first"))
+    base = max(decay, 1e-30)  # a decay of 0 forgets at once, and so does this one
+    block = 1 << 16 if base >= 1 else min(1 << 16, max(1, int(230 / -math.log(base))))
+    x = F.col("_x")
+    up = lambda *by: Window.partitionBy(*keys, CHUNK, *by).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    power = lambda i: F.pow(F.lit(base), i)
+
+    def local(rows: DataFrame) -> DataFrame:
+        rows = dealt(rows.withColumn("_x", F.nanvl(value.cast("double"), F.lit(None).cast("double"))), keys, chunk)
+        rows = rows.withColumn("_k", F.count(x).over(up()))
+        rows = rows.withColumn("_block", F.floor(F.greatest(F.col("_k") - 1, F.lit(0)) / block).cast("int"))
+        rows = rows.withColumn("_i", F.col("_k") - F.col("_block") * block)
+        return rows.withColumn("_sum", F.coalesce(F.sum(gain * x * power(-F.col("_i"))).over(up("_block")), F.lit(0.0)))
+
+    ends = local(df).groupBy(*keys, CHUNK, "_block").agg(
+        F.max("_i").alias("_i"), F.max_by("_sum", F.struct("_i", ts)).alias("_sum"), F.min_by("_x", F.when(x.isNotNull(), F.struct(ts))).alias("_first")
+    )
 
     def chain(t: pa.Table) -> pa.Table:
-        t = t.sort_by("_chunk")
+        t = t.sort_by([(CHUNK, "ascending"), ("_block", "ascending")])
         s, seeded, out, begins = 0.0, False, [], []
-        for y, k, first in zip(t["_y"].to_pylist(), t["_k"].to_pylist(), t["_first"].to_pylist()):
+        for total, i, first in zip(t["_sum"].to_pylist(), t["_i"].to_pylist(), t["_first"].to_pylist()):
             begins.append(not seeded)
-            if not seeded and k:  # as if the value before the first were the first itself
+            if not seeded and i:  # as if the value before the first were the first itself
                 s, seeded = first * (1 - gain) / decay if decay else 0.0, True
             out.append(s)
-            s = decay**k * s + y if seeded else s
-        return t.select([*keys, "_chunk"]).append_column("_in", pa.array(out, pa.float64())).append_column("_begins", pa.array(begins))
+            s = base**i * (s + total)
+        return t.select([*keys, CHUNK, "_block"]).append_column("_in", pa.array(out, pa.float64())).append_column("_begins", pa.array(begins))
 
-    kept = widened(done.select(*keys, "_chunk"), _in="double", _begins="boolean")
-    incoming = ends.groupBy(*keys).applyInArrow(chain, kept)
-    out = done.join(incoming, [*keys, "_chunk"])
+    given = ends.groupBy(*keys).applyInArrow(chain, widened(ends.select(*keys, CHUNK, "_block"), _in="double", _begins="boolean"))
+    given = given.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_block", "_in", "_begins"))).alias("_given"))
+    out = local(df).join(given, [*keys, CHUNK]).withColumn("_g", F.col("_given")[F.col("_block")])
     # rows of the first chunk before its first value have none
-    whole = F.when(F.col("_k") > 0, F.col("_y") + F.pow(F.lit(decay), F.col("_k")) * F.col("_in")).when(~F.col("_begins"), F.col("_in"))
-    return out.withColumn(name, whole).drop("_chunk", "_x", "_y", "_k", "_first", "_in", "_begins")
+    whole = F.when(F.col("_k") > 0, power(F.col("_i")) * (F.col("_g._in") + F.col("_sum"))).when(~F.col("_g._begins"), F.col("_g._in"))
+    return out.withColumn(name, whole).drop(CHUNK, "_x", "_k", "_block", "_i", "_sum", "_given", "_g")
 
 
 def ema(df: DataFrame, keys: list[str], value: Column, span: int, name: str, chunk: Column | None = None, ts: str = "ts") -> DataFrame:

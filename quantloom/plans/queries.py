@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, timing
-from ..operators import attribution, bars, exits, fills, indicators, joins, metrics, quality, risk
+from ..operators import attribution, bars, carry, closure, exits, fills, indicators, joins, metrics, passage, quality, risk
 from ..operators.windows import series
 from ..settings import RunSettings
 from . import views
@@ -59,6 +59,18 @@ def R(e: str, name: str, digits: int = 6) -> str:
     return f"round({e}, {digits}) + 0.0 AS {name}"
 
 
+def normal(x: str) -> str:
+    """The normal distribution in SQL, by its series."""
+    return f"(CASE WHEN abs({x}) > 9 THEN sign({x}) / 2 + 0.5 ELSE 0.5 + exp(-pow({x}, 2) / 2) / sqrt(2 * pi()) * list_sum([pow({x}, 2 * k + 1) * exp(k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)) FOR k IN generate_series(0, 160)]) END)"
+
+
+def t_tail(t: str, df: str) -> str:
+    """The two-sided tail of Student's t in SQL: one less the series of the incomplete beta function at t^2 / (df + t^2)."""
+    u = f"(({t}) * ({t}) / (({df}) + ({t}) * ({t})))"
+    term = f"exp(lgamma(0.5 + ({df}) / 2.0 + k) - lgamma(0.5) - lgamma(({df}) / 2.0) - lgamma(1.5 + k) + lgamma(1.5) - ln(0.5) + (k + 0.5) * ln({u}) + ({df}) / 2.0 * ln(1 - {u}))"
+    return f"(CASE WHEN ({t}) = 0 THEN 1.0 ELSE greatest(0.0, 1 - list_sum([{term} FOR k IN generate_series(0, 3000)])) END)"
+
+
 H, DY = views.HOUR, views.DAY
 W = "PARTITION BY symbol ORDER BY ts"
 
@@ -279,7 +291,15 @@ def diamond_patterns(spark, d):
     return out(indicators.diamonds(views.bars(spark, d), 12, 12), "symbol", "ts", "diamond_top", "diamond_bottom", "diamond_upper", "diamond_lower", "diamond_height")
 
 
-@query()
+ADF_T = "(bb * ay - ab * cy) / det / sqrt(greatest(yy - (bb * ay - ab * cy) / det * ay - (aa * cy - ab * ay) / det * cy, 1e-300) * 45 / 43 * bb / det / 45)"
+
+
+@query(f"""WITH b AS ({H}), r AS (SELECT symbol, ts, lag(close) OVER ({W}) - first_value(close) OVER ({W}) AS a, close - lag(close) OVER ({W}) AS y, lag(close) OVER ({W}) - lag(close, 2) OVER ({W}) AS c FROM b),
+m AS (SELECT symbol, ts, {", ".join(f"{over(e, 46, 1)} AS {n}" for e, n in (('count(c)', 'n'), ('covar_samp(a, a)', 'aa'), ('covar_samp(c, c)', 'bb'), ('covar_samp(a, c)', 'ab'), ('covar_samp(a, y)', 'ay'), ('covar_samp(c, y)', 'cy'), ('covar_samp(y, y)', 'yy')))} FROM r),
+d AS (SELECT *, CASE WHEN n = 46 AND aa * bb - ab * ab > 1e-10 * aa * bb THEN aa * bb - ab * ab END AS det FROM m), t AS (SELECT symbol, ts, {ADF_T} AS t FROM d),
+p AS (SELECT symbol, ts, CASE WHEN t > 2.74 THEN 1.0 WHEN t < -18.83 THEN 0.0 WHEN t <= -1.61 THEN {normal('(2.1659 + 1.4412 * t + 0.038269 * t * t)')} WHEN t IS NOT NULL THEN {normal('(1.7339 + 0.93202 * t - 0.12745 * t * t - 0.010368 * t * t * t)')} END AS p FROM t),
+l AS (SELECT symbol, ts, last_value(p IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM p)
+SELECT symbol, {T()}, {R('p', 'adf_p')}, coalesce(p <= 0.05, false) AS adf_ok FROM l""")
 def adf_filter(spark, d):
     return out(indicators.adf(views.bars(spark, d), 48), "symbol", "ts", "adf_p", "adf_ok")
 
@@ -346,9 +366,8 @@ SELECT b.symbol, CASE WHEN b.seq < s.seq THEN 'LONG' ELSE 'SHORT' END AS directi
 round((s.p - b.p) * (least(b.hi, s.hi) - greatest(b.hi - b.q, s.hi - s.q)), 4) + 0.0 AS gross_pnl
 FROM c b JOIN c s ON b.symbol = s.symbol AND b.side = 'BUY' AND s.side = 'SELL' AND b.hi - b.q < s.hi AND s.hi - s.q < b.hi""")
 def fifo_match(spark, d):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    f = views.table(spark, d, "events").select(
-        F.col("event_type").alias("symbol"), F.row_number().over(w).cast("long").alias("seq"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
+    f = carry.numbered(views.table(spark, d, "events"), ["event_type"], "seq", F.to_date("ts"), ["ts", "event_id"]).select(
+        F.col("event_type").alias("symbol"), "seq", F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"),
         (1 + F.col("event_id") % 3).cast("double").alias("quantity"), F.col("value").alias("price"), "ts",
     )
     return out(fills.fifo_match(f, ["symbol"]), "symbol", "direction", "buy_seq", "sell_seq", "quantity", "gross_pnl", digits=4)
@@ -396,6 +415,26 @@ def pnl_decay(spark, d):
     return out(exits.forward_pnl(_event_trades(spark, d), views.bars(spark, d), ["symbol"], (60, 240, 1440)), "trade_id", "minutes", "pnl", "past_end")
 
 
+@query(f"""WITH b AS ({H}), t AS (SELECT event_id AS trade_id, event_type AS symbol, date_trunc('hour', ts) AS s, CAST(1 + event_id % 30 AS INTEGER) AS k, value * 0.25 AS dn, value * 4 AS up FROM events),
+j AS (SELECT t.trade_id, count(b.ts) AS n, min(b.ts) FILTER (WHERE b.low <= t.dn OR b.high >= t.up) AS at FROM t LEFT JOIN b ON b.symbol = t.symbol AND b.ts > t.s AND b.ts <= t.s + INTERVAL 1 HOUR * t.k GROUP BY 1),
+c AS (SELECT t.*, j.n, j.n = t.k AND t.dn IS NOT NULL AS complete, CASE WHEN j.n = t.k THEN j.at END AS at FROM t JOIN j ON j.trade_id = t.trade_id)
+SELECT c.trade_id, c.n AS n_bars, c.complete, CASE WHEN b.low <= c.dn AND b.high >= c.up THEN 'both' WHEN b.low <= c.dn THEN 'down' WHEN b.high >= c.up THEN 'up' END AS touched, strftime(c.at, '%Y-%m-%d %H:%M:%S') AS touched_at
+FROM c LEFT JOIN b ON b.symbol = c.symbol AND b.ts = c.at""")
+def first_touch(spark, d):
+    """Which of a quarter and four times a trade's price the hours after its own reach first, where no hour is missing."""
+    e = _event_trades(spark, d).select("trade_id", "symbol", F.date_trunc("hour", "entry_time").cast("timestamp_ntz").alias("s"), (F.col("entry_price") * 0.25).alias("dn"), (F.col("entry_price") * 4).alias("up"))
+    e = e.withColumn("e", F.col("s") + F.make_dt_interval(hours=(1 + F.col("trade_id") % 30).cast("int")))
+    return out(passage.first_touch(e, views.bars(spark, d), ["symbol"], "trade_id", "s", "e", "dn", "up", 3600))
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT c_custkey AS c, c_custkey // 3 AS p FROM customer WHERE c_custkey // 3 > 0),
+r AS (SELECT p AS ancestor, c AS descendant, 1 AS depth FROM l UNION ALL SELECT r.ancestor, l.c, r.depth + 1 FROM r JOIN l ON l.p = r.descendant) SELECT * FROM r""")
+def link_closure(spark, d):
+    """All descendants of each row in a table of parents: a customer's parent has a third of its key."""
+    links = views.table(spark, d, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 3).alias("parent")).where("parent > 0")
+    return closure.descendants(links, "c_custkey", "parent")
+
+
 TR = views.TRADES
 
 
@@ -407,16 +446,6 @@ def trade_stats(spark, d):
     return out(m, "strategy", "trades", "win_rate", "total_pnl", "profit_factor", "avg_trade", "avg_win", "avg_loss", "max_loss", "t_stat")
 
 
-@query()
-def strategy_summary(spark, d):
-    """Returns of each strategy's equity against those of the mean daily price of the symbol it trades most."""
-    t = views.trades(spark, d)
-    e = attribution.slot_equity(views.slot_levels(spark, d), ["strategy"], views.CAPITAL, F.lit(0.2))
-    price = t.groupBy("symbol", F.to_date("exit_time").cast("timestamp_ntz").alias("ts")).agg(F.avg("entry_price").alias("price"))
-    moves = metrics.returns(price, ["symbol"], "price").select("symbol", F.to_date("ts").alias("day"), "ret")
-    return out(attribution.strategy_summary(t, t.select("strategy"), risk.daily_equity(e, ["strategy"], "equity"), moves))
-
-
 @query(f"SELECT exit_reason, count(*) AS trades, count(*) FILTER (WHERE pnl >= 0) AS wins, {R('100.0 * count(*) FILTER (WHERE pnl >= 0) / count(*)', 'win_rate', 4)}, {R('avg(pnl)', 'avg_pnl', 4)}, {R('sum(pnl)', 'total_pnl', 2)} FROM ({TR}) GROUP BY 1")
 def exit_reason_breakdown(spark, d):
     b = exits.reason_breakdown(views.trades(spark, d)).withColumn("total_pnl", F.round("total_pnl", 2))
@@ -482,16 +511,23 @@ def keep_last(spark, d):
     return bars.keep_last(views.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber")
 
 
-@query(f"""WITH b AS ({H}), c AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_max(close, ts) AS close FROM b GROUP BY 1, 2)
-SELECT {D('day')}, {R("max(close) FILTER (WHERE symbol = 'click')", 'click')}, {R("max(close) FILTER (WHERE symbol = 'purchase')", 'purchase')}, {R("max(close) FILTER (WHERE symbol = 'view')", 'view')} FROM c GROUP BY day""")
+CLOSES = ", ".join(R(f"max(close) FILTER (WHERE symbol = '{x}')", x) for x in ("click", "error", "purchase", "signup", "view"))
+
+
+@query(f"""WITH b AS ({H}), c AS (SELECT symbol, CAST(ts AS DATE) AS day, arg_max(close, ts) AS close FROM b GROUP BY 1, 2) SELECT {D('day')}, {CLOSES} FROM c GROUP BY day""")
 def aligned_closes(spark, d):
+    """All series of the table side by side; the SQL names those of the driver's table."""
     daily = views.bars(spark, d).groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max_by("close", "ts").alias("close"))
-    return out(joins.aligned(daily, "day", "symbol", "close", ["click", "purchase", "view"]))
+    return out(joins.aligned(daily, "day", "symbol", "close"))
 
 
-# names under which the whole tables were read before these queries read them themselves
-for _name in ("fifo_match", "asof_close", "range_join_mfe_mae", "pnl_decay", "holding_buckets"):
-    QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"] = QUERIES[_name], ORACLES[_name]
+@query(f"""WITH b AS (SELECT event_type AS symbol, ts, max(value) AS price FROM events WHERE value IS NOT NULL GROUP BY 1, 2), u AS (SELECT DISTINCT ts FROM b), s AS (SELECT DISTINCT symbol FROM b)
+SELECT s.symbol, strftime(u.ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, {R('b.price', 'price')} FROM u CROSS JOIN s ASOF LEFT JOIN b ON b.symbol = s.symbol AND b.ts <= u.ts""")
+def union_prices(spark, d):
+    """Every series at every time that any of them has a price, with its last one."""
+    t = views.ticks(spark, d)
+    got = carry.union_times([t.where(F.col("price") >= 50).select("symbol", "ts", "price"), t.where(F.col("price") < 50).select("symbol", "ts", "price")], ["symbol"], ["price"])
+    return out(got.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")), "symbol", "ts", "price")
 
 
 @query(f"SELECT {D('day')}, {R('sum(commission)', 'commission', 3)}, {R('sum(slippage)', 'slippage', 3)} FROM (SELECT CAST(exit_time AS DATE) AS day, * FROM ({TR})) GROUP BY day")
@@ -616,6 +652,28 @@ SLOT_RET = f"""l AS (SELECT strategy, day, 20000 + round(sum(pnl) OVER (PARTITIO
 y AS (SELECT strategy, day, e / lag(e) OVER (PARTITION BY strategy ORDER BY day) - 1 AS y FROM l), x AS (SELECT day, ret AS x FROM ({DL}))"""
 
 
+SUMMARY = f"""WITH {SLOT_RET}, tr AS ({TR}), s AS (SELECT strategy, count(*) AS trades, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, sum(pnl) AS total_pnl, avg(pnl) AS avg_trade, avg(CASE WHEN pnl > 0 THEN pnl END) AS avg_win,
+  avg(CASE WHEN pnl <= 0 THEN pnl END) AS avg_loss, min(pnl) AS max_loss, sum(CASE WHEN pnl > 0 THEN pnl END) / -sum(CASE WHEN pnl <= 0 THEN pnl END) AS profit_factor, avg(pnl) / (stddev_samp(pnl) / sqrt(count(*))) AS t_stat FROM tr GROUP BY 1),
+k AS (SELECT strategy, symbol FROM (SELECT strategy, symbol, row_number() OVER (PARTITION BY strategy ORDER BY count(*) DESC, symbol) AS r FROM tr GROUP BY 1, 2) WHERE r = 1),
+pr AS (SELECT symbol, CAST(exit_time AS DATE) AS day, avg(entry_price) AS price FROM tr GROUP BY 1, 2), mv AS (SELECT symbol, day, price / lag(price) OVER (PARTITION BY symbol ORDER BY day) - 1 AS x FROM pr),
+g AS (SELECT y.strategy, regr_slope(y, mv.x) AS beta, regr_intercept(y, mv.x) AS i, regr_sxx(y, mv.x) AS sxx, regr_syy(y, mv.x) AS syy, regr_sxy(y, mv.x) AS sxy, count(*) AS n, avg(mv.x) AS mx
+  FROM y JOIN k ON k.strategy = y.strategy JOIN mv ON mv.symbol = k.symbol AND mv.day = y.day WHERE y IS NOT NULL AND mv.x IS NOT NULL GROUP BY 1),
+e AS (SELECT *, greatest(syy - beta * sxy, 0) / (n - 2) AS res FROM g), q AS (SELECT *, beta / sqrt(res / sxx) AS bt, i / sqrt(res * (1.0 / n + mx * mx / sxx)) AS ta FROM e)
+SELECT s.strategy, trades, {R('win_rate', 'win_rate')}, {R('total_pnl', 'total_pnl', 2)}, {R('profit_factor', 'profit_factor')}, {R('avg_trade', 'avg_trade', 4)}, {R('avg_win', 'avg_win', 4)}, {R('avg_loss', 'avg_loss', 4)}, {R('max_loss', 'max_loss', 4)}, {R('t_stat', 't_stat', 4)},
+  {R(t_tail('t_stat', '(trades - 1)'), 'p_value')}, {R('beta', 'beta')}, {R('i * 252 * 100', 'alpha', 3)}, {R(t_tail('bt', '(n - 2)'), 'beta_p')}, {R(t_tail('ta', '(n - 2)'), 'alpha_p')} FROM s JOIN q ON q.strategy = s.strategy"""
+
+
+@query(SUMMARY)
+def strategy_summary(spark, d):
+    """Returns of each strategy's equity against those of the mean daily price of the symbol it trades most."""
+    t = views.trades(spark, d)
+    e = attribution.slot_equity(views.slot_levels(spark, d), ["strategy"], views.CAPITAL, F.lit(0.2))
+    price = t.groupBy("symbol", F.to_date("exit_time").cast("timestamp_ntz").alias("ts")).agg(F.avg("entry_price").alias("price"))
+    moves = metrics.returns(price, ["symbol"], "price").select("symbol", F.to_date("ts").alias("day"), "ret")
+    got = attribution.strategy_summary(t, t.select("strategy"), risk.daily_equity(e, ["strategy"], "equity"), moves)
+    return out(got.withColumns({"total_pnl": F.round("total_pnl", 2), "alpha": F.round("alpha", 3), **{c: F.round(c, 4) for c in ("avg_trade", "avg_win", "avg_loss", "max_loss", "t_stat")}}))
+
+
 @query(f"""WITH {SLOT_RET} SELECT strategy, count(*) AS n, {R('regr_slope(y, x)', 'beta')}, {R('regr_intercept(y, x) * 252 * 100', 'alpha', 4)} FROM y JOIN x ON y.day = x.day WHERE y IS NOT NULL AND x IS NOT NULL GROUP BY 1""")
 def alpha_beta(spark, d):
     e = attribution.slot_equity(views.slot_levels(spark, d), ["strategy"], views.CAPITAL, F.lit(0.2))
@@ -648,9 +706,18 @@ def curve_metrics(spark, d):
     return out(m, "total_return", "cagr", "volatility", "sharpe", "sortino", "max_drawdown", "calmar", "t_stat")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SLOT_RET}, r AS (SELECT strategy, y FROM y WHERE y IS NOT NULL), a AS (SELECT strategy, avg(y) AS m, stddev_samp(y) AS sd, count(*) AS n, stddev_pop(y) AS sp FROM r GROUP BY 1),
+s AS (SELECT strategy, any_value(m / sd) AS sr, any_value(n) AS n, any_value(m / (sd / sqrt(n))) AS t, avg(power((y - m) / sp, 3)) AS skew, avg(power((y - m) / sp, 4)) - 3 AS kurt FROM r JOIN a USING (strategy) GROUP BY 1),
+w AS (SELECT avg(sr) AS m, stddev_pop(sr) AS sd, count(*) AS n FROM s), g AS (SELECT unnest([1 - 1.0 / n, 1 - 1 / (n * 2.718281828459045)]) AS p, unnest([1, 2]) AS j FROM w),
+f AS (SELECT j, p, CAST(0.5 AS DOUBLE) AS x, 0 AS i FROM g UNION ALL SELECT j, p, x - ({normal('x')} - p) * sqrt(2 * pi()) * exp(x * x / 2), i + 1 FROM f WHERE i < 40),
+b AS (SELECT any_value(w.m) + any_value(w.sd) * ((1 - 0.5772156649015329) * max(CASE WHEN j = 1 THEN x END) + 0.5772156649015329 * max(CASE WHEN j = 2 THEN x END)) AS bar FROM f, w WHERE i = 40),
+z AS (SELECT *, (sr - bar) / sqrt((1 - skew * sr + (kurt + 2) / 4 * sr * sr) / (n - 1)) AS z FROM s, b)
+SELECT strategy, {R('sr', 'ret_sharpe')}, {R('CASE WHEN n >= 30 THEN ' + normal('z') + ' ELSE 0 END', 'dsr')}, {R(t_tail('t', '(n - 1)'), 'p_value')} FROM z""")
 def deflated_sharpe(spark, d):
-    return out(metrics.with_pvalue(metrics.deflated_sharpe(metrics.curve_metrics(views.history(spark, d), RUN))), "run_id", "ret_sharpe", "dsr", "p_value")
+    """Each strategy's daily Sharpe ratio against the best that all of them would show by luck."""
+    e = attribution.slot_equity(views.slot_levels(spark, d), ["strategy"], views.CAPITAL, F.lit(0.2))
+    m = metrics.curve_metrics(e, ["strategy"], value="equity")
+    return out(metrics.with_pvalue(metrics.deflated_sharpe(m, m.select("ret_sharpe"))), "strategy", "ret_sharpe", "dsr", "p_value")
 
 
 @query(f"""WITH d AS ({DL}), k AS (SELECT date_trunc('week', day) AS b, exp(sum(ln(1 + ret))) - 1 AS r FROM d WHERE ret IS NOT NULL GROUP BY 1) SELECT {R('avg(r) / stddev_samp(r) * sqrt(52)', 'sharpe')} FROM k""")

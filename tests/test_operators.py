@@ -2,6 +2,8 @@
 
 from datetime import date, datetime, timedelta
 
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -144,8 +146,14 @@ def test_alpha_and_beta_are_found_again(spark):
 
 
 def test_distributions(spark):
-    assert stats.t_two_sided(2.0, 10) == pytest.approx(0.0733880, abs=1e-6)
-    assert stats.t_two_sided(1.0, 1) == pytest.approx(0.5, abs=1e-12)
+    known = {(2.0, 10.0): 0.07338803, (1.0, 1.0): 0.5, (0.0, 5.0): 1.0, (-1.0, 1.0): 0.5, (40.0, 3.0): 3.4e-05}
+    rows = frame(spark, [*known, (None, 3.0), (1.0, None), (1.0, 0.0)], "t double, df double").select("t", "df", stats.t_pvalue("t", F.col("df")).alias("p")).collect()
+    assert all(r.p == pytest.approx(known[r.t, r.df], abs=1e-6) if (r.t, r.df) in known else r.p is None for r in rows)
+    xs = [-40.0, -20.0, -8.0, -7.07, -3.0, -0.1, 0.0, 0.3, 2.0, 6.0, 9.0]
+    rows = frame(spark, [(x, NormalDist().cdf(x)) for x in xs], "x double, p double").select("x", "p", stats.norm_cdf(F.col("x")).alias("c"), stats.norm_ppf(F.col("p")).alias("q")).collect()
+    assert all(r.c == pytest.approx(r.p, rel=1e-9, abs=1e-15) for r in rows) and all(r.q == pytest.approx(r.x, abs=1e-8) for r in rows if -5 < r.x < 5)
+    # many degrees of freedom are the normal law
+    assert frame(spark, [(1.7,)], "t double").select(stats.t_pvalue("t", F.lit(1e7))).first()[0] == pytest.approx(2 * NormalDist().cdf(-1.7), abs=1e-7)
     r = spark.range(1).select(stats.norm_cdf(F.lit(1.0)).alias("c"), stats.norm_ppf(F.lit(0.975)).alias("q"), stats.erf(F.lit(0.5)).alias("e"), stats.trunc(F.lit(-1.7)).alias("t")).first()
     assert r.c == pytest.approx(0.8413447) and r.q == pytest.approx(1.959964) and r.e == pytest.approx(0.5204999, abs=2e-7) and r.t == -1
 
@@ -217,7 +225,27 @@ def test_kalman_and_adf(spark):
     rows = [("P", T0 + timedelta(hours=i), float(a), float(2 * a)) for i, a in enumerate(x)]
     r = indicators.kalman_beta(frame(spark, rows, "symbol string, ts timestamp_ntz, x double, y double")).orderBy("ts").collect()
     assert r[0].kalman_beta is None and abs(r[-1].kalman_beta - 2) < 0.2
-    assert indicators.adf_pvalue(rng.normal(size=300)) < 0.01 < 0.05 < indicators.adf_pvalue(x)
+
+
+def plain_adf(x):
+    """The unit-root t statistic by least squares over the levels themselves."""
+    d = np.diff(x)
+    a = np.column_stack([x[1:-1], d[:-1], np.ones(len(d) - 1)])
+    beta, *_ = np.linalg.lstsq(a, d[1:], rcond=None)
+    e = d[1:] - a @ beta
+    return beta[0] / np.sqrt(e @ e / (len(e) - 3) * np.linalg.inv(a.T @ a)[0, 0])
+
+
+def test_adf_equals_least_squares(spark):
+    rng = np.random.default_rng(3)
+    series = {"walk": 5000 + np.cumsum(rng.normal(size=90)), "noise": rng.normal(size=90), "flat": np.full(90, 7.0), "short": rng.normal(size=20)}
+    rows = [(k, T0 + timedelta(hours=i), float(v)) for k, x in series.items() for i, v in enumerate(x)]
+    got = {(r.symbol, r.ts): r for r in indicators.adf(frame(spark, rows, "symbol string, ts timestamp_ntz, close double"), 40).collect()}
+    at = spark.createDataFrame([(float(plain_adf(series[k][i - 40 : i])), k, i) for k in ("walk", "noise") for i in range(40, 89)], "t double, k string, i int")
+    for r in at.select("k", "i", indicators.adf_pvalue(F.col("t")).alias("p")).collect():
+        assert got[r.k, T0 + timedelta(hours=r.i + 1)].adf_p == pytest.approx(r.p, abs=1e-7)
+    assert got["noise", T0 + timedelta(hours=80)].adf_ok and not got["walk", T0 + timedelta(hours=80)].adf_ok
+    assert len(got) == 290 and all(r.adf_p is None and not r.adf_ok for (k, _), r in got.items() if k in ("flat", "short"))
 
 
 def test_pages_and_downsampling(spark):

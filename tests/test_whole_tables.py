@@ -46,7 +46,7 @@ def close_at(bars, symbol, ts):
 def test_asof_close_of_every_trade(spark, events):
     d, rows = events
     bars = hourly(rows)
-    got = {r.trade_id: (r.symbol, r.close) for r in queries.QUERIES["asof_close_all"](spark, d).collect()}
+    got = {r.trade_id: (r.symbol, r.close) for r in queries.QUERIES["asof_close"](spark, d).collect()}
     assert got == {i: (s, close_at(bars, s, ts)) for i, ts, s, _ in rows}
 
 
@@ -59,7 +59,7 @@ def test_excursions_of_every_trade(spark, events):
             up, down = max(h for h, _ in seen) - x, min(lo for _, lo in seen) - x
             best, worst = (up, down) if i % 2 == 0 else (-down, -up)
             want[i] = (max(0.0, best * (1 + i % 5)), min(0.0, worst * (1 + i % 5)))
-    got = {r.trade_id: (r.mfe, r.mae) for r in queries.QUERIES["range_join_mfe_mae_all"](spark, d).collect()}
+    got = {r.trade_id: (r.mfe, r.mae) for r in queries.QUERIES["range_join_mfe_mae"](spark, d).collect()}
     assert set(got) == set(want) and len(want) > 60
     assert all(got[i] == pytest.approx(want[i], abs=1e-5) for i in want)
 
@@ -71,7 +71,7 @@ def test_forward_pnl_of_every_trade(spark, events):
         for m in (60, 240, 1440):
             due = ts + timedelta(minutes=m)
             want[i, m] = ((1 if i % 2 == 0 else -1) * (close_at(bars, s, due) - x) * (1 + i % 5) - 0.75, due > bars[s][-1][0])
-    got = {(r.trade_id, r.minutes): (r.pnl, r.past_end) for r in queries.QUERIES["pnl_decay_all"](spark, d).collect()}
+    got = {(r.trade_id, r.minutes): (r.pnl, r.past_end) for r in queries.QUERIES["pnl_decay"](spark, d).collect()}
     assert set(got) == set(want)
     assert all(got[k][0] == pytest.approx(want[k][0], abs=1e-5) and got[k][1] == want[k][1] for k in want)
 
@@ -79,7 +79,7 @@ def test_forward_pnl_of_every_trade(spark, events):
 def test_holding_buckets_of_every_trade(spark, events):
     d, rows = events
     bins = [[x for i, _, _, x in rows if min(4, (1 + i % 30) // 24) == k] for k in range(5)]  # the longest is 30 hours, so bins are days
-    got = queries.QUERIES["holding_buckets_all"](spark, d).orderBy("bucket").collect()
+    got = queries.QUERIES["holding_buckets"](spark, d).orderBy("bucket").collect()
     assert [r.n for r in got] == [len(b) for b in bins] and sum(r.n for r in got) == len(rows)
     assert [r.avg_pnl for r in got] == pytest.approx([np.mean(b) if b else 0.0 for b in bins], abs=1e-5)
     assert [r.label for r in got] == ["<1d", "1d-2d", "2d-3d", "3d-4d", ">4d"]
@@ -110,7 +110,7 @@ def test_fifo_match_of_every_event(spark, events):
         own = [(n + 1, "BUY" if r[0] % 2 == 0 else "SELL", 1.0 + r[0] % 3, r[3]) for n, r in enumerate(r for r in rows if r[2] == s)]
         price |= {(s, n): p for n, _, _, p in own}
         want += [(s, "LONG" if b < c else "SHORT", b, c, q) for b, c, q in queue_matches([x[:3] for x in own])]
-    got = queries.QUERIES["fifo_match_all"](spark, f"{d}/more").collect()
+    got = queries.QUERIES["fifo_match"](spark, f"{d}/more").collect()
     assert sorted((r.symbol, r.direction, r.buy_seq, r.sell_seq, r.quantity) for r in got) == sorted(want)
     assert all(r.gross_pnl == pytest.approx((price[r.symbol, r.sell_seq] - price[r.symbol, r.buy_seq]) * r.quantity, abs=1e-3) for r in got)
 
