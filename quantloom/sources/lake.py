@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators.bars import keep_last
 from ..schema import BARS, require_columns
+from ..session import cut
 from ..settings import TIMEFRAMES
+from .footers import footers, partition_value
 
 
 class Lake:
@@ -53,18 +56,45 @@ class Lake:
         missing = {c: F.lit(None).cast(t) for c, t in (("average", "double"), ("contract", "string")) if c not in bars.columns}
         rows = bars.withColumns({**missing, "ts": F.col("ts").cast("timestamp_ntz")})
         names = [x.split()[0] for x in BARS.split(", ")]
-        # one shuffle, so that a partition of the lake is few, sorted files
-        rows = rows.select(*names).repartition("symbol", "timeframe").sortWithinPartitions("symbol", "timeframe", "ts")
+        # by ranges of time too, so that a long series is several sorted files written by several tasks
+        rows = rows.select(*names).repartitionByRange("symbol", "timeframe", "ts").sortWithinPartitions("symbol", "timeframe", "ts")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "timeframe").parquet(self.path)
 
-    def extend(self, new: DataFrame) -> None:
-        """Merges bars into the lake; of bars with one time the newer arrival stays. Lineage is cut before files are replaced."""
-        keys = new.select("symbol", "timeframe").distinct()
-        old = self.bars().join(keys, ["symbol", "timeframe"], "leftsemi")
-        both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True)
-        if not self.spark.sparkContext.getCheckpointDir():
-            raise ValueError("set spark.checkpoint.dir (or a checkpoint folder) to extend a lake")
-        self.save(keep_last(both, ["symbol", "timeframe", "ts"], "_n").drop("_n").checkpoint())
+    def files(self) -> DataFrame:
+        """One row a file, from footers: symbol, timeframe, and the columns of :func:`footers.footers`."""
+        if not self._exists():
+            return self.spark.createDataFrame([], "symbol string, timeframe string, path string, size long, rows long, first timestamp_ntz, last timestamp_ntz, scanned boolean, error string")
+        all_ = footers(self.spark, self.path)
+        return all_.select(partition_value(F.col("path"), "symbol").alias("symbol"), partition_value(F.col("path"), "timeframe").alias("timeframe"), *all_.columns)
+
+    def extend(self, new: DataFrame) -> list[str]:
+        """Merges bars into the lake; of bars with one time the newer arrival stays. Returns the paths of the files that were replaced.
+
+        Copy on write by file: only files whose range of times meets days of the new bars
+        are read and written anew; others keep their names and bytes. New files are
+        complete before old ones go. If the job is lost in between, both stand there and
+        bars are twice in the lake until the same call is made again, which mends it.
+        """
+        require_columns(new, "symbol", "timeframe", "ts", "open", "high", "low", "close", "volume")
+        names = [x.split()[0] for x in BARS.split(", ")]
+        kinds = dict(x.split() for x in BARS.split(", "))
+        rows = cut(new.select(*[F.col(c).cast(kinds[c]).alias(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in names]).withColumn("_n", F.lit(1)))
+        days = rows.groupBy("symbol", "timeframe", F.to_date("ts").alias("_day")).agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+        known = self.files().where("error is null").select("symbol", "timeframe", "path", "first", "last")
+        hit = days.join(known, ["symbol", "timeframe"]).where("_a <= last and _b >= first").select("path").distinct()
+        touched = sorted(r.path for r in hit.collect())  # names of the files to be replaced
+        both = rows
+        if touched:
+            plain = [re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in touched]  # names, not patterns
+            old = self.spark.read.schema(BARS).option("basePath", self.path).parquet(*plain)
+            both = old.select(*names).withColumn("_n", F.lit(0)).unionByName(rows)
+        merged = cut(keep_last(both, ["symbol", "timeframe", "ts"], "_n").drop("_n"))
+        merged.repartitionByRange("symbol", "timeframe", "ts").sortWithinPartitions("symbol", "timeframe", "ts").write.mode("append").partitionBy("symbol", "timeframe").parquet(self.path)
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for p in touched:
+            at = hadoop.Path(p)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, False)
+        return touched
 
     def symbols(self) -> DataFrame:
         return self.bars().select("symbol").distinct().orderBy("symbol")
@@ -77,8 +107,8 @@ class Lake:
         return files.groupBy("symbol", "timeframe").agg(F.sum("n").alias("bars"), F.min("a").alias("first"), F.max("b").alias("last"), (F.sum("z") / 1e6).alias("megabytes"))
 
     def freshness(self, required: DataFrame, now: str, max_days: int = 10) -> DataFrame:
-        """required (symbol, timeframe) rows with last, days and state: fresh, stale or missing."""
-        last = self.bars().groupBy("symbol", "timeframe").agg(F.max("ts").alias("last"))
+        """required (symbol, timeframe) rows with last, days and state: fresh, stale or missing. Times come from footers; no column is read where these have them."""
+        last = self.files().groupBy("symbol", "timeframe").agg(F.max("last").alias("last"))
         out = required.join(last, ["symbol", "timeframe"], "left")
         days = F.datediff(F.lit(now).cast("timestamp_ntz"), F.col("last"))
         return out.withColumn("days", days).withColumn("state", F.when(F.col("last").isNull(), "missing").when(F.col("days") > max_days, "stale").otherwise("fresh"))
@@ -98,9 +128,31 @@ class Lake:
         return row.h[:16]
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Flat files named SYMBOL_timeframe.parquet, with both taken from the name; unknown timeframes are left out."""
-    raw = spark.read.parquet(path)
-    name = F.col("_metadata.file_name")
-    out = raw.withColumns({"symbol": F.regexp_extract(name, r"^(.+)_([^_]+)\.parquet$", 1), "timeframe": F.lower(F.regexp_extract(name, r"^(.+)_([^_]+)\.parquet$", 2))})
+NAME = r"([^/]+)_([^_/]+)\.parquet$"  # SYMBOL_timeframe.parquet
+
+
+def _named(path: F.Column) -> dict[str, F.Column]:
+    """Symbol and timeframe of a flat file's path; a symbol may have underscores, a timeframe has none."""
+    return {"symbol": F.regexp_extract(path, NAME, 1), "timeframe": F.lower(F.regexp_extract(path, NAME, 2))}
+
+
+def read_files(spark: SparkSession, path: str, skip_bad: bool = False) -> DataFrame:
+    """Flat files named SYMBOL_timeframe.parquet, with both taken from the name; unknown timeframes are left out.
+
+    With ``skip_bad`` files that cannot be read are passed over; :func:`file_report` tells which.
+    """
+    raw = spark.read.option("ignoreCorruptFiles", str(skip_bad).lower()).parquet(path)
+    out = raw.withColumns(_named(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))))
     return out.where(F.col("timeframe").isin(list(TIMEFRAMES))).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def file_report(spark: SparkSession, path: str) -> DataFrame:
+    """One row a flat file: symbol, timeframe, path, size, rows, first, last, scanned, error, state.
+
+    State: ``ok``, ``unknown timeframe`` or ``unnamed`` (read_files leaves both out), or ``bad``
+    (the footer cannot be read or has no ts).
+    """
+    all_ = footers(spark, path).withColumns(_named(F.col("path")))
+    named, known = F.col("symbol") != "", F.col("timeframe").isin(list(TIMEFRAMES))
+    state = F.when(F.col("error").isNotNull(), "bad").when(~named, "unnamed").when(~known, "unknown timeframe").otherwise("ok")
+    return all_.select("symbol", "timeframe", "path", "size", "rows", "first", "last", "scanned", "error", state.alias("state"))
