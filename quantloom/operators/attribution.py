@@ -79,6 +79,18 @@ def duty_cycle(exposure: DataFrame, keys: list[str], ts: str = "ts") -> DataFram
     return rel.groupBy(*keys).agg(F.avg(F.col("r") * F.col("r")).alias("duty_cycle"))
 
 
+def closed_pnl(trades: DataFrame, history: DataFrame, by: list[str], ts: str = "ts") -> DataFrame:
+    """Cumulative PnL of closed trades at each time of the history, for each value of ``by`` that trades have.
+
+    A trade counts at the history's row of its exit time; one that closes between two
+    rows is in neither, as the curve knows only the history's times.
+    """
+    sums = trades.groupBy(*by, F.col("exit_time").alias(ts)).agg(F.sum("pnl").alias("_p"))
+    spine = history.select(ts).dropna().distinct().join(trades.select(*by).dropna().distinct())  # every kind of trade at every time: the size of the result
+    rows = spine.join(sums, [*by, ts], "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+    return running_sum(rows, by, F.col("_p"), "closed_pnl", F.date_trunc("month", ts), ts).select(*by, ts, "closed_pnl")
+
+
 def main_symbol(trades: DataFrame) -> DataFrame:
     """The symbol each strategy trades most; ties to the smaller name."""
     c = trades.groupBy("strategy", "symbol").agg(F.count("*").alias("n"))

@@ -154,12 +154,14 @@ def correlation(pnl: DataFrame, by: str, day: str = "day", value: str = "pnl", k
     """Pearson correlation of every pair of series over the days both have. Long form: left, right, n, corr.
 
     The number of series is that of strategies or symbols, and pairs meet on the day.
+    Each pair is computed once and given both ways.
     """
     keys = keys or []
     a = pnl.select(*keys, day, F.col(by).alias("left"), F.col(value).alias("_a"))
     b = pnl.select(*keys, day, F.col(by).alias("right"), F.col(value).alias("_b"))
-    out = a.join(b, [*keys, day]).groupBy(*keys, "left", "right").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("corr"))
-    return out.where(F.col("n") >= MIN_CORR_ROWS)
+    half = a.join(b, [*keys, day]).where(F.col("left") <= F.col("right")).groupBy(*keys, "left", "right").agg(F.count("*").alias("n"), F.corr("_a", "_b").alias("corr"))
+    both = F.when(F.col("left") == F.col("right"), F.array(F.struct("left", "right"))).otherwise(F.array(F.struct("left", "right"), F.struct(F.col("right").alias("left"), F.col("left").alias("right"))))
+    return half.where(F.col("n") >= MIN_CORR_ROWS).select(*keys, F.explode(both).alias("_p"), "n", "corr").select(*keys, "_p.left", "_p.right", "n", "corr")
 
 
 def strategy_correlation(bar_pnl: DataFrame, horizon: str = "1d", by: str = "strategy", ts: str = "ts") -> DataFrame:

@@ -149,6 +149,45 @@ def verdict(results: list[FoldResult], min_sharpe: float = 0.3, pass_folds: int
     return ("WARNING" if n >= warn_folds and run >= warn_run else "FAIL"), notes
 
 
+def fold_measures(folds: DataFrame, by: list[str], min_sharpe: float = 0.3, pass_folds: int = 3, warn_folds: int = 2, pass_run: int = 2, warn_run: int = 1) -> DataFrame:
+    """One row a search: n_folds, good_folds, longest_run, degradation, idle_folds, expected_value, verdict.
+
+    Rows of folds: by, fold, is_sharpe, oos_sharpe, oos_pnl, oos_trades. A fold is good
+    if it earned out of sample at a Sharpe ratio of at least ``min_sharpe``. The run
+    is the longest of good folds in order; degradation is the median of 1 - out-of-sample
+    over in-sample Sharpe (1 where that is not positive); expected_value is PnL a trade over all
+    folds. PASS becomes WARNING where the median is above a half or a fold had no trades.
+    Null measures are not good and degrade by 1.
+    """
+    order = Window.partitionBy(*by).orderBy("fold")
+    good = F.coalesce((F.col("oos_pnl") > 0) & (F.col("oos_sharpe") >= min_sharpe), F.lit(False))
+    rows = folds.withColumn("_good", good)
+    # folds of a run of good ones share the number of bad ones before them
+    rows = rows.withColumn("_run", F.when(F.col("_good"), F.count_if(~F.col("_good")).over(order)))
+    rows = rows.withColumn("_len", F.when(F.col("_good"), F.count("*").over(Window.partitionBy(*by, "_run"))).otherwise(0))
+    loss = F.coalesce(F.when(F.col("is_sharpe") > 0, 1 - F.col("oos_sharpe") / F.col("is_sharpe")), F.lit(1.0))
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("n_folds"), F.count_if("_good").alias("good_folds"), F.max("_len").alias("longest_run"), F.median(loss).alias("degradation"),
+        F.count_if(F.coalesce("oos_trades", F.lit(0)) == 0).alias("idle_folds"), F.coalesce(F.try_divide(F.sum("oos_pnl"), F.sum("oos_trades")), F.lit(0.0)).alias("expected_value"),
+    )
+    enough = lambda n, run: (F.col("good_folds") >= n) & (F.col("longest_run") >= run)
+    noted = (F.col("degradation") > 0.5) | (F.col("idle_folds") > 0)
+    kind = F.when(enough(pass_folds, pass_run), F.when(noted, "WARNING").otherwise("PASS")).when(enough(warn_folds, warn_run), "WARNING").otherwise("FAIL")
+    return out.withColumn("verdict", kind)
+
+
+def consensus_table(folds: DataFrame, by: list[str], numbers: list[str], names: list[str]) -> DataFrame:
+    """One row a search: the median of each number and the most frequent of each name (ties: the smaller) over its folds that earned, over all if none did."""
+    earned = Window.partitionBy(*by)
+    rows = folds.withColumn("_ok", F.coalesce(F.col("oos_pnl") > 0, F.lit(False)))
+    rows = rows.withColumn("_any", F.max("_ok").over(earned)).where(F.col("_ok") | ~F.col("_any"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n_folds"), *[F.median(c).alias(c) for c in numbers])
+    for c in names:
+        most = rows.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count("*").alias("_n")).groupBy(*by).agg(F.min_by(c, F.struct(-F.col("_n"), F.col(c))).alias(c))
+        out = out.join(most, by, "left")
+    return out
+
+
 def consensus(results: list[FoldResult]) -> dict[str, Any]:
     """Median of numbers and most frequent of others over the folds that earned."""
     rows = [r.params for r in results if r.oos_pnl > 0] or [r.params for r in results]

@@ -73,16 +73,19 @@ def densities(trials: DataFrame, space: dict[str, Any], score: str, good_share:
     return out
 
 
-def ranked(candidates: DataFrame, trials: DataFrame, space: dict[str, Any], score: str, id_col: str, good_share: float = 0.25) -> DataFrame:
-    """candidates with ``ratio`` (the log of how much likelier the good side makes them) and ``rank``; ties go to the smaller id.
+def rated(candidates: DataFrame, trials: DataFrame, space: dict[str, Any], score: str, id_col: str, good_share: float = 0.25) -> DataFrame:
+    """candidates with ``ratio``: the log of how much likelier the good side makes them, to 9 decimal places so that equal ones tie.
 
     A parameter that a candidate has no value of, or one outside the space, adds nothing.
     """
     table = densities(trials, space, score, good_share)
     value = lambda n, spec: F.col(n).cast("string") if isinstance(spec, list) else F.when(F.col(n).between(spec[0], spec[1]), _cell(F.col(n).cast("double"), float(spec[0]), float(spec[1])).cast("string"))
     long = candidates.select(F.col(id_col).alias("_id"), F.explode(F.array(*[F.struct(F.lit(n).alias("param"), value(n, s).alias("value")) for n, s in space.items()])).alias("p"))
-    gain = long.select("_id", "p.*").join(F.broadcast(table), ["param", "value"]).groupBy("_id").agg(F.round(F.sum(F.log(F.col("good") / F.col("other"))), 12).alias("ratio"))
-    out = candidates.join(gain, candidates[id_col] == gain["_id"], "left").drop("_id").withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
-    from pyspark.sql import Window
+    gain = long.select("_id", "p.*").join(F.broadcast(table), ["param", "value"]).groupBy("_id").agg(F.round(F.sum(F.log(F.col("good") / F.col("other"))), 9).alias("ratio"))
+    out = candidates.join(gain, candidates[id_col] == gain["_id"], "left").drop("_id")
+    return out.withColumn("ratio", F.coalesce("ratio", F.lit(0.0)))
 
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("ratio"), id_col)))
+
+def best(candidates: DataFrame, trials: DataFrame, space: dict[str, Any], score: str, id_col: str, k: int, good_share: float = 0.25) -> DataFrame:
+    """The k candidates of the highest ratio, ties to the smaller id."""
+    return rated(candidates, trials, space, score, id_col, good_share).orderBy(F.desc("ratio"), id_col).limit(k)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, timing
-from ..operators import attribution, bars, carry, closure, exits, fills, indicators, joins, metrics, passage, quality, risk
+from ..operators import attribution, bars, carry, closure, exits, fills, indicators, joins, metrics, passage, quality, risk, tpe
 from ..operators.windows import series
 from ..settings import RunSettings
 from . import views
@@ -836,6 +836,66 @@ def spec_defaults(spark, d):
     return joins.fill_specs(views.table(spark, d, "customer").select("c_custkey", "c_nationkey"), dim, "c_nationkey", {"size": -1.0}).select("c_custkey", "size")
 
 
+@query(f"""WITH t AS ({TR}), h AS (SELECT day FROM ({views.EQUITY})), k AS (SELECT DISTINCT direction FROM t), p AS (SELECT direction, exit_time, sum(pnl) AS p FROM t GROUP BY 1, 2)
+SELECT k.direction, {D('h.day')}, {R('sum(coalesce(p, 0)) OVER (PARTITION BY k.direction ORDER BY h.day)', 'closed_pnl', 2)} FROM h CROSS JOIN k LEFT JOIN p ON p.direction = k.direction AND p.exit_time = h.day""")
+def closed_pnl(spark, d):
+    c = attribution.closed_pnl(views.trades(spark, d), views.history(spark, d), ["direction"])
+    return out(c.withColumn("day", F.to_date("ts")), "direction", "day", "closed_pnl", digits=2)
+
+
+FOLDS = f"""t AS ({TR}), f AS (SELECT strategy, symbol, year(entry_time) AS fold, avg(pnl) / stddev_samp(pnl) * 20 AS oos_sharpe, sum(pnl) AS oos_pnl, count(*) AS oos_trades, any_value(direction ORDER BY pnl, trade_id) AS side FROM t GROUP BY 1, 2, 3),
+x AS (SELECT *, lag(oos_sharpe) OVER (PARTITION BY strategy, symbol ORDER BY fold) AS is_sharpe FROM f)"""
+
+
+def _folds(spark: SparkSession, d: str) -> DataFrame:
+    """Years of the trades of each strategy and symbol as folds; in sample is the year before."""
+    t = views.trades(spark, d).groupBy("strategy", "symbol", F.year("entry_time").alias("fold")).agg(
+        (F.avg("pnl") / F.stddev_samp("pnl") * 20).alias("oos_sharpe"), F.sum("pnl").alias("oos_pnl"), F.count("*").alias("oos_trades"), F.min_by("direction", F.struct("pnl", "trade_id")).alias("side")
+    )
+    return t.withColumn("is_sharpe", F.lag("oos_sharpe").over(series("strategy", "symbol", ts="fold")))
+
+
+@query(f"""WITH {FOLDS}, g AS (SELECT *, coalesce(oos_pnl > 0 AND oos_sharpe >= 0.3, false) AS good, coalesce(CASE WHEN is_sharpe > 0 THEN 1 - oos_sharpe / is_sharpe END, 1.0) AS loss FROM x),
+r AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY strategy, symbol ORDER BY fold) AS run FROM g), n AS (SELECT strategy, symbol, max(c) AS longest FROM (SELECT strategy, symbol, run, count(*) FILTER (WHERE good) AS c FROM r GROUP BY 1, 2, 3) GROUP BY 1, 2),
+a AS (SELECT strategy, symbol, count(*) AS n_folds, count(*) FILTER (WHERE good) AS good_folds, median(loss) AS degradation, sum(oos_pnl) / sum(oos_trades) AS ev FROM g GROUP BY 1, 2)
+SELECT a.strategy, a.symbol, n_folds, good_folds, longest AS longest_run, {R('degradation', 'degradation')}, {R('ev', 'expected_value', 3)},
+  CASE WHEN good_folds >= 3 AND longest >= 2 THEN CASE WHEN degradation > 0.5 THEN 'WARNING' ELSE 'PASS' END WHEN good_folds >= 2 AND longest >= 1 THEN 'WARNING' ELSE 'FAIL' END AS verdict FROM a JOIN n ON n.strategy = a.strategy AND n.symbol = a.symbol""")
+def fold_verdicts(spark, d):
+    from ..operators import search
+
+    m = search.fold_measures(_folds(spark, d), ["strategy", "symbol"])
+    return out(m.withColumn("expected_value", F.round("expected_value", 3)), "strategy", "symbol", "n_folds", "good_folds", "longest_run", "degradation", "expected_value", "verdict")
+
+
+@query(f"""WITH {FOLDS}, u AS (SELECT *, oos_pnl > 0 AS ok, bool_or(oos_pnl > 0) OVER (PARTITION BY strategy, symbol) AS won FROM x), k AS (SELECT * FROM u WHERE ok OR NOT won),
+m AS (SELECT strategy, symbol, side, row_number() OVER (PARTITION BY strategy, symbol ORDER BY count(*) DESC, side) AS r FROM k GROUP BY 1, 2, 3)
+SELECT k.strategy, k.symbol, count(*) AS n_folds, {R('median(k.oos_trades)', 'oos_trades')}, any_value(m.side) AS side FROM k JOIN m ON m.strategy = k.strategy AND m.symbol = k.symbol AND m.r = 1 GROUP BY 1, 2""")
+def fold_consensus(spark, d):
+    from ..operators import search
+
+    return out(search.consensus_table(_folds(spark, d), ["strategy", "symbol"], ["oos_trades"], ["side"]), "strategy", "symbol", "n_folds", "oos_trades", "side")
+
+
+KERNEL = f"({normal('(((c.cell + 1) * w - (k.c + 0.5) * w) / h)')} - {normal('((c.cell * w - (k.c + 0.5) * w) / h)')}) / ({normal('((64 * w - (k.c + 0.5) * w) / h)')} - {normal('((0 - (k.c + 0.5) * w) / h)')})"
+
+
+@query(f"""WITH t AS (SELECT c_acctbal AS x, c_mktsegment AS s, round(-abs(c_acctbal - 4000) - 900 * (c_nationkey % 4), 1) AS score FROM customer), e AS (SELECT quantile_disc(score, 0.2 ORDER BY score DESC) AS e FROM t),
+g AS (SELECT t.*, score >= e AS good, CAST(greatest(0, least(63, floor((x + 1000) / 11000 * 64))) AS INTEGER) AS c FROM t, e), k AS (SELECT good, c, count(*) AS n FROM g WHERE x BETWEEN -1000 AND 10000 GROUP BY 1, 2), n AS (SELECT good, sum(n) AS n FROM k GROUP BY 1),
+c AS (SELECT CAST(unnest(generate_series(0, 63)) AS INTEGER) AS cell), p AS (SELECT c.cell, k.good, (sum(k.n * {KERNEL}) + 1.0 / 64) / (any_value(n.n) + 1) AS p FROM c CROSS JOIN (SELECT k.*, 11000.0 / 64 AS w, 11000.0 / 5 / pow(n.n, 0.2) AS h FROM k JOIN n ON n.good = k.good) k JOIN n ON n.good = k.good GROUP BY 1, 2),
+o AS (SELECT good, s, count(*) AS n FROM g GROUP BY 1, 2), q AS (SELECT v.s, b.good, (coalesce(o.n, 0) + 1.0) / ((SELECT sum(n) FROM o z WHERE z.good = b.good AND z.s <> 'FURNITURE') + 4) AS p
+  FROM (SELECT unnest(['AUTOMOBILE', 'BUILDING', 'HOUSEHOLD', 'MACHINERY']) AS s) v CROSS JOIN (SELECT unnest([true, false]) AS good) b LEFT JOIN o ON o.s = v.s AND o.good = b.good)
+SELECT s_suppkey, {R("ln(a.p / b.p) + coalesce(ln(u.p / v.p), 0)", 'ratio', 5)} FROM (SELECT s_suppkey, CAST(greatest(0, least(63, floor((s_acctbal + 1000) / 11000 * 64))) AS INTEGER) AS c, ['AUTOMOBILE', 'BUILDING', 'HOUSEHOLD', 'MACHINERY', 'FURNITURE'][1 + s_nationkey % 5] AS s FROM supplier) z
+JOIN p a ON a.cell = z.c AND a.good JOIN p b ON b.cell = z.c AND NOT b.good LEFT JOIN q u ON u.s = z.s AND u.good LEFT JOIN q v ON v.s = z.s AND NOT v.good""")
+def sampler_ratios(spark, d):
+    """Suppliers as candidates of a search whose trials are the customers: a balance and a segment are the parameters."""
+    bal, nation = F.col("c_acctbal"), F.col("c_nationkey")
+    trials = views.table(spark, d, "customer").select(bal.alias("x"), F.col("c_mktsegment").alias("s"), F.round(-F.abs(bal - 4000) - 900 * (nation % 4), 1).alias("score"))
+    names = F.array(*[F.lit(x) for x in ("AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY", "FURNITURE")])
+    cand = views.table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").alias("x"), names[(F.col("s_nationkey") % 5).cast("int")].alias("s"))
+    r = tpe.rated(cand, trials, {"x": (-1000, 10000), "s": ["AUTOMOBILE", "BUILDING", "HOUSEHOLD", "MACHINERY"]}, "score", "s_suppkey", 0.2)
+    return out(r, "s_suppkey", "ratio", digits=5)
+
+
 # simulation and search: sequential, so no SQL; the tests hold them against plain versions
 
 

@@ -70,16 +70,17 @@ def test_densities_equal_a_plain_version_and_rank_candidates(spark):
         assert got["x", str(k)] == (pytest.approx(want[k, True], rel=1e-9), pytest.approx(want[k, False], rel=1e-9))
     assert sum(g for (p, _), (g, _) in got.items() if p == "x") == pytest.approx(1) == sum(o for (p, _), (_, o) in got.items() if p == "c")
     cand = spark.createDataFrame([(1, 7.0, "q"), (2, 7.0, "q"), (3, 1.0, "p"), (4, None, None), (5, 99.0, "z"), (6, 7.0, "r")], "id int, x double, c string")
-    r = {x.id: x for x in tpe.ranked(cand, trials, space, "score", "id", 0.2).collect()}
-    assert r[1].rank == 1 and r[2].rank == 2 and r[3].rank == 6 and r[4].ratio == r[5].ratio == 0.0 and r[4].rank < r[5].rank
+    r = {x.id: x for x in tpe.rated(cand, trials, space, "score", "id", 0.2).collect()}
+    assert r[1].ratio == r[2].ratio > r[6].ratio and r[3].ratio < 0 and r[4].ratio == r[5].ratio == 0.0
+    assert [x.id for x in tpe.best(cand, trials, space, "score", "id", 2, 0.2).collect()] == [1, 2]
     a, b = got["x", str(int(0.7 * tpe.CELLS))], got["c", "q"]
-    assert r[1].ratio == pytest.approx(math.log(a[0] / a[1] * b[0] / b[1]))
+    assert r[1].ratio == pytest.approx(math.log(a[0] / a[1] * b[0] / b[1]), abs=1e-8)
 
 
 def test_no_trials_make_all_candidates_alike(spark):
     trials = spark.createDataFrame([], "x double, score double")
-    r = tpe.ranked(spark.createDataFrame([(2, 1.0), (1, 5.0)], "id int, x double"), trials, {"x": (0, 10)}, "score", "id").collect()
-    assert [(x.id, x.ratio) for x in sorted(r, key=lambda x: x.rank)] == [(1, 0.0), (2, 0.0)]
+    r = tpe.best(spark.createDataFrame([(2, 1.0), (1, 5.0)], "id int, x double"), trials, {"x": (0, 10)}, "score", "id", 5).collect()
+    assert [(x.id, x.ratio) for x in r] == [(1, 0.0), (2, 0.0)]
 
 
 # history in steps

@@ -253,3 +253,30 @@ def test_pages_and_downsampling(spark):
     assert [r.ts for r in exits.page(df, [F.col("ts")], 99).collect()] == list(range(50, 60))
     got = [r.ts for r in exits.downsample(df, ["k"], 10).orderBy("ts").collect()]
     assert got == [0, 6, 12, 18, 24, 30, 36, 42, 48, 54, 59]
+
+
+def test_fold_measures_equal_the_verdict_of_each_search(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for k in range(40):
+        folds = [(float(rng.normal(0.6, 0.5)), float(rng.normal(0.4, 0.4)), float(rng.normal(3, 4)), int(rng.integers(0, 6)), int(rng.integers(1, 4)), "ab"[int(rng.integers(2))]) for _ in range(5)]
+        rows += [(f"s{k}", i, *f) for i, f in enumerate(folds)]
+        res = [search.FoldResult(i, {"n": f[4], "m": f[5]}, 0, 0, f[0], f[1], f[2], f[3], 0, 0) for i, f in enumerate(folds)]
+        good = [f[2] > 0 and f[1] >= 0.3 for f in folds]
+        want[f"s{k}"] = (search.verdict(res)[0], search.streak(good), sum(good), float(np.median([r.degradation for r in res])), sum(f[2] for f in folds) / max(1, sum(f[3] for f in folds)), search.consensus(res))
+    df = frame(spark, rows[::-1], "search string, fold int, is_sharpe double, oos_sharpe double, oos_pnl double, oos_trades int, n int, m string")
+    got = {r.search: r for r in search.fold_measures(df, ["search"]).collect()}
+    assert {k: (r.verdict, r.longest_run, r.good_folds) for k, r in got.items()} == {k: w[:3] for k, w in want.items()} and len({w[0] for w in want.values()}) == 3
+    assert all(r.degradation == pytest.approx(want[k][3]) and r.expected_value == pytest.approx(want[k][4]) for k, r in got.items() if r.expected_value)
+    medians = {r.search: r for r in search.consensus_table(df, ["search"], ["n"], ["m"]).collect()}
+    used = {k: [r for r in rows if r[0] == k and r[4] > 0] or [r for r in rows if r[0] == k] for k in want}
+    for k, r in medians.items():
+        names = [x[7] for x in used[k]]
+        assert r.n == float(np.median([x[6] for x in used[k]])) and r.m == min(sorted(set(names)), key=lambda v: -names.count(v))
+
+
+def test_closed_pnl_counts_at_the_times_of_the_history(spark):
+    h = frame(spark, [(T0 + timedelta(days=d),) for d in (0, 1, 2, 40)], "ts timestamp_ntz")
+    t = frame(spark, [("LONG", T0 + timedelta(days=1), 5.0), ("LONG", T0 + timedelta(days=1, hours=1), 100.0), ("SHORT", T0, -1.0), ("LONG", T0 + timedelta(days=40), 2.0), ("LONG", T0 + timedelta(days=1), None)], "direction string, exit_time timestamp_ntz, pnl double")
+    got = {(r.direction, (r.ts - T0).days): r.closed_pnl for r in attribution.closed_pnl(t, h, ["direction"]).collect()}
+    assert got == {("LONG", 0): 0.0, ("LONG", 1): 5.0, ("LONG", 2): 5.0, ("LONG", 40): 7.0, ("SHORT", 0): -1.0, ("SHORT", 1): -1.0, ("SHORT", 2): -1.0, ("SHORT", 40): -1.0}
