@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..settings import TIMEFRAMES
 
+# Limits that results must agree with.
 MAX_GAP_MINUTES = {"1m": 30, "5m": 30, "30m": 180, "1h": 180}
 MAX_JUMP = {"1m": 0.05, "5m": 0.05, "30m": 0.08, "1h": 0.08}
 LEAST_SCORE = 0.95

@@ -24,6 +24,7 @@ ORDER_TYPES = ("MARKET", "LIMIT", "STOP", "STOP_LIMIT")
 SPREAD_SHARE = {"MARKET": 1.0, "STOP": 1.0, "LIMIT": 0.0, "STOP_LIMIT": 0.0}
 
 
+# The names and defaults of a run's public settings.
 @dataclass(frozen=True)
 class RunSettings:
     symbol: str = "ES"

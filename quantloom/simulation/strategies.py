@@ -87,6 +87,7 @@ class Bracketed(Strategy):
         return [Order("BUY" if long else "SELL", s.fixed_qty, reason=reason)]
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class SmaPullbackConfig:
     fast_sma_window: int = 50
@@ -125,6 +126,7 @@ class SmaPullback(Bracketed):
         return self.enter(long, row["close"] - sign * d, row["close"] + sign * d * self.cfg.rr_ratio, "PULLBACK_LONG" if long else "PULLBACK_SHORT", s)
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class ChannelConfig(Shock):
     length: int = 50
@@ -161,6 +163,7 @@ class ChannelBreakout(Strategy):
         return one("BUY", up, "CHBRK_LONG_ENTRY") if long else one("SELL", down, "CHBRK_SHORT_ENTRY") if short else []
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class ThreeBarConfig(Shock):
     regime_window: int = 50
@@ -284,6 +287,7 @@ class Breakout(Strategy):
         return [Order("BUY" if long else "SELL", s.fixed_qty, "STOP", f"{self.tag}_{side.upper()}_ENTRY", stop=at, tif="IOC")]
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class SqueezeConfig(Shock):
     bb_window: int = 20
@@ -315,6 +319,7 @@ class BollingerSqueeze(Breakout):
         return cls.breakout(rows, c, "bb_ratio", "bb_upper", "bb_lower", c.squeeze_lookback, c.squeeze_quantile, c.squeeze_memory, c.atr_window, s)
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class TighteningConfig(Shock):
     kc_ema_window: int = 20
@@ -347,6 +352,7 @@ class KeltnerTightening(Breakout):
         return cls.breakout(rows, c, "kc_ratio", "kc_upper", "kc_lower", c.tightening_lookback, c.tightening_quantile, c.tightening_memory, c.risk_atr_window, s)
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class FractalConfig(Shock):
     penetration_ticks: float = 2.0
@@ -384,7 +390,7 @@ class FractalPivot(Bracketed):
             rows = ind.stretch(rows, c.stretch_baseline_window, c.stretch_atr_window, c.stretch_max_long_atr, c.stretch_max_short_atr)
         else:
             rows = rows.withColumns({"long_ok": F.lit(True), "short_ok": F.lit(True)})
-        ibs = (F.col("close") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))
+        ibs = (F.col("close") - F.col("low")) / F.greatest(F.col("high") - F.col("low"), F.lit(1e-5))
         lo, hi, inside = F.col("fractal_low"), F.col("fractal_high"), hour_mask(F.col("ts"), c.start_hour, c.end_hour, c.enable_time_filter)
         buy = inside & (F.col("low") < lo) & (F.col("close") > lo) & (F.col("open") > lo) & (ibs > c.ibs_buy_threshold) & (lo - F.col("low") >= depth)
         sell = inside & (F.col("high") > hi) & (F.col("close") < hi) & (F.col("open") < hi) & (ibs < c.ibs_sell_threshold) & (F.col("high") - hi >= depth)
@@ -404,6 +410,7 @@ class FractalPivot(Bracketed):
         return self.enter(long, row["close"] - sign * a * self.cfg.atr_mult_sl, row["close"] + sign * a * self.cfg.atr_mult_tp, "RFP_LONG" if long else "RFP_SHORT", s)
 
 
+# Names and defaults of the strategy's public parameters.
 @dataclass(frozen=True)
 class OrderBlockConfig:
     ob_impulse_atr_mult: float = 0.75
