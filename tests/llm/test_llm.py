@@ -139,7 +139,7 @@ def test_ring_moves_little_when_a_shard_is_added(spark):
     d = docs(spark, [(i, "x") for i in range(4000)])
     a = {r.doc_id: r.shard for r in ring.assign(d, 10).collect()}
     b = {r.doc_id: r.shard for r in ring.assign(d, 11).collect()}
-    assert sum(a[i] != b[i] for i in a) / 4000 < 0.3  # 1 / 11 must move; dealing anew would move 10 / 11
+    assert sum(a[i] != b[i] for i in a) / 4000 < 0.15  # 1 / 11 must move; dealing anew would move 10 / 11
 
 
 # 2
