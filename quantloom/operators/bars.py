@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import recurrence, running_sum, series
+from .windows import in_utc, recurrence, running_sum, series
 
 BAR_TYPES = ("time", "heikin_ashi", "volume", "range")
 
@@ -82,7 +82,7 @@ def range_bars(bars: DataFrame, ticks: float, tick_size: float = 1.0, keys: tupl
     width = ticks * tick_size
 
     def one(t: pa.Table) -> pa.Table:
-        t = t.sort_by("ts")
+        t = in_utc(t).sort_by("ts")
         ts, cols = t["ts"].to_pylist(), [t[c].to_numpy() for c in ("open", "high", "low", "close", "volume")]
         out, at, high, low, vol = [], None, None, None, 0.0
         for i, (o, h, lo, c, v) in enumerate(zip(*cols)):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .indicators import volatility_rank
 from .joins import asof_backward, range_join
-from .windows import percent_rank_in_frame, rolling, series
 
 HORIZONS = (5, 15, 30, 60, 120, 240, 480, 720, 1440)
 
@@ -47,9 +47,7 @@ def forward_pnl(trades: DataFrame, bars: DataFrame, by: list[str], horizons: tup
 
 def entry_volatility(trades: DataFrame, bars: DataFrame, by: list[str], n: int = 50, history: int = 500) -> DataFrame:
     """Adds entry_volatility: rank of the rolling deviation of closes in its history, at the last bar up to the entry."""
-    w = series(*by)
-    rows = bars.withColumn("_sd", rolling(F.stddev_samp, F.col("close"), w, n, n // 2))
-    rows = rows.withColumn("entry_volatility", percent_rank_in_frame(F.col("_sd"), w, history, history // 2))
+    rows = volatility_rank(bars, n, history, "entry_volatility", 0, by)
     return asof_backward(trades, rows.select(*by, "ts", "entry_volatility"), by, ["entry_volatility"], "entry_time", "ts")
 
 

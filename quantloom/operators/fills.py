@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.stats import trunc
 from ..settings import SPREAD_SHARE, RunSettings
 from .carry import running_total
-from .windows import rolling, series
+from .frames import overlapped
+from .windows import rolling
 
 SEQ_CHUNK = 1 << 16  # fills of a chunk of a running total
 
@@ -51,12 +52,12 @@ def spread_ticks(bars: DataFrame, s: RunSettings, keys: tuple[str, ...] = ("symb
     """Adds ``spread_ticks`` from closes before the bar: steps = trunc((short vol - base vol) / base vol / step), ticks = round(base * mult ** steps)."""
     if s.spread_mode == "static":
         return bars.withColumn("spread_ticks", F.lit(max(0, s.spread_ticks)))
-    w = series(*keys)
-    ret = F.log(F.try_divide(F.col(close), F.lag(close).over(w)))
-    rows = bars.withColumn("_r", ret)
-    short = rolling(F.stddev_samp, F.col("_r"), w, s.spread_lookback, shift=1)
-    base = rolling(F.stddev_samp, F.col("_r"), w, s.spread_baseline, 2, shift=1)
-    rows = rows.withColumns({"_s": short, "_b": base})
+
+    def add(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        rows = rows.withColumn("_r", F.log(F.try_divide(F.col(close), F.lag(close).over(w))))
+        return rows.withColumns({"_s": rolling(F.stddev_samp, F.col("_r"), w, s.spread_lookback, shift=1), "_b": rolling(F.stddev_samp, F.col("_r"), w, s.spread_baseline, 2, shift=1)})
+
+    rows = overlapped(bars, list(keys), max(s.spread_lookback, s.spread_baseline) + 2, add)
     steps = trunc(F.try_divide(F.col("_s") - F.col("_b"), F.col("_b")) / max(s.spread_step, 1e-12))
     ticks = F.greatest(F.lit(0.0), F.bround(s.spread_ticks * F.pow(F.lit(s.spread_step_multiplier), steps)))
     ok = (F.col("_s") > 0) & (F.col("_b") > 0) & (F.lit(s.spread_step) > 0)

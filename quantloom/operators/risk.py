@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bars import resample_sum
-from .windows import quantile, rolling
+from .carry import CHUNK
+from .frames import order_statistics, overlapped
+from .windows import rolling
 
 ANNUAL = 252.0
 FLAT = 1e-8
@@ -59,26 +61,17 @@ def dist_stats(daily: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame
     return a.join(v, keys)
 
 
-def _at_most(name: str):
-    return lambda v: v <= F.col(name)
-
-
 def rolling_var_es(daily: DataFrame, keys: list[str], n: int, primary: float = 0.95, tail: float = 0.99) -> DataFrame:
     """Rolling VaR and ES of daily PnL and whether the day broke the VaR."""
-    w = Window.partitionBy(*keys).orderBy("day")
     m = min(n, max(n // 2, 5))
-    frame = w.rowsBetween(-(n - 1), 0)
-    rows = daily.where("pnl is not null")
-    out = rows.withColumn("_all", F.collect_list("pnl").over(frame))
-    for name, c in (("primary", primary), ("tail", tail)):
-        q = rolling(quantile(1 - c), F.col("pnl"), w, n, m)
-        out = out.withColumn(f"_q_{name}", q)
-        low = F.filter("_all", _at_most(f"_q_{name}"))
-        mean = F.aggregate(low, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(low), F.lit(0))
-        out = out.withColumns({f"var_{name}": F.greatest(F.lit(0.0), -F.col(f"_q_{name}")), f"es_{name}": F.when(F.col(f"_q_{name}").isNotNull(), F.greatest(F.lit(0.0), -mean))})
-        out = out.withColumn(f"var_{name}", F.when(F.col(f"_q_{name}").isNotNull(), F.col(f"var_{name}")))
+    levels = {"_q_primary": 1 - primary, "_q_tail": 1 - tail}
+    means = {"_m_primary": "_q_primary", "_m_tail": "_q_tail"}
+    out = overlapped(daily.where("pnl is not null"), keys, n, lambda rows, w: order_statistics(rows, [*keys, CHUNK], "pnl", n, m, "day", levels, means), "day")
+    for name in ("primary", "tail"):
+        loss = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), -F.col(c)))
+        out = out.withColumns({f"var_{name}": loss(f"_q_{name}"), f"es_{name}": loss(f"_m_{name}")})
         out = out.withColumn(f"breach_{name}", F.coalesce((F.col("pnl") <= -F.col(f"var_{name}")), F.lit(False)))
-    return out.drop("_all", "_q_primary", "_q_tail")
+    return out.drop(*levels, *means)
 
 
 def rolling_volatility(daily: DataFrame, keys: list[str], windows: tuple[int, ...]) -> DataFrame:

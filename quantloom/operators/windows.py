@@ -39,16 +39,6 @@ def rolling2(agg: Callable[[Column, Column], Column], x: Column, y: Column, w: W
     return F.when(F.count(x2).over(frame) >= (n if min_periods is None else min_periods), agg(x2, y2).over(frame))
 
 
-def percent_rank_in_frame(x: Column, w: WindowSpec, n: int, min_periods: int | None = None) -> Column:
-    """Rank of the last value among the frame's values, ties averaged, as a share."""
-    frame = w.rowsBetween(-(n - 1), 0)
-    values = F.collect_list(x).over(frame)
-    less = F.size(F.filter(values, lambda v: v < x))
-    same = F.size(F.filter(values, lambda v: v == x))
-    m = n if min_periods is None else min_periods
-    return F.when(x.isNotNull() & (F.size(values) >= m), (less + (same + 1) / 2) / F.size(values))
-
-
 def quantile(q: float) -> Callable[[Column], Column]:
     """Exact quantile with linear interpolation."""
     return lambda x: F.percentile(x, q)
@@ -70,6 +60,11 @@ def widened(df: DataFrame, **columns: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *more.fields])
 
 
+def in_utc(t: pa.Table) -> pa.Table:
+    """t with its times named in UTC: tasks are handed them in the session's zone, and Spark takes them back in UTC only."""
+    return t.cast(pa.schema([f.with_type(pa.timestamp("us", "UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in t.schema]))
+
+
 def recurrence(df: DataFrame, keys: list[str], value: Column, name: str, decay: float, chunk: Column, gain: float | None = None, ts: str = "ts") -> DataFrame:
     """Adds y with y[t] = decay * y[t-1] + gain * x[t], y[0] = x[0], null values passed over.
 
@@ -106,7 +101,7 @@ def recurrence(df: DataFrame, keys: list[str], value: Column, name: str, decay:
                 s, seeded = first * (1 - gain) / decay if decay else 0.0, True
             out.append(s)
             s = base**i * (s + total)
-        return t.select([*keys, CHUNK, "_block"]).append_column("_in", pa.array(out, pa.float64())).append_column("_begins", pa.array(begins))
+        return in_utc(t.select([*keys, CHUNK, "_block"])).append_column("_in", pa.array(out, pa.float64())).append_column("_begins", pa.array(begins))
 
     given = ends.groupBy(*keys).applyInArrow(chain, widened(ends.select(*keys, CHUNK, "_block"), _in="double", _begins="boolean"))
     given = given.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(F.struct("_block", "_in", "_begins"))).alias("_given"))
