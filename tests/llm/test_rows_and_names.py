@@ -39,3 +39,16 @@ def test_warc_files_of_one_task(spark, tmp_path, monkeypatch):
     assert len(paths[0]) == len(paths[1]) == 6 and not paths[0] & paths[1]
     for files in (first, second):
         assert sorted(r.page_id for r in warc.read(files).collect()) == list(range(6))
+
+
+def test_rules_without_any_good_label(spark):
+    """Nothing tells a score apart then: only the base rules reject."""
+    from quantloom.llm import quality_rules
+
+    long = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, long), (2, "too short"), (3, None)], "doc_id long, text string")
+    for labels in ([], [(1, 0), (2, 0)]):
+        known = spark.createDataFrame(labels, "doc_id long, quality int")
+        assert [r.doc_id for r in quality_rules.keep_good(docs, known).collect()] == [1]
+        judged = quality_rules.judge(docs, quality_rules.fit(docs, known))
+        assert sorted((r.doc_id, r.kept) for r in judged.collect()) == [(1, True), (2, False), (3, False)]
