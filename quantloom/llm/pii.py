@@ -91,6 +91,13 @@ _SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{16,}+")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])")
 _NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){7,}+")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ ?(?:\(at\)|\[at\]|(?<= )at ) ?[A-Za-z0-9-]++(?: ?(?:\(dot\)|\[dot\]|(?<= )dot ) ?[A-Za-z0-9-]++)+")
+#: A value with a digit behind a word for passwords, in a few languages.
+_SHORT = re.compile(
+    r"(?i)(?<![a-z])(?:pass(?:word|wort|wd|code|phrase)?|pwd|pin|kennwort|wachtwoord|senha|secret)(?:[\"']?\s?[:=]\s?|\sis\s|\sist\s)[\"']?((?=[^\s\"'<>,;]{0,63}[0-9])[^\s\"'<>,;]{3,63}[^\s\"'<>,;.)])"
+)
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Numbers with a trunk zero, as written in many countries.
+_NATIONAL = re.compile(r"(?<![0-9+(./-])\(?0[0-9]{1,4}\)?[ ./-]{1,3}[0-9]{2,8}(?:[ ./-][0-9]{2,5}){0,4}(?![0-9])")
 _LONG = re.compile(rb"[A-Za-z0-9_+/=-]{16}")  # in every text with a secret
 
 
@@ -100,27 +107,36 @@ def candidates(s: str) -> list[tuple[int, int, str]]:
     for a, b, _ in out[:]:  # NAME=token is one run of token characters
         if (k := s.rfind("=", a, b - 16)) >= a:
             out.append((k + 1, b, "secret"))
-    for kind, pattern in (("local_phone", _LOCAL_PHONE), ("number", _NUMBER)):
+    out += [(*m.span(1), "secret") for m in _SHORT.finditer(s) if m.end(1) - m.start(1) < 16]
+    for kind, pattern in (("local_phone", _LOCAL_PHONE), ("local_phone", _NATIONAL), ("number", _NUMBER), ("number", _IBAN)):
         out += [(*m.span(), kind) for m in pattern.finditer(s)]
+    out = list(dict.fromkeys(out))  # two patterns may find one span
     if " dot " in s or "dot)" in s or "dot]" in s:
         out += [(*m.span(), "spelled_email") for m in _SPELLED.finditer(s)]
     return out
 
 
 _HINTS = {
-    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "api", "bearer", "auth", "credential"),
+    "secret": ("token", "key", "secret", "password", "passwd", "pwd", "api", "bearer", "auth", "credential", "passwort", "kennwort", "passcode", "passphrase", "pin"),
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "cell", "telefon", "ring"),
-    "number": ("ssn", "account", "iban", "passport", "social", "tax", "licence", "license", "id", "konto", "card", "insurance"),
+    "number": ("ssn", "account", "iban", "bic", "passport", "social", "tax", "licence", "license", "id", "konto", "card", "insurance"),
     "spelled_email": ("mail", "email", "contact", "write", "reach"),
 }
 #: Context words of examples that no feature looks for.
 _CUES = {
-    "secret": ("session", "cookie", "signature", "private", "login", "hash", "client"),
+    "secret": ("session", "cookie", "signature", "private", "login", "client"),
     "local_phone": ("dial", "hotline", "reach me on", "whatsapp", "office", "home"),
     "number": ("policy", "member", "taxpayer", "customer", "patient", "employee"),
     "spelled_email": ("ping", "address", "send to", "or", "questions to"),
 }
-_COUNTER = ("page", "pages", "vol", "version", "isbn", "order", "build", "commit", "year", "population", "section", "figure", "table", "row", "revision")
+_COUNTER = ("page", "pages", "vol", "version", "isbn", "order", "build", "commit", "year", "population", "section", "figure", "table", "row", "revision", "sha", "md", "digest", "checksum", "hash", "fingerprint", "uuid", "etag", "object", "blob")
+_SHORT_CUES = (("password", "passwort", "pwd", "passcode", "pass"), ("wachtwoord", "senha"))  # known to features, and not
+
+
+def _iban(x: str) -> bool:
+    """The check digits of an account number with letters (ISO 7064, mod 97-10)."""
+    x = x.replace(" ", "").upper()
+    return bool(re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]{8,31}", x)) and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1
 
 
 def describe(s: str, a: int, b: int, kind: str) -> list[float]:
@@ -141,6 +157,8 @@ def describe(s: str, a: int, b: int, kind: str) -> list[float]:
         float(s[b : b + 1] in ('"', "'")), float(bool(digits) and luhn(_digits(x))), float("(" in x), float(x.count("-")), float(sum(1 for g in re.split("[^0-9]+", x) if g)),
         float(bool(re.fullmatch("(19|20)[0-9]{2}[ -][0-9]{2,4}[ -]?[0-9]{2,4}", x))), float(bool(re.fullmatch("[0-9]{3}-[0-9]{2}-[0-9]{4}", x))),
         float(sum(x[i].isdigit() != x[i + 1].isdigit() for i in range(n - 1))), float(max((len(g) for g in re.split("[^a-z]+", x)), default=0)),
+        float(_iban(x)), float(s[a - 1 : a].isalnum() if a else False), float(bool(re.match("[ ./-]?[A-Za-z]?[0-9]", s[b : b + 3]))), float(any(w in _COUNTER for w in re.findall("[a-z]+", s[b : b + 20].lower())[:2])),
+        float(x[:1] == "0" or x[:2] == "(0"), float(bool(re.fullmatch("[0-9]{1,2}[./-][0-9]{1,2}[./-](?:[0-9]{2}|[0-9]{4})", x))),
     ]
 
 
@@ -192,7 +210,7 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, train: np.ndarray, rounds: int = 40, depth: int = 3, precision: float = 0.99) -> "Boosted":
+    def fit(cls, x: np.ndarray, y: np.ndarray, kinds: np.ndarray, train: np.ndarray, rounds: int = 60, depth: int = 3, precision: float = 0.99) -> "Boosted":
         """Rows of ``train`` grow the trees; the others set, for each kind, the least cut with that precision and every cut above it."""
         odd = train
         p = float(np.clip(y[odd].mean(), 0.01, 0.99))
@@ -223,16 +241,34 @@ def _examples(seed: int, n: int, known: float = 0.5) -> Iterator[tuple[str, list
     digit, hexa, mixed = "0123456789", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     word = lambda: chars("etaoinshrdlucmfwypvbgk", rng.randrange(2, 11))
 
+    def national() -> str:
+        gap = pick(("/", " / ", "-", ".", " "))
+        inner = pick((" ", "-", ".", ""))
+        return f"0{chars(digit, rng.randrange(2, 5))}{gap}{chars('23456789', 1)}{chars(digit, 2)}{inner}{chars(digit, rng.randrange(3, 5))}"
+
+    def iban() -> str:
+        land = chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2)
+        body = pick(("", "", chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 4))) + chars(digit, rng.randrange(10, 19))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + land + "00")) % 97
+        x = f"{land}{check:02d}{body}"
+        return " ".join(x[i : i + 4] for i in range(0, len(x), 4)) if rng.random() < 0.6 else x
+
     def positive() -> tuple[str, str, str]:
         kind = pick(MORE)
         hint = pick((_HINTS if rng.random() < known else _CUES)[kind]) + pick((" = ", ": ", " ", "=")) if rng.random() < 0.85 else ""
+        if kind == "secret" and rng.random() < 0.3:
+            q = pick(('"', "'", "", ""))
+            value = pick((word() + chars(digit, rng.randrange(1, 5)), word().capitalize() + chars(digit, rng.randrange(2, 5)) + pick(("", "!", "?", "#")), chars(mixed, 8) + chars(digit, 1)))
+            return pick(_SHORT_CUES[rng.random() >= known]) + pick((": ", "=", " = ", " is ")) + q, value, q
         if kind == "secret":
             q = pick(('"', "'", ""))
+            if not hint:  # digests alone are nobody's secret
+                return q, chars(mixed, rng.randrange(20, 64)), q
             return hint + q, pick((chars(hexa, 40), chars(hexa, 32), chars(hexa, 64), chars(mixed, rng.randrange(20, 64)))), q
         if kind == "local_phone":
-            return hint, pick((f"({chars(digit, 3)}) {chars(digit, 3)}-{chars(digit, 4)}", f"{chars(digit, 3)}-{chars(digit, 3)}-{chars(digit, 4)}", f"{chars(digit, 3)} {chars(digit, 3)} {chars(digit, 4)}")), ""
+            return hint, pick((f"({chars(digit, 3)}) {chars(digit, 3)}-{chars(digit, 4)}", f"{chars(digit, 3)}-{chars(digit, 3)}-{chars(digit, 4)}", f"{chars(digit, 3)} {chars(digit, 3)} {chars(digit, 4)}", national())), ""
         if kind == "number":
-            return hint or "account ", pick((f"{chars(digit, 3)}-{chars(digit, 2)}-{chars(digit, 4)}", chars(digit, rng.randrange(9, 20)))), ""
+            return hint or "account ", pick((f"{chars(digit, 3)}-{chars(digit, 2)}-{chars(digit, 4)}", chars(digit, rng.randrange(9, 20)), chars(digit, rng.randrange(9, 14)), iban())), ""
         return hint, f"{word()}{pick((' at ', ' (at) ', '[at]'))}{word()}{pick((' dot ', ' (dot) ', '[dot]'))}{pick(('com', 'org', 'net', 'de'))}", ""
 
     def negative() -> str:
@@ -243,7 +279,9 @@ def _examples(seed: int, n: int, known: float = 0.5) -> Iterator[tuple[str, list
                 f"{chars('19', 1)}9{chars(digit, 2)} - 20{chars(digit, 2)}", f"{word()} at {word()}", word() + "-" + word() + "-" + word() + "-" + chars(digit, 2), f"isbn 978-{chars(digit, 10)}",
                 word() + word() + chars(digit, 2), "_".join(word() for _ in range(4)) + chars(digit, 1), f"population {chars(digit, 8)}", f"{chars(digit, 2)} 000 000 {word()}", f"order {chars(digit, 9)}",
                 "/" + "/".join(word() for _ in range(4)) + "/" + chars(digit, 4), f"{chars(digit, 8)} {word()}", f"table {chars(digit, 3)} {chars(digit, 3)} {chars(digit, 4)}",
-                f"{word()} at {word()} dot dot dot", " ".join(chars(digit, 4) for _ in range(rng.randrange(3, 7))), " ".join(chars(digit, 1) + "000" for _ in range(rng.randrange(2, 6))),
+                f"{pick(_COUNTER[-10:])}{pick(('', '256', '5', '1'))}{pick((' ', ': ', '=', ' = '))}{chars(hexa, pick((32, 40, 64)))}", f"{chars(hexa, pick((32, 40, 64)))} {pick(_COUNTER[-10:])}", chars(hexa, pick((32, 40, 64))),
+                f"0{chars(digit, 1)}{(sep := pick('/.-'))}{chars('01', 1)}{chars(digit, 1)}{sep}{pick(('19', '20', ''))}{chars(digit, 2)}", f"{pick(_SHORT_CUES[0] + _SHORT_CUES[1])}{pick((': ', ' is ', '='))}{word()}", f"0{chars(digit, 1)}-{chars(digit, 2)} {word()}",
+                f"{word()} at {word()} dot dot dot", f"{word()} {word()} at {word()} dot dot {word()}", " ".join(chars(digit, 4) for _ in range(rng.randrange(3, 7))), " ".join(chars(digit, 1) + "000" for _ in range(rng.randrange(2, 6))),
             )
         )
 
@@ -265,7 +303,7 @@ def _examples(seed: int, n: int, known: float = 0.5) -> Iterator[tuple[str, list
 
 
 @lru_cache(maxsize=1)
-def model(seed: int = 11, n: int = 1500) -> Boosted:
+def model(seed: int = 11, n: int = 2000) -> Boosted:
     """The trees, fitted on generated examples; the same on every machine."""
     x, y, kinds, train = [], [], [], []
     for fits, known in ((True, 0.5), (False, 0.0)):
