@@ -103,7 +103,8 @@ _LONG = re.compile(rb"[A-Za-z0-9_+/=-]{16}")  # in every text with a secret
 
 def candidates(s: str) -> list[tuple[int, int, str]]:
     """Overlapping spans of the four further kinds."""
-    out = [(*m.span(), "secret") for m in _SECRET.finditer(s) if re.search("[A-Za-z]", m.group())]
+    # capitals alone are a long word in a line of capitals
+    out = [(*m.span(), "secret") for m in _SECRET.finditer(s) if re.search("[A-Za-z]", x := m.group()) and not re.fullmatch("[A-Z]+", x)]
     for a, b, _ in out[:]:  # NAME=token is one run of token characters
         if (k := s.rfind("=", a, b - 16)) >= a:
             out.append((k + 1, b, "secret"))

@@ -78,3 +78,7 @@ def test_short_values_and_numbers_with_letters_are_candidates():
     long = "a" * 100_000
     assert pii.candidates(f"password: {long}1") == [(10, 100_011, "secret")]
     assert len(pii.candidates("0" * 50_000 + " " + "DE89 " * 10_000)) > 0
+
+
+def test_a_long_word_in_capitals_is_clean():
+    assert pii.candidates("DER DONAUDAMPFSCHIFFFAHRT MIT") == [] and pii.more_spans("EIN ERSCHSCHBERBERTZ MIT", [], pii.model()) == []
