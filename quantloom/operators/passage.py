@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 RADIX = 16
+SENT = 1 << 17  # rows of a tree of blocks that is sent to all tasks; a larger one is dealt by cells
 
 
 def grid(ts: Column, step: int) -> Column:
@@ -73,28 +74,41 @@ def first_touch(spans: DataFrame, bars: DataFrame, by: list[str], id_col: str, s
     levels = 1
     while RADIX**levels < most:
         levels += 1
+    size = RADIX**levels  # points of a cell: no block crosses one, and a span lies in two at most
     tree = cut(blocks(bars, by, step, levels))
+    small = tree.count() <= SENT
+    cell = lambda level, i: F.floor(i * F.pow(F.lit(RADIX).cast("double"), level).cast("long") / size)
+    tree = tree.withColumn("_cell", cell(F.col("_level"), F.col("_id")))
+    tree = F.broadcast(tree) if small else tree.repartition(*by, "_cell").hint("shuffle_hash")
+
+    def met(rows: DataFrame, parts: Column) -> DataFrame:
+        """Each row beside its parts (level, id) of its cell in the tree. A left join: the tree is what is sent or hashed, never spans, whose size Spark guesses from their files."""
+        rows = rows if small else rows.repartition(*by, "_cell")
+        rows = rows.withColumn("_part", F.explode_outer(parts)).withColumns({"_level": F.col("_part.level"), "_id": F.col("_part.id")}).drop("_part")
+        return rows.join(tree, [*by, "_cell", "_level", "_id"], "left")
+
     touches = (F.col("_lo") <= F.col("_down")) | (F.col("_hi") >= F.col("_up"))
-    scale = F.lit(RADIX).cast("double")
-    begin = lambda level, i: (i * F.pow(scale, level).cast("long")).alias("_begin")
-    sought = whole.where("_a <= _b").withColumn("_block", F.explode(_cover(F.col("_a"), F.col("_b"), levels)))
-    sought = sought.select("_span", *by, "_down", "_up", F.col("_block.level").alias("_level"), F.col("_block.id").alias("_id"))
-    met = sought.join(tree, [*by, "_level", "_id"])
+    keys = ["_span", *by, "_down", "_up", "_a", "_b", "_even"]
+    cells = whole.withColumn("_cell", F.explode_outer(F.when(F.col("_a") <= F.col("_b"), F.sequence(F.floor(F.col("_a") / size), F.floor(F.col("_b") / size)))))
+    cells = cells.withColumns({"_from": F.greatest("_a", F.col("_cell") * size), "_to": F.least("_b", F.col("_cell") * size + size - 1)})
     # blocks of a cover do not overlap, so the one that begins first is the first; its level goes with it
-    code = F.when(touches, begin(F.col("_level"), F.col("_id")) * 64 + F.col("_level"))
-    facts = met.groupBy("_span").agg(F.sum("_n").alias("_n"), F.sum("_off").alias("_off"), F.min(code).alias("_code"))
-    state = whole.join(facts, "_span", "left").withColumn("n_bars", F.coalesce("_n", F.lit(0)))
+    begin = F.col("_id") * F.pow(F.lit(RADIX).cast("double"), F.col("_level")).cast("long")
+    state = met(cells, F.when(F.col("_cell").isNotNull(), _cover(F.col("_from"), F.col("_to"), levels))).groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_bars"), F.sum("_off").alias("_off"), F.min(F.when(touches, begin * 64 + F.col("_level"))).alias("_code")
+    )
     ok = F.col("_even") & (F.col("_off") == 0) & (F.col("n_bars") == F.col("_b") - F.col("_a") + 1) & F.col("_down").isNotNull() & F.col("_up").isNotNull()
-    state = state.withColumn("complete", F.coalesce(ok, F.lit(False)))
-    found = state.where("complete and _code is not null").withColumn("_level", (F.col("_code") % 64).cast("int"))
-    found = found.select("_span", *by, "_down", "_up", "_level", (F.floor(F.col("_code") / 64) / F.pow(scale, F.col("_level"))).cast("long").alias("_id"))
+    state = state.withColumn("complete", F.coalesce(ok, F.lit(False))).withColumn("_code", F.when(F.col("complete"), F.col("_code")))
+    keys += ["n_bars", "complete"]
+    found = state.select(*keys, F.floor(F.col("_code") / 64).alias("_begin"), (F.col("_code") % 64).cast("int").alias("_at"))
     for level in range(levels - 1, 0, -1):
         # a block of this level is replaced by its parts; the others meet themselves, which touch as well
-        here = F.col("_level") == level
-        parts = F.when(here, F.sequence(F.col("_id") * RADIX, F.col("_id") * RADIX + RADIX - 1)).otherwise(F.array("_id"))
-        found = found.select("_span", *by, "_down", "_up", F.when(here, level - 1).otherwise(F.col("_level")).alias("_level"), F.explode(parts).alias("_id"))
-        found = found.join(tree, [*by, "_level", "_id"]).where(touches).groupBy("_span", *by, "_down", "_up", "_level").agg(F.min("_id").alias("_id"))
-    bar = found.join(tree.where("_level = 0").drop("_level", "_n", "_off"), [*by, "_id"])
-    kind = F.when((F.col("_lo") <= F.col("_down")) & (F.col("_hi") >= F.col("_up")), "both").when(F.col("_lo") <= F.col("_down"), "down").otherwise("up")
-    at = F.timestamp_micros(F.col("_id") * F.lit(step * 1_000_000)).cast("timestamp_ntz")
-    return state.select("_span", "n_bars", "complete").join(bar.select("_span", kind.alias("touched"), at.alias("touched_at")), "_span", "left").withColumnRenamed("_span", id_col)
+        first = F.floor(F.col("_begin") / RADIX ** (level - 1))
+        own = F.struct(F.col("_at").alias("level"), F.floor(F.col("_begin") / F.pow(F.lit(RADIX).cast("double"), F.col("_at"))).alias("id"))
+        inside = F.arrays_zip(F.array_repeat(F.lit(level - 1), RADIX).alias("level"), F.sequence(first, first + RADIX - 1).alias("id"))
+        parts = F.when(F.col("_at") == level, inside).when(F.col("_at").isNotNull(), F.array(own))
+        found = met(found.withColumn("_cell", F.floor(F.col("_begin") / size)), parts).groupBy(*keys, F.when(F.col("_at") == level, level - 1).otherwise(F.col("_at")).alias("_at")).agg(F.min(F.when(touches, begin)).alias("_begin"))
+    bar = met(found.withColumn("_cell", F.floor(F.col("_begin") / size)), F.when(F.col("_begin").isNotNull(), F.array(F.struct(F.lit(0).alias("level"), F.col("_begin").alias("id")))))
+    low, high = F.col("_lo") <= F.col("_down"), F.col("_hi") >= F.col("_up")
+    kind = F.when(low & high, "both").when(low, "down").when(high, "up")
+    at = F.timestamp_micros(F.col("_begin") * F.lit(step * 1_000_000)).cast("timestamp_ntz")
+    return bar.select(F.col("_span").alias(id_col), "n_bars", "complete", kind.alias("touched"), at.alias("touched_at"))

@@ -136,6 +136,40 @@ def test_first_touch_equals_a_walk_along_the_bars(spark, monkeypatch, radix):
         assert (r.complete, r.touched, r.touched_at) == (whole, kind, None if hit is None else minute(hit)), (r, a, b)
 
 
+@pytest.mark.parametrize("radix", [5, 16])
+def test_first_touch_by_cells_equals_a_walk(spark, monkeypatch, radix):
+    monkeypatch.setattr(passage, "SENT", 0)
+    test_first_touch_equals_a_walk_along_the_bars(spark, monkeypatch, radix)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 17])
+def test_first_touch_sends_blocks_only(spark, monkeypatch, tmp_path, sent):
+    """Spans in a small file were sent to all tasks with all the blocks that fill them: Spark takes them for as small as their file."""
+    monkeypatch.setattr(passage, "SENT", sent)
+    n = 3_000
+    spans = spark.range(n).select("id", F.lit("S").alias("symbol"), F.expr(f"timestamp_ntz '{T0}' + make_dt_interval(0, 0, cast(id % 100 as int))").alias("a"), F.expr(f"timestamp_ntz '{T0}' + make_dt_interval(0, 0, cast(id % 100 + 1 + id % 31 as int))").alias("b"),
+                                  F.lit(0.5).alias("dn"), F.when(F.col("id") % 2 == 0, 130.0).otherwise(500.0).alias("up"))
+    table = spark.range(200).select(F.lit("S").alias("symbol"), F.expr(f"timestamp_ntz '{T0}' + make_dt_interval(0, 0, cast(id as int))").alias("ts"), F.lit(1.0).alias("low"), (F.col("id") + 40.0).alias("high"))
+    for name, df in (("spans", spans), ("bars", table)):
+        df.write.parquet(str(tmp_path / name))
+    df = passage.first_touch(spark.read.parquet(str(tmp_path / "spans")), spark.read.parquet(str(tmp_path / "bars")), ["symbol"], "id", "a", "b", "dn", "up", 60)
+
+    def built(node):
+        kids = node.children()
+        if node.nodeName() == "BroadcastHashJoin":
+            yield (node.right() if node.buildSide().toString() == "BuildRight" else node.left()).toString()
+        for k in range(kids.size()):
+            yield from built(kids.apply(k))
+
+    sides = list(built(df._jdf.queryExecution().sparkPlan()))
+    assert bool(sides) == bool(sent) and not any("Generate" in x or "spans" in x or "Aggregate" in x for x in sides), sides
+    got = {r.id: (r.n_bars, r.complete, r.touched, r.touched_at) for r in df.collect()}
+    for k in range(n):
+        a, b = k % 100, k % 100 + 1 + k % 31
+        hit = max(90, a + 1) if k % 2 == 0 and b >= 90 else None
+        assert got[k] == (b - a, True, None if hit is None else "up", None if hit is None else T0 + timedelta(minutes=hit))
+
+
 def test_a_long_span_meets_few_blocks(spark):
     cover = spark.range(1).select(passage._cover(F.lit(5).cast("long"), F.lit(60_000).cast("long"), 4).alias("c")).first().c
     points = sorted(p for b in cover for p in range(b.id * 16**b.level, (b.id + 1) * 16**b.level))
