@@ -17,8 +17,18 @@ def returns(history: DataFrame, keys: list[str], value: str = "total_value", ts:
     return history.withColumn("ret", F.col(value) / F.nullif(before, F.lit(0.0)) - 1)
 
 
-def curve_metrics(history: DataFrame, keys: list[str], risk_free: float = 0.02, value: str = "total_value", ts: str = "ts") -> DataFrame:
-    """One row a key: return, years, CAGR, bars a year, volatility, Sharpe (on CAGR), Sortino, drawdown, Calmar, t and p."""
+def quotient(a: Column, b: Column) -> Column:
+    """a / b of doubles as SQL engines on IEEE numbers have it: infinite or NaN where b is 0, null where either is."""
+    by_zero = F.when(F.isnan(a) | (a == 0), float("nan")).when(a > 0, float("inf")).when(a < 0, float("-inf"))
+    return F.when(b == 0, by_zero).otherwise(F.try_divide(a, b))
+
+
+def curve_metrics(history: DataFrame, keys: list[str], risk_free: float = 0.02, value: str = "total_value", ts: str = "ts", guarded: bool = True) -> DataFrame:
+    """One row a key: return, years, CAGR, bars a year, volatility, Sharpe (on CAGR), Sortino, drawdown, Calmar, t and p.
+
+    What has no value is 0 (a Sortino ratio without losses, a Calmar ratio without a drawdown), and a curve within a
+    day counts as a year. Unless ``guarded``: then each is what its formula gives, null, infinite or NaN.
+    """
     w = series(*keys, ts=ts)
     rows = returns(history, keys, value, ts)
     top = F.max(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -30,18 +40,23 @@ def curve_metrics(history: DataFrame, keys: list[str], risk_free: float = 0.02,
     )
     seconds = F.unix_timestamp(F.col("_b").cast("timestamp")) - F.unix_timestamp(F.col("_a").cast("timestamp"))
     days = F.floor(seconds / 86400)
-    a = a.withColumn("total_return", F.when(F.col("_first") != 0, F.try_divide(F.col("_last"), F.col("_first")) - 1).otherwise(0.0))
-    a = a.withColumn("years", F.when(days > 0, days / 365.25).otherwise(1.0))
-    a = a.withColumn("cagr", F.when(1 + F.col("total_return") > 0, F.pow(1 + F.col("total_return"), 1 / F.col("years")) - 1).otherwise(0.0))
-    a = a.withColumn("bars_per_year", F.col("n_bars") / F.col("years"))
-    a = a.withColumn("volatility", F.coalesce(F.col("_sd") * F.sqrt("bars_per_year"), F.lit(0.0)))
+    ratio = lambda x, y, known: F.when(known, F.try_divide(x, y)).otherwise(0.0) if guarded else quotient(x, y)
+    zero = lambda x: F.coalesce(x, F.lit(0.0)) if guarded else x
+    growth = quotient(F.col("_last"), F.col("_first")) - 1
+    a = a.withColumn("total_return", F.when(F.col("_first") != 0, growth).otherwise(0.0) if guarded else growth)
+    a = a.withColumn("years", F.when(days > 0, days / 365.25).otherwise(1.0) if guarded else days / 365.25)
+    # a power of 1 is 1, an infinite one too
+    power = F.when(F.col("total_return") == 0, 0.0).otherwise(F.pow(1 + F.col("total_return"), quotient(F.lit(1.0), F.col("years"))) - 1)
+    a = a.withColumn("cagr", F.when(1 + F.col("total_return") > 0, power).otherwise(0.0) if guarded else power)
+    a = a.withColumn("bars_per_year", quotient(F.col("n_bars").cast("double"), F.col("years")))
+    a = a.withColumn("volatility", zero(F.col("_sd") * F.sqrt("bars_per_year")))
     over = F.col("cagr") - risk_free
-    a = a.withColumn("sharpe", F.when(F.col("volatility") > 0, F.try_divide(over, F.col("volatility"))).otherwise(0.0))
+    a = a.withColumn("sharpe", ratio(over, F.col("volatility"), F.col("volatility") > 0))
     down = F.col("_down") * F.sqrt("bars_per_year")
-    a = a.withColumn("sortino", F.when(down > 0, F.try_divide(over, down)).otherwise(0.0))
-    a = a.withColumn("calmar", F.when(F.col("max_drawdown") != 0, F.try_divide(F.col("cagr"), F.abs("max_drawdown"))).otherwise(0.0))
-    t = F.when(F.col("_sd") > 0, F.try_divide(F.col("_mean"), F.col("_sd") / F.sqrt("_n")))
-    a = a.withColumn("t_stat", F.coalesce(t, F.lit(0.0))).withColumn("ret_sharpe", F.when(F.col("_sd") > 0, F.try_divide(F.col("_mean"), F.col("_sd"))))
+    a = a.withColumn("sortino", ratio(over, down, down > 0))
+    a = a.withColumn("calmar", ratio(F.col("cagr"), F.abs("max_drawdown"), F.col("max_drawdown") != 0))
+    t = F.col("_sd") / F.sqrt("_n")
+    a = a.withColumn("t_stat", zero(ratio(F.col("_mean"), t, F.col("_sd") > 0))).withColumn("ret_sharpe", F.when(F.col("_sd") > 0, F.try_divide(F.col("_mean"), F.col("_sd"))))
     names = ["total_return", "years", "cagr", "n_bars", "bars_per_year", "volatility", "sharpe", "sortino", "max_drawdown", "calmar", "t_stat"]
     return a.select(*keys, *names, F.col("ret_sharpe"), F.col("_n").alias("n_returns"), F.col("_skew").alias("skew"), F.col("_kurt").alias("excess_kurtosis"))
 

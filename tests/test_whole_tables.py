@@ -7,8 +7,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from quantloom.operators import fills, joins, search
-from quantloom.plans import queries
+from quantloom.operators import fills, joins, metrics, search
+from quantloom.plans import queries, views
 
 T0 = datetime(2024, 1, 1)
 
@@ -179,3 +179,18 @@ def test_walk_forward_over_series_of_unlike_length(spark, data):
     s = RunSettings(timeframe="1h", use_trading_hours=False, eod_close=None, spread_mode="static")
     got = search.walk_forward(bars, "sma_pullback", s, n_folds=2, n_trials=2, purge=1)
     assert got["verdict"] in ("PASS", "WARNING", "FAIL") and len(got["folds"]) <= 2
+
+
+@pytest.mark.parametrize("days", [1, 6])
+def test_curve_metrics_of_a_curve_that_only_rises_are_those_of_its_sql(spark, tmp_path, days):
+    """No loss and no drawdown: SQL gives null and an infinite ratio, of a single day nothing but its return; the operator by itself gives 0."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, "12"[k % 2], 150_000.0 + 100 * k * k, T0 + timedelta(days=k)) for k in range(days)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderpriority string, o_totalprice double, o_orderdate timestamp_ntz").write.parquet(f"{tmp_path}/orders.parquet")
+    got = queries.QUERIES["curve_metrics"](spark, str(tmp_path)).collect()
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = c.execute(queries.ORACLES["curve_metrics"]).fetchall()
+    assert [repr(tuple(r)) for r in got] == [repr(r) for r in want]
+    m = metrics.curve_metrics(views.history(spark, str(tmp_path)), ["run_id"]).first()
+    assert (got[0].sortino, m.sortino, m.calmar) == (None, 0.0, 0.0) and (days == 1 or got[0].calmar == float("inf"))
