@@ -35,18 +35,17 @@ def carried(rows: DataFrame, known: DataFrame, keys: list[str], order: list[str]
     ``known`` has the rows that bring values, with keys, chunk and order. Null values
     are passed over.
     """
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(CHUNK)
-    if onward:
-        near, far, pick, end = inside.rowsBetween(Window.unboundedPreceding, 0), across.rowsBetween(Window.unboundedPreceding, -1), F.last, F.max_by
-    else:
-        near, far, pick, end = inside.rowsBetween(0, Window.unboundedFollowing), across.rowsBetween(1, Window.unboundedFollowing), F.first, F.min_by
+    # what comes next is what came last in the reverse order: a frame that begins at its row would be gone through anew for each row
+    way = F.asc if onward else F.desc
+    near = Window.partitionBy(*keys, CHUNK).orderBy(*[way(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    far = Window.partitionBy(*keys).orderBy(way(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.max_by if onward else F.min_by
     at = lambda v: F.when(F.col(v).isNotNull(), F.struct(*order, *[x for x in values if x not in order]))
     ends = known.groupBy(*keys, CHUNK).agg(*[end(v, at(v)).alias(v) for v in values])
     asked = rows.select(*keys, CHUNK).distinct().select(*keys, CHUNK, *[F.lit(None).cast(known.schema[v].dataType).alias(v) for v in values])
     spine = asked.unionByName(ends).groupBy(*keys, CHUNK).agg(*[F.first(v, ignorenulls=True).alias(v) for v in values])
-    given = spine.select(*keys, CHUNK, *[pick(v, ignorenulls=True).over(far).alias(f"_in_{v}") for v in values])
-    filled = rows.withColumns({v: pick(v, ignorenulls=True).over(near) for v in values})
+    given = spine.select(*keys, CHUNK, *[F.last(v, ignorenulls=True).over(far).alias(f"_in_{v}") for v in values])
+    filled = rows.withColumns({v: F.last(v, ignorenulls=True).over(near) for v in values})
     filled = filled.join(given, [*keys, CHUNK], "left")
     return filled.withColumns({v: F.coalesce(v, f"_in_{v}") for v in values}).drop(*[f"_in_{v}" for v in values])
 

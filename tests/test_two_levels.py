@@ -108,6 +108,16 @@ def test_union_of_times_carries_last_values(spark):
     assert got == {("A", 1): 1.0, ("A", 3): 1.0, ("A", 5): 2.0, ("A", 70_000): 3.0, ("B", 1): None, ("B", 3): 9.0, ("B", 5): 9.0, ("B", 70_000): 9.0}
 
 
+def test_values_from_ahead_take_one_pass(spark):
+    """A frame that ends with its chunk is gone through anew for each row: 60,000 rows of a day took their square."""
+    n = 60_000
+    rows = spark.range(n).select(F.lit("S").alias("symbol"), F.expr(f"timestamp_ntz '{T0}' + make_dt_interval(0, 0, 0, cast(id as int))").alias("ts"), "id")
+    got = joins.asof_forward(rows, rows.where("id % 1000 = 0").select("symbol", "ts", F.col("id").alias("v")), ["symbol"], ["v"])
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    wrong = got.where(~F.col("v").eqNullSafe(F.when(F.col("id") < n - 1000, (F.floor(F.col("id") / 1000) + 1) * 1000)))
+    assert got.count() == n and wrong.count() == 0
+
+
 # first passage
 
 
