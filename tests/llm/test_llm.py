@@ -357,6 +357,26 @@ def test_rules_counts_and_verdicts(spark, labelled, odd, none):
     assert quality_rules.judge(none, f).count() == 0 and quality_rules.fit(d, labels.where("false")) is None
 
 
+def test_rules_learn_from_all_labelled_rows(spark):
+    """9,000 rows are labelled, more than the 8,000 that were taken: box, draws and threshold are those of all of them."""
+    rng = np.random.default_rng(4)
+    words = ["alpha", "beta", "gamma", "delta", "omega", "sigma"] + [f"w{k}" for k in range(80)]
+    rows = [(i, " ".join(rng.choice(words, 24)) + ("!" * int(rng.integers(0, 9)) if i % 4 == 0 else "")) for i in range(9_000)]
+    d = docs(spark, rows)
+    labels = spark.createDataFrame([(i, int(i % 4 > 0 or i % 8 == 0)) for i in range(9_000)], "doc_id long, quality int")
+    x = quality_rules.labelled_features(d, labels)
+    assert x.count() == 9_000
+    n = x.where("good").count()
+    drawn = quality_rules.drawn_rows(x.where("good").select("doc_id", F.array(F.col("doc_id").cast("double")).alias("x")))
+    own = [set(t[:, 0].astype(int)) for t in drawn]
+    assert all(len(t) == quality_rules.LEAVES for t in own) and len(set().union(*own)) > 0.9 * n
+    f = quality_rules.fit(d, labels)
+    judged = quality_rules.judge(d, f).select("doc_id", "score").toPandas().sort_values("doc_id")
+    s, good = judged["score"].to_numpy(), np.array([i % 4 > 0 or i % 8 == 0 for i in range(9_000)])
+    cuts = np.unique(s[s >= np.quantile(s[good], quality_rules.KEEP, method="higher")])
+    assert f.threshold == cuts[int(np.argmax([(s[~good] > c).mean() - (s[good] > c).mean() for c in cuts]))]
+
+
 def plain_features(s):
     """The fifteen ratios, counted character by character."""
     from math import log1p
